@@ -318,7 +318,7 @@ def is_truncated(text: str, known: frozenset[str] | None = None) -> bool:
         tail = (item.group(1) if item else last_line).strip()
         words = tail.split()
     # names, dates, amounts and noun phrases need no full stop: nearly all words capitalised or figures
-    plain = [w for w in words if w[:1].islower()]
+    plain = [w for w in words if w[:1].islower() and w not in ("and", "y", "plus", "of", "de")]
     if end == 0:
         return len(plain) > 3 and len(plain) >= 0.4 * len(words)
     return len(plain) >= 1
