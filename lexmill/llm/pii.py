@@ -267,12 +267,12 @@ def _names(text: str, add) -> None:
 # -- operators -----------------------------------------------------------
 
 
-def masked(text: str | None) -> str | None:
+def masked(text: str | None, found: list[Span] | None = None) -> str | None:
     """The text with ``[EMAIL]``, ``[PHONE]``, ... in place of each item."""
     if not text:
         return text
     out, at = [], 0
-    for s in spans(text):
+    for s in spans(text) if found is None else found:
         out += [text[at : s.start], f"[{s.kind.upper()}]"]
         at = s.end
     out.append(text[at:])
@@ -296,7 +296,8 @@ def mask(df: DataFrame, key: str, field: str) -> DataFrame:
 
     def run(rows):
         for k, t in rows:
-            yield k, masked(t), len(spans(t)) if t else 0
+            found = spans(t) if t else []
+            yield k, masked(t, found), len(found)
 
     return map_rows(df.select(F.col(key).cast("bigint"), field), run, f"{key} bigint, {field} string, n_items int")
 
