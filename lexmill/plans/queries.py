@@ -1 +1,325 @@
-QUERIES = {}
+"""One query for each operator, over whole tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions import text as T
+from ..operators import briefing, chunk, feedback, preprocess, qa, rake, retrieval, summarize, terms, vocab
+from ..session import materialize, shared_dir, table
+from ..sources import corpus
+from ..streaming import feedback as stream
+
+WORK = "summarization_20251116_215704"
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents")
+
+
+def _work(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, WORK)
+
+
+def _once(s: SparkSession, d: str) -> DataFrame:
+    return briefing.once(table(s, d, "chunk_extraction"))
+
+
+def term_df(s, d):
+    return terms.document_frequency(_docs(s, d), "text")
+
+
+def idf(s, d):
+    return terms.idf(_docs(s, d), "text")
+
+
+def bm25_top_terms(s, d):
+    weights = materialize(terms.idf(_docs(s, d), "text"), "idf")
+    return terms.bm25_terms(_docs(s, d), "doc_id", "text", weights)
+
+
+def token_counts(s, d):
+    n = lambda c: F.greatest(F.size(c), F.lit(0))
+    return _docs(s, d).where("text IS NOT NULL").select(
+        "doc_id", n(T.vocabulary_tokens("text")).alias("n_vocabulary"), n(T.corpus_tokens("text")).alias("n_corpus"), n(T.retrieval_tokens("text")).alias("n_retrieval"), n(T.question_keywords("text")).alias("n_keywords")
+    )
+
+
+def normalized_text(s, d):
+    t = _work(s, d).where("chunk_text IS NOT NULL").select("chunk_row_id", T.normalize("chunk_text").alias("t"))
+    return t.select("chunk_row_id", F.length("t").alias("n_chars"), F.md5("t").alias("hash")).distinct()
+
+
+def page_number_lines(s, d):
+    lines = F.split("chunk_text", "\n")
+    return _work(s, d).where("chunk_text IS NOT NULL").select("chunk_row_id", F.size(lines).alias("n_lines"), F.size(F.filter(lines, T.is_page_number)).alias("n_page_numbers")).distinct()
+
+
+def case_numbers(s, d):
+    return _docs(s, d).where("text IS NOT NULL").select("doc_id", F.array_join(T.case_numbers("text"), "|").alias("numbers")).where("numbers <> ''")
+
+
+def document_hash(s, d):
+    return _docs(s, d).where("text IS NOT NULL").select("doc_id", T.document_hash("text").alias("document_hash"))
+
+
+def sanitized_text(s, d):
+    t = _docs(s, d).where("text IS NOT NULL").select("doc_id", "text", T.sanitize("text").alias("t"))
+    return t.select("doc_id", F.regexp_count("text", F.lit(T.REDACTION)).alias("n_redacted"), F.length("t").alias("n_chars"), F.md5("t").alias("hash"))
+
+
+def transcript_lines(s, d):
+    t = _work(s, d).where("chunk_text IS NOT NULL").select("chunk_row_id", F.md5(T.remove_line_numbers("chunk_text")).alias("without_numbers"), F.md5(T.convert_qa("chunk_text")).alias("converted"))
+    return t.distinct()
+
+
+def header_footer(s, d):
+    h = preprocess.header_footer(_work(s, d).where("chunk_text IS NOT NULL"), "chunk_row_id", "chunk_text")
+    return h.select("chunk_row_id", "n_removed", F.md5("chunk_text").alias("hash")).distinct()
+
+
+def title_scores(s, d):
+    return _work(s, d).where("chunk_text IS NOT NULL").select("chunk_row_id", T.title_score("chunk_text").alias("score")).distinct()
+
+
+def title_pages_removed(s, d):
+    t = _docs(s, d).where("text IS NOT NULL").select("doc_id", F.size(T.pages("text")).alias("n_pages"), F.length(T.remove_title_pages("text")).alias("n_chars"))
+    return t
+
+
+def preprocessed_text(s, d):
+    t = _work(s, d).where("chunk_text IS NOT NULL").select("chunk_row_id", "chunk_text").transform(preprocess.default_pipeline("chunk_row_id", "chunk_text"))
+    return t.select("chunk_row_id", F.length("chunk_text").alias("n_chars"), F.md5("chunk_text").alias("hash")).distinct()
+
+
+def document_types(s, d):
+    return _work(s, d).where("chunk_text IS NOT NULL").select("chunk_row_id", T.document_type("chunk_text", "source_document").alias("document_type"), T.section_label("chunk_text").alias("section")).distinct()
+
+
+def document_status(s, d):
+    once = table(s, d, "document_result").drop("loaded_at").distinct()
+    state = F.when(F.col("status") == "error", "error").when(F.col("confidence") < C.OCR_CONFIDENCE, "warning").otherwise("success")
+    return once.withColumn("state", state).groupBy("state", "method").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("page_count", F.lit(0))).alias("pages"))
+
+
+def run_metrics(s, d):
+    once = table(s, d, "document_result").drop("loaded_at").distinct()
+    return once.groupBy("document_type").agg(
+        F.count(F.lit(1)).alias("document_count"), F.sum(F.coalesce("page_count", F.lit(0))).alias("total_pages"), F.sum(F.coalesce("file_size", F.lit(0))).alias("total_size_bytes"),
+        F.round(F.avg(F.coalesce("page_count", F.lit(0))), 1).alias("avg_pages"), F.round(F.avg(F.coalesce("file_size", F.lit(0))), 0).alias("avg_size_bytes"),
+    )
+
+
+def corpus_status(s, d):
+    return corpus.status(_docs(s, d), "source")
+
+
+def corpus_fingerprint(s, d):
+    return corpus.fingerprint(_docs(s, d), "source", "doc_id", "filed_at")
+
+
+def pending_documents(s, d):
+    files = table(s, d, "document_result").select("filename", "document_type").distinct()
+    return corpus.pending(files, _work(s, d).select(F.col("source_document").alias("filename")), "filename")
+
+
+def rake_phrases(s, d):
+    return rake.rake(_docs(s, d), "doc_id", "text")
+
+
+def vocabulary(s, d):
+    weights = materialize(terms.idf(_docs(s, d), "text"), "idf")
+    merged = vocab.merge(vocab.candidates(_docs(s, d), "doc_id", "text", weights), "doc_id")
+    return vocab.vocabulary(merged, "doc_id").drop("ord")
+
+
+def term_ranks(s, d):
+    return vocab.frequency_ranks(terms.document_frequency(_docs(s, d), "text").select(F.col("term").alias("word"), F.col("df").alias("count")))
+
+
+def person_roles(s, d):
+    docs = _docs(s, d)
+    persons = vocab.entities(docs, "doc_id", "text").where("type = 'Person'").select("doc_id", "term").distinct()
+    return vocab.person_roles(persons, docs, "doc_id", "text")
+
+
+def latest_feedback(s, d):
+    f = feedback.redelivered_once(table(s, d, "vocab_feedback"))
+    return feedback.latest(f).select("term_key", "feedback_ts", "feedback", "document_id")
+
+
+def feedback_counts(s, d):
+    return feedback.counts(feedback.redelivered_once(table(s, d, "vocab_feedback")))
+
+
+def feedback_features(s, d):
+    f = feedback.features(feedback.redelivered_once(table(s, d, "vocab_feedback")))
+    cols = feedback.FEATURES
+    return f.groupBy("feedback").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 4).alias(c) for c in cols])
+
+
+def term_preferences(s, d):
+    log = feedback.redelivered_once(table(s, d, "vocab_feedback"))
+    model = feedback.train(log)
+    scored = feedback.predict(model, feedback.latest(log))
+    return scored.select("term_key", F.round("preference", 6).alias("preference"), feedback.boost(F.coalesce("quality_score", F.lit(0.0)), F.col("preference")).alias("boosted"))
+
+
+def _chunks(s, d, text="chunk_text"):
+    return _work(s, d).where(F.col(text).isNotNull()).groupBy("chunk_row_id").agg(F.first(text).alias("t"))
+
+
+def bm25plus_topk(s, d):
+    return retrieval.bm25_plus(_chunks(s, d), "chunk_row_id", "t", table(s, d, "question_def"), "question_id", "question_text", 5)
+
+
+def vector_topk(s, d):
+    e = table(s, d, "embeddings")
+    return retrieval.vector_top_k(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), 5)
+
+
+def hybrid_merge(s, d):
+    q = table(s, d, "question_def")
+    hits = None
+    for field, weight in (("chunk_text", 1.0), ("chunk_summary", 0.5)):
+        h = retrieval.bm25_plus(_chunks(s, d, field), "chunk_row_id", "t", q, "question_id", "question_text", 10).select("question_id", "chunk_row_id", F.lit(field).alias("algorithm"), F.lit(weight).alias("weight"), "relevance")
+        hits = h if hits is None else hits.unionByName(h)
+    return retrieval.merge_hits(hits, "question_id", "chunk_row_id", 5)
+
+
+def _qa(s, d):
+    return table(s, d, "question_answer")
+
+
+def qa_confidence(s, d):
+    usable = qa.usable_sources(F.col("sources"))
+    score = F.transform("sources", lambda x: x["score"])
+    return _qa(s, d).select("qa_id", qa.confidence(score).alias("confidence"), F.greatest(F.size(usable), F.lit(0)).alias("n_usable"), qa.source_summary(F.col("sources")).alias("summary")).distinct()
+
+
+def extracted_answers(s, d):
+    return qa.extract_answers(_qa(s, d).where("answer_text IS NOT NULL"), "qa_id", "question_text", "answer_text").distinct()
+
+
+def classified_answers(s, d):
+    q = table(s, d, "question_def").where(F.size("options") > 0).select("question_id", "options")
+    return _qa(s, d).join(q, "question_id").select("qa_id", qa.classify(F.col("answer_text"), F.col("options")).alias("option")).distinct()
+
+
+def answers_by_category(s, d):
+    once = _qa(s, d).select("qa_id", "category", "answer_text").distinct()
+    return once.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(T.strip("answer_text") != "", 1)).alias("answered"))
+
+
+def question_steps(s, d):
+    return qa.steps_to_end(table(s, d, "question_def"))
+
+
+def briefing_parties(s, d):
+    e = _once(s, d)
+    side = lambda x: briefing.parties(e, x).select("case_id", F.lit(x).alias("side"), "name")
+    return side("plaintiffs").unionByName(side("defendants"))
+
+
+def briefing_dates(s, d):
+    return briefing.first_seen(_once(s, d), "dates_mentioned").select("case_id", "value")
+
+
+def briefing_vocabulary(s, d):
+    return briefing.first_seen(_once(s, d), "vocabulary").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("norm")), "|")).alias("terms"))
+
+
+def case_types(s, d):
+    return briefing.case_type_vote(_once(s, d))
+
+
+def briefing_stats(s, d):
+    return briefing.stats(_once(s, d))
+
+
+def people_by_category(s, d):
+    return briefing.people_by_category(_once(s, d)).select("case_id", "category", "n_people", F.array_join("names", "; ").alias("names"))
+
+
+def briefing_openings(s, d):
+    return briefing.openings(_once(s, d))
+
+
+def allegations_deduplicated(s, d):
+    return briefing.dedup_text(_once(s, d), "allegations")
+
+
+def section_runs(s, d):
+    return summarize.section_runs(_work(s, d).select("source_document", "chunk_num", "section_detected").distinct())
+
+
+def section_boundaries(s, d):
+    return summarize.section_boundaries(_work(s, d).select("source_document", "chunk_num", "section_detected").distinct())
+
+
+def adaptive_boundaries(s, d):
+    total = _work(s, d).groupBy("source_document").agg(F.max("chunk_num").alias("n_chunks"))
+    return total.select("source_document", "n_chunks", F.array_join(summarize.adaptive_boundaries(F.col("n_chunks")), ",").alias("boundaries"))
+
+
+def chunk_contexts(s, d):
+    cols = ["source_document", "chunk_num", "chunk_summary", "progressive_summary"]
+    c = summarize.contexts(_work(s, d).select(*cols).distinct())
+    return c.select("source_document", "chunk_num", F.md5("local_context").alias("local_context"), F.md5("global_context").alias("global_context"))
+
+
+def reduce_batches(s, d):
+    r = table(s, d, "summarization_result").select("result_id", "case_id", "chunk_summary").where("chunk_summary IS NOT NULL").distinct()
+    return summarize.reduce_batches(r, "case_id", ["result_id"], "chunk_summary")
+
+
+def summary_metadata(s, d):
+    e = _once(s, d).withColumn("facts", F.array_join(F.coalesce("key_facts", F.array().cast("array<string>")), " "))
+    return summarize.metadata(e, "case_id", "vocabulary", "facts")
+
+
+def section_chunks(s, d):
+    c = chunk.section_chunks(_docs(s, d), "doc_id", "text")
+    return c.select("doc_id", "chunk_num", "word_count", "section_name", F.md5("text").alias("hash"))
+
+
+def brief_chunks(s, d):
+    c = chunk.brief_chunks(_docs(s, d), "doc_id", "text")
+    return c.select("doc_id", "chunk_index", "char_count", "section_hint", F.md5("text").alias("hash"))
+
+
+def split_chunks(s, d):
+    c = chunk.split_texts(_docs(s, d), "doc_id", "text")
+    return c.select("doc_id", "chunk_num", F.length("text").alias("n_chars"), F.md5("text").alias("hash"))
+
+
+def chunks_by_document(s, d):
+    once = _work(s, d).select("source_document", "chunk_row_id", "chunk_num").distinct()
+    return once.groupBy("source_document").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_num", "chunk_row_id"))), lambda x: x["chunk_row_id"].cast("string")), ",").alias("chunk_ids"))
+
+
+def event_windows(s, d):
+    schema = table(s, d, "events").schema
+    base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    stream.run_folder(s, f"{d}/events.parquet*", schema, lambda e: stream.windowed(e, "ts", "event_type", "value"), f"{base}/out", f"{base}/state")
+    return s.read.parquet(f"{base}/out")
+
+
+def event_sessions(s, d):
+    return stream.sessions(table(s, d, "events"), "ts", "user_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        term_df, idf, bm25_top_terms, token_counts, normalized_text, page_number_lines, case_numbers, document_hash, sanitized_text, transcript_lines, header_footer, title_scores, title_pages_removed,
+        preprocessed_text, document_types, document_status, run_metrics, corpus_status, corpus_fingerprint, pending_documents, rake_phrases, vocabulary, term_ranks, person_roles, latest_feedback,
+        feedback_counts, feedback_features, term_preferences, bm25plus_topk, vector_topk, hybrid_merge, qa_confidence, extracted_answers, classified_answers, answers_by_category, question_steps,
+        briefing_parties, briefing_dates, briefing_vocabulary, case_types, briefing_stats, people_by_category, briefing_openings, allegations_deduplicated, section_runs, section_boundaries,
+        adaptive_boundaries, chunk_contexts, reduce_batches, summary_metadata, section_chunks, brief_chunks, split_chunks, chunks_by_document, event_windows, event_sessions,
+    )
+}

@@ -1 +1 @@
-
+"""Incremental versions of batch operators (Structured Streaming)."""
