@@ -14,10 +14,6 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _words(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def ascii_words(text: ColumnOrName) -> Column:
     """Lower case, with every foreign letter or digit as ``_`` and every other
     foreign character as a space, so that word boundaries fall as in Unicode."""
@@ -27,8 +23,7 @@ def ascii_words(text: ColumnOrName) -> Column:
 def tokens(text: ColumnOrName, stop: list[str], least: int) -> Column:
     """Word tokens of at least ``least`` characters, without stop words, in order."""
     found = F.regexp_extract_all(ascii_words(text), F.lit(C.WORD_TOKEN), 0)
-    stops = _words(stop)
-    return F.filter(found, lambda w: (F.length(w) >= least) & ~F.array_contains(stops, w))
+    return F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(stop))
 
 
 def vocabulary_tokens(text: ColumnOrName) -> Column:
@@ -47,7 +42,7 @@ def retrieval_tokens(text: ColumnOrName) -> Column:
 def question_keywords(text: ColumnOrName) -> Column:
     """Distinct keywords of three or more letters, sorted."""
     found = F.regexp_extract_all(ascii_words(text), F.lit(r"\b[a-zA-Z]+\b"), 0)
-    return F.array_sort(F.array_distinct(F.filter(found, lambda w: (F.length(w) >= 3) & ~F.array_contains(_words(C.STOP_QUESTION), w))))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda w: (F.length(w) >= 3) & ~w.isin(C.STOP_QUESTION))))
 
 
 def word_count(text: ColumnOrName) -> Column:

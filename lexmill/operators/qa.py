@@ -12,7 +12,7 @@ from ..functions import text as T
 def confidence(scores: Column) -> Column:
     """The mean score of the sources to two decimals, 0 without sources."""
     total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    return F.when(F.coalesce(F.size(scores), F.lit(0)) > 0, F.round(total / F.size(scores), 2)).otherwise(0.0)
+    return F.when(F.coalesce(F.size(scores), F.lit(0)) > 0, F.floor(total / F.size(scores) * 100 + 0.5) / 100).otherwise(0.0)
 
 
 def source_summary(sources: Column) -> Column:

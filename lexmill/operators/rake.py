@@ -15,9 +15,8 @@ def phrases(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Texts are cut at stop words and punctuation; our own stop list is used.
     """
-    stops = F.array(*[F.lit(w) for w in C.STOP_VOCAB])
     words = F.split(F.regexp_replace(F.lower(T.rake_text(text)), r"[^\p{L}\p{N}'\- ]+", " | "), " +")
-    marked = F.array_join(F.transform(words, lambda w: F.when(F.array_contains(stops, w), "|").otherwise(w)), " ")
+    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(C.STOP_VOCAB), "|").otherwise(w)), " ")
     parts = F.transform(F.split(marked, r"\|"), lambda p: F.trim(p))
     good = F.filter(parts, lambda p: (p != "") & (F.size(F.split(p, " ")) <= C.RAKE_MAX_WORDS))
     return df.select(key, F.posexplode(good).alias("pos", "phrase"))
