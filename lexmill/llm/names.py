@@ -355,6 +355,11 @@ def keys(name: Name) -> list[str]:
     return []
 
 
+@lru_cache(100_000)
+def _key_set(name: str) -> frozenset[str]:
+    return frozenset(keys(parse(name)))
+
+
 # -- operators -----------------------------------------------------------
 
 
@@ -396,24 +401,24 @@ def links(names: DataFrame) -> DataFrame:
     """scope, name_a, name_b, link ("firm" or "weak") of the compared pairs.
 
     Candidates share a blocking key within a scope.  A block is joined by its
-    key, never collected; a pair that shares several keys is compared once.
+    key, never collected; a pair that shares several keys is compared under the
+    smallest of them only, so that candidates need no shuffle to be made unique.
     """
 
     def keyed(rows):
         for scope, name in rows:
-            for k in dict.fromkeys(keys(parse(name))):
+            for k in _key_set(name):
                 yield scope, k, name
 
     def judge(rows):
-        for scope, a, b in rows:
-            link = same(parse(a), parse(b))
-            if link:
+        for scope, k, a, b in rows:
+            if k == min(_key_set(a) & _key_set(b)) and (link := same(parse(a), parse(b))):
                 yield scope, a, b, link
 
     k = map_rows(names.select("scope", "name"), keyed, "scope string, k string, name string")
     left = k.select("scope", "k", F.col("name").alias("name_a"))
     right = k.select("scope", "k", F.col("name").alias("name_b"))
-    pairs = left.join(right, ["scope", "k"]).where("name_a < name_b").select("scope", "name_a", "name_b").distinct()
+    pairs = left.join(right, ["scope", "k"]).where("name_a < name_b").select("scope", "k", "name_a", "name_b")
     return map_rows(pairs, judge, "scope string, name_a string, name_b string, link string")
 
 
