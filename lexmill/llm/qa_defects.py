@@ -145,8 +145,8 @@ def is_copied(question: str | None, answer: str) -> bool:
 FUNCTION_WORDS = {
     "en": "the of and to in that was for is on with by as which from not at it an were be are this or had has but who whether before after because under what did does when where how no yes their been".split(),
     "es": "el la los las de que en y del se por con una un para no al su fue según lo como qué cuál ha han porque sobre esta este sin entre cuando dónde quién resuma describa sus o".split(),
-    "de": "der die das und ist von den mit des dem zu nicht ein eine auf für im wurde war nach bei aus als auch sich laut über hat wird oder dass zum zur einer keine".split(),
-    "fr": "le la les de des et est en du un une que dans pour qui par sur pas au aux ce il elle été avec selon ne se a ou son sa ses cette aucun aucune".split(),
+    "de": "der die das und ist von den mit des dem zu nicht ein eine auf für im wurde war nach bei aus als auch sich laut über hat wird oder dass zum zur einer keine keinen kein weil wurden worden ab obwohl zwischen diese dieser kam wies gegen durch".split(),
+    "fr": "le la les de des et est en du un une que dans pour qui par sur pas au aux ce il elle été avec selon ne se a ou son sa ses cette aucun aucune leur cause sans avait étaient lequel parce mais car".split(),
     "pt": "o a os as de que e do da em um uma para com não no na por foi dos das ao se mais como mas segundo pelo pela são".split(),
     "it": "il lo la gli le di che e del della in un una per non con è da dei delle nel sono stato alla al si secondo".split(),
 }
@@ -318,9 +318,9 @@ def is_truncated(text: str, known: frozenset[str] | None = None) -> bool:
         tail = (item.group(1) if item else last_line).strip()
         words = tail.split()
     # names, dates, amounts and noun phrases need no full stop: nearly all words capitalised or figures
-    plain = [w for w in words if w[:1].islower() and w not in ("and", "y", "plus", "of", "de")]
+    plain = [w for w in words if w[:1].islower() and w not in ("and", "y", "plus", "of", "de", "interest", "or", "in", "total")]
     if end == 0:
-        return len(plain) > 3 and len(plain) >= 0.4 * len(words)
+        return len(plain) >= 2 and len(words) >= 5
     return len(plain) >= 1
 
 
