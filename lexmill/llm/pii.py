@@ -137,6 +137,7 @@ _PLACE_NEXT = re.compile(r"\s+(?:LLC|LLP|L\.L\.C|Inc|Corp|Ltd|P\.C|Company|Group
 _CITED_NEXT = re.compile(r"\s+v(?:s)?\.\s")
 _CITED_BEFORE = re.compile(r"\bv(?:s)?\.\s+$")
 _WS = re.compile(r"\s")
+_BREAK = re.compile(r"\n[^\S\n]*\n")
 _SAID = re.compile(r"\s+(?:testified|stated|told|objected|inspected|charted|wrote|signed|said|declared)\b|['’]s\s")
 _BY = re.compile(r"(?:\b(?:by|of|told|from|and|to|Attn|To|Dr|Mr|Mrs|Ms)[.:]?\s+)$")
 _MORE_NAME = re.compile(r"\s+[A-ZÀ-Þ][a-zà-þ]+\b(?!\s*[;:|])")
@@ -197,7 +198,8 @@ def spans(text: str) -> list[Span]:
     _names(text, add)
     if not got:
         return got
-    got = [g for g in got if g.score >= THRESHOLD]
+    # no item crosses a paragraph break
+    got = [g for g in got if g.score >= THRESHOLD and not ("\n" in text[g.start : g.end] and _BREAK.search(text, g.start, g.end))]
     got.sort(key=lambda g: (-g.score, g.start - g.end, g.start))
     kept: list[Span] = []
     for g in got:

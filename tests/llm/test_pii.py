@@ -27,6 +27,7 @@ CASES = [
     ("P. J. Stoulvis testified.", [("name", "P. J. Stoulvis")]),
     ("Simon Blalkard's report; Charles N. Jouzzison-Zastow, M.D.", [("name", "Simon Blalkard"), ("name", "Charles N. Jouzzison-Zastow")]),
     ("In Allen v. Gordow and Victoria Medical Group the court held.", []),
+    ("see page\n29\n\nQuarry Avenue, near it. Victoria\n\nThere was none.", []),
     ("Q. Who prepared it?\nA. Yes.", []),
 ]
 
