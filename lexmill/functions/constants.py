@@ -131,3 +131,31 @@ ANSWER_KEYWORDS = {
 }
 MIN_RETRIEVAL_SCORE, RETRIEVAL_K = 0.1, 4
 OCR_CONFIDENCE = 70
+
+# Relevance of places: (pattern with the place in group 1, relevance), in order.
+PLACE_ROLES = [
+    (r"(?i)accident\s+(?:at|on|near)\s+([A-Z][a-zA-Z\s]+)", "Accident location"),
+    (r"(?i)incident\s+(?:occurred|happened)\s+(?:at|on|near)\s+([A-Z][a-zA-Z\s]+)", "Incident location"),
+    (r"(?i)collision\s+(?:at|on|near)\s+([A-Z][a-zA-Z\s]+)", "Collision location"),
+    (r"(?i)(?:at|to|from|near)\s+([A-Z][a-zA-Z\s]+(?:Hospital|Medical Center|Clinic))", "Medical facility"),
+    (r"(?i)([A-Z][a-zA-Z]+\s+[A-Z][a-zA-Z]+)\s+(?:Hospital|Medical Center|Clinic)", "Medical facility"),
+    (r"(?i)surgery\s+(?:at|performed at)\s+([A-Z][a-zA-Z\s]+)", "Surgery location"),
+    (r"(?i)treatment\s+(?:at|received at)\s+([A-Z][a-zA-Z\s]+)", "Treatment location"),
+    (r"(?i)([A-Z][a-zA-Z]+(?:\s+[&,]\s+[A-Z][a-zA-Z]+)+)\s+(?:LAW FIRM|LLP|PC|PLLC)", "Law firm"),
+    (r"(?i)([A-Z][a-zA-Z]+\s+[A-Z][a-zA-Z]+)\s+&\s+(?:[A-Z][a-zA-Z]+)", "Law firm"),
+    (r"(?i)THE\s+([A-Z][a-zA-Z\s]+)\s+LAW FIRM", "Law firm"),
+    (r"(?i)employed\s+(?:at|by)\s+([A-Z][a-zA-Z\s]+)", "Workplace"),
+    (r"(?i)works\s+(?:at|for)\s+([A-Z][a-zA-Z\s]+)", "Workplace"),
+]
+
+# Entities that are no vocabulary: found anywhere, and found at the start.
+ENTITY_FILTERS = [
+    r"\d+(?:st|nd|rd|th)\s+Floor", r"\b(?:Street|Drive|Avenue|Road|Lane|Court|Boulevard|Place|Way)\b", r"^\d+\s+[A-Z]", r"^(?:SUPREME|CIVIL|FAMILY|DISTRICT)\s+COURT", r"^NOTICE\s+OF",
+    r"Attorneys?\s+for\s+(?:Plaintiff|Defendant)", r"Services?\s+-\s+(?:Plaintiff|Defendant|None)", r"^(?:Plaintiff|Defendant)(?:'s)?$", r"^(?:FIRST|SECOND|THIRD|FOURTH|FIFTH)\s+CAUSE", r"^\d+\s+of\s+\d+$",
+    r"Verified\s+(?:Bill|Answer|Complaint|Petition)", r"Notice\s+of\s+Commencement", r"Cause\s+of\s+Action", r"Honorable\s+Court", r"Answering\s+Defendant", r"^[A-Z][a-zA-Z]+\s+v\.?\s+[A-Z][a-zA-Z]+$",
+]
+WORD_FILTERS = [
+    r"^[a-z]+\(s\)$", r"^[a-z]+s\(s\)$", r"^[a-z]+\([a-z]+\)$", r"^[a-z]+'s$", r"^[a-z]+-[a-z]+$", r"^[A-Za-z]+-[A-Z][a-z]", r"^.*[0-9][A-Za-z]{2,}[0-9]",
+    r"^[A-Z]{2,}\s+(?:SS|§)\s*\d+", r"^\w+\s+Law\s+(?:SS|§)\s*\d+", r"^\d+\s+[A-Z]+\s+\d+", r"^[A-Z]{2,}\s+\d+", r"^\d{5}(?:-\d{4})?$", r"^[A-Z]{2}\s+\d{5}$",
+]
+CATEGORY_NAMES = {"PARTY": "Parties", "MEDICAL": "Medical Personnel", "WITNESS": "Witnesses", "OTHER": "Other Individuals"}

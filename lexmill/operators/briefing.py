@@ -103,3 +103,53 @@ def openings(df: DataFrame) -> DataFrame:
     head = F.concat(F.lit("This is a "), F.col("case_type"), F.lit(" case"))
     text = F.when((F.size(p) > 0) & (F.size(d) > 0), F.concat(head, F.lit(" brought by "), sentence_list(p), F.lit(" against "), sentence_list(d), F.lit("."))).when(F.size(p) > 0, F.concat(head, F.lit(" involving "), sentence_list(p), F.lit("."))).otherwise(F.concat(head, F.lit(".")))
     return rows.select("case_id", text.alias("narrative"))
+
+
+def firsts(df: DataFrame, field: str, n: int) -> DataFrame:
+    """case_id and the first ``n`` distinct values of a list, in order.  Ranked
+    before they are collected, so a list never holds more than ``n``."""
+    w = W.partitionBy("case_id").orderBy("first")
+    top = first_seen(df, field).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    return top.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]).alias(field))
+
+
+def narratives(df: DataFrame) -> DataFrame:
+    """case_id, narrative: the opening, key allegations (5), defences (3), facts
+    (5) and dates (5) in fixed sentences."""
+    rows = openings(df).withColumnRenamed("narrative", "opening")
+    for field, n in (("allegations", 5), ("defenses", 3), ("key_facts", 5), ("dates_mentioned", 5)):
+        rows = rows.join(firsts(df, field, n), "case_id", "left")
+    dashes = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+    listed = lambda c, one, many: F.when(F.size(c) == 1, F.concat(F.lit(one), F.lower(F.get(c, F.lit(0))))).when(F.size(c) > 1, F.concat(F.lit(many + "\n"), dashes(c)))
+    parts = [
+        F.col("opening"),
+        listed(F.col("allegations"), "The plaintiff alleges that ", "The key allegations in this case include:"),
+        listed(F.col("defenses"), "The defendant contends that ", "The defense asserts:"),
+        F.when(F.size("key_facts") > 0, F.concat(F.lit("Key facts include:\n"), dashes(F.col("key_facts")))),
+        F.when(F.size("dates_mentioned") > 0, F.concat(F.lit("Relevant dates: "), sentence_list(F.col("dates_mentioned")))),
+    ]
+    return rows.select("case_id", F.concat_ws("\n\n", *parts).alias("narrative"))
+
+
+def names_section(df: DataFrame, cap: int = 10) -> DataFrame:
+    """case_id, section, position, line: the people of a case by category in a
+    fixed order, ten of each."""
+    rows = df.select("case_id", F.explode("names_mentioned").alias("x")).select("case_id", F.coalesce(F.upper("x.category"), F.lit("OTHER")).alias("category"), F.trim("x.name").alias("name"), F.trim("x.role").alias("role"), T.normalize_name("x.name").alias("norm")).where("norm <> ''")
+    one = rows.groupBy("case_id", "category", "norm").agg(F.max(F.struct(F.length("name").alias("n"), F.col("name"))).alias("b"), F.max(F.struct(F.length("role").alias("n"), F.col("role"))).alias("r"))
+    w = W.partitionBy("case_id", "category").orderBy("b.name", "norm")
+    line = F.when(F.length("r.role") > 0, F.concat("b.name", F.lit(" ("), "r.role", F.lit(")"))).otherwise(F.col("b.name"))
+    section = F.create_map(*[F.lit(x) for kv in C.CATEGORY_NAMES.items() for x in kv])
+    return one.withColumn("position", F.row_number().over(w)).where(F.col("position") <= cap).select("case_id", F.coalesce(section[F.col("category")], F.lit("Other Individuals")).alias("section"), "category", "position", line.alias("line"))
+
+
+def parsed_responses(df: DataFrame) -> DataFrame:
+    """chunk_id, state of each failed extraction's raw response: ``object`` if it
+    parses, ``array``, ``cut`` if it begins as JSON only, ``prose`` else."""
+    raw = F.trim("raw_response")
+    state = (
+        F.when(F.get_json_object(raw, "$").isNotNull() & raw.startswith("{"), "object")
+        .when(F.get_json_object(raw, "$").isNotNull() & raw.startswith("["), "array")
+        .when(raw.rlike(r"^[\[{]"), "cut")
+        .otherwise("prose")
+    )
+    return df.where("raw_response IS NOT NULL").select("chunk_id", state.alias("state"), F.length("raw_response").alias("n_chars")).distinct()

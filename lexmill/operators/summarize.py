@@ -60,3 +60,26 @@ def metadata(df: DataFrame, group: str, keywords: str, text: str) -> DataFrame:
     k = df.select(group, F.explode(keywords).alias("k")).where("k IS NOT NULL").groupBy(group, "k").agg(F.count(F.lit(1)).alias("c"))
     top = k.groupBy(group).agg(F.count(F.lit(1)).alias("n_keywords"), F.min(F.struct((-F.col("c")).alias("c"), F.col("k"))).alias("t"))
     return base.join(top, group, "left").select(group, "n", "mean_words", F.coalesce("n_keywords", F.lit(0)).alias("n_keywords"), F.col("t.k").alias("top_keyword"))
+
+
+def recent_summaries(df: DataFrame, n: int = 5, doc: str = "source_document", num: str = "chunk_num") -> DataFrame:
+    """doc, chunk and the last ``n`` summaries up to it, joined."""
+    w = W.partitionBy(doc).orderBy(num).rowsBetween(-(n - 1), 0)
+    filled = F.when(F.trim("chunk_summary") != "", F.col("chunk_summary"))
+    return df.select(doc, num, F.array_join(F.collect_list(filled).over(w), "\n").alias("recent"))
+
+
+def success_rates(df: DataFrame, group: str) -> DataFrame:
+    """group, n, succeeded, rate of document results."""
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") != "error", 1)).alias("succeeded")).withColumn("rate", F.round(F.col("succeeded") / F.col("n"), 6))
+
+
+def word_budget(words: Column) -> Column:
+    """Room for a summary of so many words: the range of 20 either way and the
+    tokens int(max x 1.5 x 1.3)."""
+    most = words + 20
+    return F.struct(F.greatest(words - 20, F.lit(0)).alias("least"), most.alias("most"), F.floor(most * F.lit(1.5) * F.lit(1.3)).cast("bigint").alias("tokens"))
+
+
+def prompt_tokens(text: str) -> Column:
+    return F.floor(F.length(text) / 4)

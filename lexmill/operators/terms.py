@@ -54,3 +54,18 @@ def bm25_terms(df: DataFrame, key: str, text: str, weights: DataFrame) -> DataFr
         .where(F.col("rank") <= C.MAX_BM25_TERMS)
         .select(key, "term", "tf", "score", F.round(F.least(F.col("score") / 15, F.lit(1.0)), 4).alias("confidence"), "rank")
     )
+
+
+def dictionary_confidence(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """key, n_tokens, n_known, confidence: the share of letter-only tokens that
+    are in a word list, in percent; 0 without tokens.
+
+    Distinct tokens of a text are counted inside its row; the word list is
+    joined on the word, whatever its size.
+    """
+    found = F.regexp_extract_all(T.ascii_words(text), F.lit(r"\b[a-zA-Z]+\b"), 0)
+    toks = df.select(key, F.coalesce(found, F.array().cast("array<string>")).alias("t"))
+    pairs = toks.select(key, F.explode("t").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    known = pairs.join(words.select("word").distinct(), "word").groupBy(key).agg(F.sum("n").alias("n_known"))
+    out = toks.select(key, F.size("t").alias("n_tokens")).distinct().join(known, key, "left").withColumn("n_known", F.coalesce("n_known", F.lit(0)))
+    return out.withColumn("confidence", F.when(F.col("n_tokens") > 0, F.round(F.col("n_known") * 100 / F.col("n_tokens"), 4)).otherwise(0.0))

@@ -118,3 +118,35 @@ def person_roles(persons: DataFrame, df: DataFrame, key: str, text: str) -> Data
     hit = persons.select(key, "term").join(names, key).where(low("term").contains(F.col("caught")) | F.col("caught").contains(low("term")))
     best = hit.groupBy(key, "term").agg(F.min_by("role", "o").alias("role"))
     return persons.select(key, "term").join(best, [key, "term"], "left").withColumn("role", F.coalesce("role", F.lit("Person in case")))
+
+
+def place_relevance(places: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term, relevance of each place: the first pattern whose captured
+    place shares half of the shorter one's words."""
+    caught = None
+    for i, (pattern, role) in enumerate(C.PLACE_ROLES):
+        part = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 1)).alias("caught"), F.lit(i).alias("o"), F.lit(role).alias("relevance"))
+        caught = part if caught is None else caught.unionByName(part)
+    words = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
+    hit = places.select(key, "term").join(caught.select(key, words("caught").alias("w"), "o", "relevance").distinct(), key)
+    share = F.size(F.array_intersect(words("term"), "w")) / F.least(F.size(words("term")), F.size("w"))
+    best = hit.where(share >= 0.5).groupBy(key, "term").agg(F.min_by("relevance", "o").alias("relevance"))
+    return places.select(key, "term").join(best, [key, "term"], "left").withColumn("relevance", F.coalesce("relevance", F.lit("Location mentioned in case")))
+
+
+def keeps_entity(term: Column) -> Column:
+    """Whether an entity is none of addresses, fragments, boilerplate, citations."""
+    return F.length(term).between(3, 60) & ~term.rlike("(?i)" + "|".join(f"(?:{p})" for p in C.ENTITY_FILTERS[:-1])) & ~term.rlike(C.ENTITY_FILTERS[-1])
+
+
+def keeps_word(word: Column) -> Column:
+    return ~word.rlike("|".join(f"(?:{p})" for p in C.WORD_FILTERS))
+
+
+def is_rare(rank: Column) -> Column:
+    return rank.isNull() | (rank >= C.RARE_RANK)
+
+
+def without(vocab: DataFrame, excluded: DataFrame) -> DataFrame:
+    """The vocabulary without excluded terms (lower case, trimmed)."""
+    return vocab.join(excluded.select(F.lower(F.trim("term")).alias("_x")).distinct(), F.lower(F.trim(vocab["term"])) == F.col("_x"), "left_anti")

@@ -244,4 +244,18 @@ ORACLE_SQL = {
  k AS (SELECT case_id, k, count(*) AS c FROM (SELECT case_id, unnest(vocabulary) AS k FROM ex) WHERE k IS NOT NULL GROUP BY ALL)
  SELECT b.case_id, n, mean_words, coalesce(n_keywords, 0) AS n_keywords, top_keyword FROM b LEFT JOIN (SELECT case_id, count(*) AS n_keywords, first(k ORDER BY c DESC, k) AS top_keyword FROM k GROUP BY case_id) USING (case_id)""",
     "chunks_by_document": f"SELECT source_document, count(*) AS n_chunks, string_agg(chunk_row_id::VARCHAR, ',' ORDER BY chunk_num, chunk_row_id) AS chunk_ids FROM (SELECT DISTINCT source_document, chunk_row_id, chunk_num FROM {WORK}) GROUP BY source_document",
+    "dictionary_confidence": rf"""WITH {IDF}, w AS (SELECT chunk_row_id, any_value(chunk_text) AS t FROM {WORK} WHERE chunk_text IS NOT NULL GROUP BY chunk_row_id),
+ k AS (SELECT chunk_row_id, regexp_extract_all({ascii_words('t')}, '\b[a-zA-Z]+\b') AS t FROM w), e AS (SELECT chunk_row_id, unnest(t) AS word FROM k),
+ kn AS (SELECT chunk_row_id, count(*) AS n_known FROM e WHERE word IN (SELECT term FROM df WHERE df >= 3) GROUP BY chunk_row_id)
+ SELECT chunk_row_id, len(t) AS n_tokens, coalesce(n_known, 0) AS n_known, CASE WHEN len(t) > 0 THEN round(coalesce(n_known, 0) * 100 / len(t), 4) ELSE 0 END AS confidence FROM k LEFT JOIN kn USING (chunk_row_id)""",
+    "entity_filter": f"""WITH {ONCE}, e AS (SELECT x.name AS term FROM (SELECT unnest(names_mentioned) AS x FROM ex) WHERE x.name IS NOT NULL)
+ SELECT len(term) BETWEEN 3 AND 60 AND NOT regexp_matches(term, {_q('(?i)' + '|'.join(f'(?:{p})' for p in C.ENTITY_FILTERS[:-1]))}) AND NOT regexp_matches(term, {_q(C.ENTITY_FILTERS[-1])}) AS kept, count(*) AS n, count(DISTINCT term) AS n_terms FROM e GROUP BY 1""",
+    "terms_without_disliked": f"WITH {LATEST} SELECT DISTINCT term FROM log WHERE term IS NOT NULL AND lower(trim(term)) NOT IN (SELECT term_key FROM latest WHERE feedback = -1) UNION SELECT term FROM log WHERE term IS NULL",
+    "recent_summaries": f"""SELECT source_document, chunk_num, md5(coalesce(string_agg(s, chr(10)) OVER (PARTITION BY source_document ORDER BY chunk_num ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), '')) AS recent
+ FROM (SELECT DISTINCT source_document, chunk_num, CASE WHEN trim(chunk_summary) <> '' THEN chunk_summary END AS s FROM {WORK})""",
+    "success_rates": "SELECT case_id, count(*) AS n, count(*) FILTER (status <> 'error') AS succeeded, round(count(*) FILTER (status <> 'error') / count(*), 6) AS rate FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM document_result) GROUP BY case_id",
+    "prompt_budgets": rf"""SELECT DISTINCT chunk_row_id, (len(chunk_text) // 4)::BIGINT AS prompt_tokens, greatest(n - 20, 0) AS least, n + 20 AS most, floor((n + 20) * 1.5::DOUBLE * 1.3::DOUBLE)::BIGINT AS tokens
+ FROM (SELECT *, len(list_filter(string_split_regex(chunk_text, '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+'), lambda w: w <> '')) AS n FROM {WORK} WHERE chunk_text IS NOT NULL)""",
+    "debug_rows": f"SELECT DISTINCT chunk_row_id, substr(chunk_text, 1, 100) || '...' AS chunk_text, substr(chunk_summary, 1, 75) || '...' AS chunk_summary, substr(progressive_summary, 1, 75) || '...' AS progressive_summary FROM {WORK}",
+    "processing_times": f"""SELECT DISTINCT chunk_row_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS took FROM (SELECT chunk_row_id, floor(coalesce(processing_time_sec, 0))::BIGINT AS s FROM {WORK})""",
 }

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..functions.unicode import plain_ascii
 from ..operators import briefing, chunk, feedback, preprocess, qa, rake, retrieval, summarize, terms, vocab
 from ..session import materialize, shared_dir, table
-from ..sources import corpus
+from ..sources import corpus, sinks
 from ..streaming import feedback as stream
 
 WORK = "summarization_20251116_215704"
@@ -313,6 +314,67 @@ def event_sessions(s, d):
     return stream.sessions(table(s, d, "events"), "ts", "user_id")
 
 
+def dictionary_confidence(s, d):
+    words = terms.document_frequency(_docs(s, d), "text").where("df >= 3").select(F.col("term").alias("word"))
+    return terms.dictionary_confidence(_chunks(s, d), "chunk_row_id", "t", words)
+
+
+def transliterated_text(s, d):
+    t = _docs(s, d).where("text IS NOT NULL").select("doc_id", "text", plain_ascii(F.col("text")).alias("t"))
+    return t.select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("hash"), (F.col("t") != F.col("text")).alias("changed"))
+
+
+def place_relevance(s, d):
+    docs = _docs(s, d)
+    places = vocab.entities(docs, "doc_id", "text").where("type = 'Place'").where(vocab.keeps_entity(F.col("term"))).select("doc_id", "term").distinct()
+    return vocab.place_relevance(places, docs, "doc_id", "text")
+
+
+def entity_filter(s, d):
+    e = _once(s, d).select("chunk_id", F.explode("names_mentioned").alias("x")).select("chunk_id", F.col("x.name").alias("term")).where("term IS NOT NULL")
+    return e.groupBy(vocab.keeps_entity(F.col("term")).alias("kept")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("n_terms"))
+
+
+def terms_without_disliked(s, d):
+    log = feedback.redelivered_once(table(s, d, "vocab_feedback"))
+    disliked = feedback.latest(log).where("feedback = -1").select(F.col("term_key").alias("term"))
+    return vocab.without(log.select("term").distinct(), disliked)
+
+
+def briefing_narratives(s, d):
+    return briefing.narratives(_once(s, d)).select("case_id", F.length("narrative").alias("n_chars"), F.md5("narrative").alias("hash"))
+
+
+def names_section(s, d):
+    return briefing.names_section(_once(s, d)).select("case_id", "section", "position", "line")
+
+
+def parsed_responses(s, d):
+    return briefing.parsed_responses(table(s, d, "chunk_extraction"))
+
+
+def recent_summaries(s, d):
+    r = summarize.recent_summaries(_work(s, d).select("source_document", "chunk_num", "chunk_summary").distinct())
+    return r.select("source_document", "chunk_num", F.md5("recent").alias("recent"))
+
+
+def success_rates(s, d):
+    return summarize.success_rates(table(s, d, "document_result").drop("loaded_at").distinct(), "case_id")
+
+
+def prompt_budgets(s, d):
+    w = _work(s, d).where("chunk_text IS NOT NULL").select("chunk_row_id", summarize.prompt_tokens("chunk_text").alias("prompt_tokens"), summarize.word_budget(T.word_count("chunk_text")).alias("b"))
+    return w.select("chunk_row_id", "prompt_tokens", "b.least", "b.most", "b.tokens").distinct()
+
+
+def debug_rows(s, d):
+    return sinks.debug_rows(_work(s, d), ["chunk_row_id"]).distinct()
+
+
+def processing_times(s, d):
+    return _work(s, d).select("chunk_row_id", T.duration(F.coalesce("processing_time_sec", F.lit(0.0))).alias("took")).distinct()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -321,5 +383,6 @@ QUERIES = {
         feedback_counts, feedback_features, term_preferences, bm25plus_topk, vector_topk, hybrid_merge, qa_confidence, extracted_answers, classified_answers, answers_by_category, question_steps,
         briefing_parties, briefing_dates, briefing_vocabulary, case_types, briefing_stats, people_by_category, briefing_openings, allegations_deduplicated, section_runs, section_boundaries,
         adaptive_boundaries, chunk_contexts, reduce_batches, summary_metadata, section_chunks, brief_chunks, split_chunks, chunks_by_document, event_windows, event_sessions,
+        dictionary_confidence, transliterated_text, place_relevance, entity_filter, terms_without_disliked, briefing_narratives, names_section, parsed_responses, recent_summaries, success_rates, prompt_budgets, debug_rows, processing_times,
     )
 }

@@ -70,3 +70,10 @@ def test_title_pages(spark):
     page = "SUPREME COURT OF THE STATE\nJOHN DOE, Plaintiff,\n -against- \nINDEX NO. 12/2020\n\fQ. Where?\nA. Here."
     assert one(spark, T.remove_title_pages, page) == "Q. Where?\nA. Here."
     assert one(spark, T.title_score, "Q. Where?\nA. Here.") == -6
+
+
+def test_unicode(spark):
+    from lexmill.functions import unicode as U
+
+    assert one(spark, lambda c: U.plain_ascii(F.col(c)), "Ｃａfé “naïve” Łódź – ½") == 'Cafe "naive" Lodz - 1⁄2'
+    assert one(spark, lambda c: U.nfkc(F.col(c)), None) is None

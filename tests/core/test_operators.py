@@ -168,3 +168,18 @@ def test_imports_without_the_text_subpackage():
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"\bllm\b", p.read_text()), p
     assert C.K1 == 1.2
+
+
+def test_narratives(spark):
+    part = "struct<plaintiffs:array<string>,defendants:array<string>>"
+    rows = [(1, "c", {"plaintiffs": ["Ann Bly"], "defendants": ["Cox LLC", "Dee"]}, ["A pipe burst."], [], ["Fact one.", "Fact two."], ["May 4, 2020"], ["slip and fall"], True)]
+    df = spark.createDataFrame(rows, f"chunk_id int, case_id string, parties {part}, allegations array<string>, defenses array<string>, key_facts array<string>, dates_mentioned array<string>, case_type_hints array<string>, extraction_success boolean")
+    want = "This is a premises liability case brought by Ann Bly against Cox LLC and Dee.\n\nThe plaintiff alleges that a pipe burst.\n\nKey facts include:\n- Fact one.\n- Fact two.\n\nRelevant dates: May 4, 2020"
+    assert briefing.narratives(df).first().narrative == want
+
+
+def test_dictionary_confidence(spark):
+    df = spark.createDataFrame([(1, "The cat sat, the dog ran"), (2, ""), (3, None)], "id int, t string")
+    words = spark.createDataFrame([("the",), ("cat",), ("the",)], "word string")
+    got = {r.id: (r.n_tokens, r.n_known, r.confidence) for r in terms.dictionary_confidence(df, "id", "t", words).collect()}
+    assert got == {1: (6, 3, 50.0), 2: (0, 0, 0.0), 3: (0, 0, 0.0)}
