@@ -30,7 +30,7 @@ from .common import map_rows
 #: The single-byte code pages of the encoding pairs, likelier ones first.
 PAIRS = ("cp1252", "latin_1", "mac_roman", "cp850", "cp437", "cp1251", "cp1250", "koi8_r", "iso8859_15")
 #: Log probabilities of the model (documented parameters).
-ENTER, STAY, LEAVE = math.log(5e-2), math.log(0.9), math.log(0.1)
+ENTER, STAY, LEAVE = math.log(5e-2), math.log(0.7), math.log(0.3)
 LEAD, CONT, BROKEN = math.log(1 / 30), math.log(1 / 16), math.log(1e-7)
 PAIR_PRIOR = math.log(0.8)
 LOST = "�"
@@ -87,6 +87,8 @@ def _clean_cost(prev: str, c: str, nxt: str, before: str = "") -> float:
     """Log probability of ``c`` between its neighbours in clean text."""
     script, kind = _kind(c)
     p = {"lower": -3.5, "upper": -5.0, "open": -3.5, "close": -3.5, "symbol": -4.5, "control": -14.0}[kind]
+    if kind == "upper" and script != "latin":
+        p -= 1.0
     if 0x2500 <= ord(c) < 0x2600:
         p -= 4.0  # box drawing
     if prev and prev > "\x7f":
@@ -95,7 +97,7 @@ def _clean_cost(prev: str, c: str, nxt: str, before: str = "") -> float:
         if kind in ("upper", "lower") and _kind(prev)[0] not in ("", script):
             p -= 5.0
         if kind == "close" and _kind(prev)[1] == "upper" and not before.isalpha():
-            p -= 2.0  # a lone capital and a mark
+            p -= 3.0 if nxt.isalpha() else 1.0  # a lone capital and a mark, then a word
     elif prev.isalpha():
         if kind == "upper" and prev.islower():
             p -= 3.0  # a capital inside a word
