@@ -45,9 +45,9 @@ BUSINESS = {
     "company": "co", "construction": "constr const", "property": "prop", "management": "mgmt mgt", "engineering": "eng engr engg", "consultants": "cons consult conslt", "surgical": "surg", "associates": "assoc assocs assc",
     "imaging": "img imag", "partners": "ptnrs ptrs prtnrs", "freight": "frt", "services": "svcs svc serv", "logistics": "log logist", "international": "intl int'l internat", "nursing": "nurs", "home": "hm", "orthopedic": "ortho orth",
     "center": "ctr cntr centre", "mutual": "mut", "assurance": "assur", "pharmaceuticals": "pharma pharm", "corporation": "corp", "incorporated": "inc", "limited": "ltd", "university": "univ", "national": "natl nat'l",
-    "association": "assn", "brothers": "bros", "laboratories": "labs", "technologies": "tech", "industries": "ind", "systems": "sys", "solutions": "soln", "bank": "bk", "clinic": "cln", "transport": "transp", "realty": "rlty", "department stores": "dept stores",
+    "association": "assn", "brothers": "bros", "laboratories": "labs", "technologies": "tech", "industries": "ind", "systems": "sys", "solutions": "soln", "bank": "bk", "clinic": "cln", "transport": "transp", "realty": "rlty",
 }
-_LONG = {s.replace("'", ""): w for w, short in BUSINESS.items() for s in short.split()} | {w: w for w in BUSINESS if " " not in w}
+_LONG = {s.replace("'", ""): w for w, short in BUSINESS.items() for s in short.split()} | {w: w for w in BUSINESS}
 _LONG.update({"corp": "corp", "inc": "inc", "ltd": "ltd", "co": "co", "company": "company"})
 # Placeholders and words for roles.
 NO_NAMES = frozenset(
@@ -211,7 +211,7 @@ def _fix_business(w: str) -> str:
     if w in _LONG:
         return _LONG[w]
     for b in BUSINESS:
-        if " " not in b and len(w) > 4 and alike(w, b):
+        if len(w) > 4 and alike(w, b):
             return b
     return w
 

@@ -8,6 +8,7 @@ SAME = [
     ["Simon Waidreth Jr.", "WAIDRETH JR., Simon", "Simon Waidreth, Jr."],
     ["Blourraki Manufacturing, Corp.", "Blourraki Mfg", "Blourraki Manufacturyng", "blourraki manufacturing", 'Blourraki Manufacturing, Corp. ("Blourraki")', "The Blourraki Manufacturing"],
     ["Grirvide Imaging Partners, LLP", "Grirvide Imaging Ptnrs., LLP", "GIP"],
+    ["Kleazzwick Dept Stores", "Kleazzwick Department Stores, Inc.", "KDS Inc."],
     ["Mónica Pregory", "Monica Pregory", "Ms. Mónica Pregory"],
 ]
 APART = ["Simon Waidreth Sr.", "Blourraki Mutual Assurance, Co.", "José Woungenko", "N/A", "the plaintiff", "None"]
