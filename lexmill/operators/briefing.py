@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,39 +52,44 @@ def people_by_category(df: DataFrame) -> DataFrame:
     return one.groupBy("case_id", "category").agg(F.count(F.lit(1)).alias("n_people"), F.sort_array(F.collect_list("best.name")).alias("names"))
 
 
+def _shingles(norm):
+    """Runs of five words, distinct; a shorter text is one run."""
+    words = F.regexp_extract_all(norm, F.lit(r"[\p{L}\p{N}']+"), 0)
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 5), " "))
+    return F.array_distinct(F.when(n >= 5, runs).otherwise(F.array(norm)))
+
+
 def dedup_text(df: DataFrame, field: str) -> DataFrame:
     """case_id, value: texts of a list without near-duplicates.
 
-    Greedy in order of (chunk, place): a text that contains or is contained in a
-    kept one, or is at least 0.8 like it, adds nothing, but the longer of the
-    two stays.  Exact repeats are dropped in Spark first.  Texts are compared
-    within a block of their case, those that begin with the same two words, so
-    that a case with a third of all rows is not one group; near-duplicates that
-    begin otherwise are kept apart.
+    A text goes if a longer one of its case (ties: the smaller) contains it or is
+    at least 0.8 like it.  Candidates share five words: each text's rarest runs
+    (a fifth of them and one) are joined with all runs of its case, so no group
+    is ever collected, and what every text shares makes no pairs.  Texts whose
+    every run of five words differs are no candidates; texts of ten characters
+    or less are left out.
     """
-    kept = first_seen(df, field).where(F.length("value") > C.MIN_ITEM_LENGTH)
-    rows = kept.select("case_id", "value", F.col("first.chunk_id").alias("chunk_id"), F.col("first.pos").alias("pos"), F.lower(F.substring_index("value", " ", 2)).alias("block"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[str] = []
-        for text in pdf.sort_values(["chunk_id", "pos"])["value"]:
-            low = text.lower()
-            for i, have in enumerate(out):
-                h = have.lower()
-                if low in h or h in low or _ratio(low, h) >= C.TEXT_SIMILARITY:
-                    if len(text) > len(have):
-                        out.pop(i)
-                        out.append(text)
-                    break
-            else:
-                out.append(text)
-        return pd.DataFrame({"case_id": pdf["case_id"].iloc[:1].repeat(len(out)), "value": out})
-
-    return rows.groupBy("case_id", "block").applyInPandas(greedy, "case_id string, value string")
+    rows = first_seen(df, field).where(F.length("value") > C.MIN_ITEM_LENGTH).select("case_id", "norm", "value")
+    runs = rows.select("case_id", "norm", F.explode(_shingles(F.col("norm"))).alias("run"), F.size(_shingles(F.col("norm"))).alias("n"))
+    often = runs.groupBy("case_id", "run").agg(F.count(F.lit(1)).alias("f"))
+    w = W.partitionBy("case_id", "norm").orderBy("f", "run")
+    rare = runs.join(often, ["case_id", "run"]).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.floor(F.col("n") * (1 - C.TEXT_SIMILARITY)) + 1)
+    longer = runs.select("case_id", "run", F.col("norm").alias("other"))
+    pairs = rare.select("case_id", "run", "norm").join(longer, ["case_id", "run"]).select("case_id", "norm", "other").distinct()
+    pairs = pairs.where((F.length("other") > F.length("norm")) | ((F.length("other") == F.length("norm")) & (F.col("other") < F.col("norm"))))
+
+    def alike(it):
+        for pdf in it:
+            hit = [a in b or _ratio(a, b) >= C.TEXT_SIMILARITY for a, b in zip(pdf["norm"], pdf["other"])]
+            yield pdf.loc[hit, ["case_id", "norm"]]
+
+    gone = pairs.mapInPandas(alike, "case_id string, norm string").distinct()
+    return rows.join(gone, ["case_id", "norm"], "left_anti").select("case_id", "value")
 
 
 def _ratio(a: str, b: str) -> float:
-    m = SequenceMatcher(None, a, b)
+    m = SequenceMatcher(None, a, b, autojunk=False)
     return m.ratio() if m.real_quick_ratio() >= C.TEXT_SIMILARITY and m.quick_ratio() >= C.TEXT_SIMILARITY else 0.0
 
 
