@@ -46,10 +46,11 @@ def stats(df: DataFrame) -> DataFrame:
 
 
 def people_by_category(df: DataFrame) -> DataFrame:
-    """case_id, category, n and the sorted names, by normal form."""
+    """case_id, category, name: each person once by normal form, in the longest
+    spelling; rows, not lists, as a case may name any number of people."""
     rows = df.select("case_id", F.explode("names_mentioned").alias("x")).select("case_id", F.coalesce(F.upper("x.category"), F.lit("OTHER")).alias("category"), F.trim("x.name").alias("name"), T.normalize_name("x.name").alias("norm")).where("norm <> ''")
     one = rows.groupBy("case_id", "category", "norm").agg(F.max(F.struct(F.length("name").alias("n"), F.col("name"))).alias("best"))
-    return one.groupBy("case_id", "category").agg(F.count(F.lit(1)).alias("n_people"), F.sort_array(F.collect_list("best.name")).alias("names"))
+    return one.select("case_id", "category", F.col("best.name").alias("name"))
 
 
 def _shingles(norm):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import ordinal
+
 
 def section_runs(df: DataFrame, doc: str = "source_document", num: str = "chunk_num", section: str = "section_detected") -> DataFrame:
     """doc, run, section, first and last chunk, n: islands of one section."""
@@ -43,13 +45,14 @@ def contexts(df: DataFrame, doc: str = "source_document", num: str = "chunk_num"
     )
 
 
-def reduce_batches(df: DataFrame, group: str, order: list[str], text: str, room: int = 6192) -> DataFrame:
-    """group, batch, n, chars: summaries batched so that a batch fits the room:
-    max(2, room // (mean length + 100)) in each."""
-    size = df.groupBy(group).agg(F.avg(F.length(text)).alias("mean"))
-    per = size.select(group, F.greatest(F.lit(2), F.floor(room / (F.col("mean") + 100))).alias("per"))
-    rows = df.withColumn("rn", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1).join(per, group)
-    return rows.groupBy(group, F.floor(F.col("rn") / F.col("per")).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars"))
+def reduce_batches(df: DataFrame, group: str, key: str, text: str, room: int = 6192, block: int = 65536) -> DataFrame:
+    """group, batch, n, chars: summaries in key order, batched so that a batch
+    fits the room: max(2, room // (mean length + 100)) in each.  Only lengths are
+    shuffled, and a group is ranked in blocks of keys."""
+    rows = df.select(group, key, F.length(text).alias("len"))
+    per = rows.groupBy(group).agg(F.avg("len").alias("mean")).select(group, F.greatest(F.lit(2), F.floor(room / (F.col("mean") + 100))).alias("per"))
+    placed = ordinal(rows, [group], [key], F.floor(F.col(key) / block), "rn").join(per, group)
+    return placed.groupBy(group, F.floor(F.col("rn") / F.col("per")).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("chars"))
 
 
 def metadata(df: DataFrame, group: str, keywords: str, text: str) -> DataFrame:

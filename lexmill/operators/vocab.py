@@ -91,13 +91,16 @@ def vocabulary(merged: DataFrame, key: str, ranks: DataFrame | None = None, docu
 def frequency_ranks(words: DataFrame) -> DataFrame:
     """word, count -> word, rank: 0-based by falling count, ties by word.
 
-    The ranks come from range-partitioned counts of counts: the distinct counts
-    are few against the words, and only they pass through one window.
+    Words of one count are ranked in blocks of their first three characters, as
+    most words share the lowest counts; the blocks' sizes alone pass through one
+    ordered window.
     """
-    per = words.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
-    start = per.withColumn("start", F.sum("n").over(W.orderBy(F.desc("count")).rowsBetween(W.unboundedPreceding, -1))).select("count", F.coalesce("start", F.lit(0)).alias("start"))
-    within = words.withColumn("i", F.row_number().over(W.partitionBy("count").orderBy("word")) - 1)
-    return within.join(start, "count").select("word", (F.col("start") + F.col("i")).alias("rank"))
+    rows = words.select("word", "count", F.substring("word", 1, 3).alias("block"))
+    sizes = rows.groupBy("count", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = W.orderBy(F.desc("count"), "block").rowsBetween(W.unboundedPreceding, -1)
+    start = sizes.select("count", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = rows.withColumn("i", F.row_number().over(W.partitionBy("count", "block").orderBy("word")) - 1)
+    return inside.join(start, ["count", "block"]).select("word", (F.col("start") + F.col("i")).alias("rank"))
 
 
 def by_rarity(vocab: DataFrame) -> DataFrame:

@@ -225,12 +225,12 @@ ORACLE_SQL = {
  p(start, here, steps) AS (SELECT question_id, question_id, 0 FROM question_def UNION ALL SELECT start, e.nxt, steps + 1 FROM p JOIN e ON e.question_id = p.here JOIN question_def q ON q.question_id = e.nxt WHERE steps < 64) SELECT start AS question_id, max(steps) AS steps FROM p GROUP BY start""",
     "briefing_parties": f"WITH {ONCE} SELECT case_id, 'plaintiffs' AS side, name FROM ({parties('plaintiffs')}) UNION ALL SELECT case_id, 'defendants', name FROM ({parties('defendants')})",
     "briefing_dates": f"WITH {ONCE} SELECT case_id, value FROM ({FIRST_SEEN.format(f='dates_mentioned')})",
-    "briefing_vocabulary": f"WITH {ONCE} SELECT case_id, count(*) AS n, md5(string_agg(norm, '|' ORDER BY norm)) AS terms FROM ({FIRST_SEEN.format(f='vocabulary')}) GROUP BY case_id",
+    "briefing_vocabulary": f"WITH {ONCE} SELECT case_id, norm, value FROM ({FIRST_SEEN.format(f='vocabulary')})",
     "case_types": f"WITH {ONCE} {CASE_VOTE}",
     "briefing_stats": f"WITH {ONCE} SELECT case_id, count(*) AS n_chunks, " + ", ".join(f"sum(coalesce(len({c}), 0))::BIGINT AS n_{c}" for c in ("allegations", "defenses", "key_facts", "dates_mentioned", "names_mentioned", "vocabulary")) + " FROM ex GROUP BY case_id",
     "people_by_category": f"""WITH {ONCE}, r AS (SELECT case_id, coalesce(upper(x.category), 'OTHER') AS category, trim(x.name) AS name, {normal_name('x.name')} AS norm FROM (SELECT case_id, unnest(names_mentioned) AS x FROM ex)),
  o AS (SELECT case_id, category, norm, first(name ORDER BY len(name) DESC, name DESC) AS name FROM r WHERE norm <> '' GROUP BY ALL)
- SELECT case_id, category, count(*) AS n_people, string_agg(name, '; ' ORDER BY name) AS names FROM o GROUP BY case_id, category""",
+ SELECT case_id, category, name FROM o""",
     "briefing_openings": f"""WITH {ONCE}, v AS ({CASE_VOTE}), p AS (SELECT case_id, list(name ORDER BY name) AS p FROM ({parties('plaintiffs')}) GROUP BY case_id), d AS (SELECT case_id, list(name ORDER BY name) AS d FROM ({parties('defendants')}) GROUP BY case_id)
  SELECT case_id, 'This is a ' || case_type || ' case' || CASE WHEN p IS NOT NULL AND d IS NOT NULL THEN ' brought by ' || {_sentence_list('p')} || ' against ' || {_sentence_list('d')} || '.' WHEN p IS NOT NULL THEN ' involving ' || {_sentence_list('p')} || '.' ELSE '.' END AS narrative FROM v LEFT JOIN p USING (case_id) LEFT JOIN d USING (case_id)""",
     "section_runs": _RUNS,

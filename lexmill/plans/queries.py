@@ -231,7 +231,7 @@ def briefing_dates(s, d):
 
 
 def briefing_vocabulary(s, d):
-    return briefing.first_seen(_once(s, d), "vocabulary").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("norm")), "|")).alias("terms"))
+    return briefing.first_seen(_once(s, d), "vocabulary").select("case_id", "norm", "value")
 
 
 def case_types(s, d):
@@ -243,7 +243,7 @@ def briefing_stats(s, d):
 
 
 def people_by_category(s, d):
-    return briefing.people_by_category(_once(s, d)).select("case_id", "category", "n_people", F.array_join("names", "; ").alias("names"))
+    return briefing.people_by_category(_once(s, d))
 
 
 def briefing_openings(s, d):
@@ -275,7 +275,7 @@ def chunk_contexts(s, d):
 
 def reduce_batches(s, d):
     r = table(s, d, "summarization_result").select("result_id", "case_id", "chunk_summary").where("chunk_summary IS NOT NULL").distinct()
-    return summarize.reduce_batches(r, "case_id", ["result_id"], "chunk_summary")
+    return summarize.reduce_batches(r, "case_id", "result_id", "chunk_summary")
 
 
 def summary_metadata(s, d):

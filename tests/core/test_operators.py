@@ -183,3 +183,11 @@ def test_dictionary_confidence(spark):
     words = spark.createDataFrame([("the",), ("cat",), ("the",)], "word string")
     got = {r.id: (r.n_tokens, r.n_known, r.confidence) for r in terms.dictionary_confidence(df, "id", "t", words).collect()}
     assert got == {1: (6, 3, 50.0), 2: (0, 0, 0.0), 3: (0, 0, 0.0)}
+
+
+def test_ordinal(spark):
+    from lexmill.operators.ranks import ordinal
+
+    df = spark.createDataFrame([(g, k) for g in "ab" for k in (7, 1, 30, 12, 11, 25)], "g string, k int")
+    got = {(r.g, r.k): r.ordinal for r in ordinal(df, ["g"], ["k"], F.floor(F.col("k") / 10)).collect()}
+    assert got == {(g, k): i for g in "ab" for i, k in enumerate((1, 7, 11, 12, 25, 30))}
