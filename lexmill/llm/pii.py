@@ -70,19 +70,19 @@ def phone_shape(raw: str) -> bool:
 # -- candidate expressions ----------------------------------------------
 
 _EMAIL = re.compile(
-    r"[A-Za-z0-9][\w.+%-]*(?:@|\s?[\[(]\s?at\s?[\])]\s?|\s+at\s+(?=[\w-]+(?:\s+dot\s+\w+)+))"
+    r"[A-Za-z0-9][\w.+%-]*(?:@|[ \t]@[ \t]|\s?[\[(]\s?at\s?[\])]\s?|\s+at\s+(?=[\w-]+(?:\s+dot\s+\w+)+))"
     r"[A-Za-z0-9][A-Za-z0-9-]*(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\s+dot\s+)[A-Za-z][A-Za-z0-9-]*)+",
     re.UNICODE,
 )
 _PHONE = re.compile(
     r"(?<![\w.$£€#/-])(?:\+\d{1,3}[ .-]\(?\d{1,4}\)?(?:(?:[ .-]\d{3,4}){1,3}(?!\d)|(?:[ .-]\d{2}){4})|\+\d{8,14}"
-    r"|(?:1[ .-])?(?:\(\d{3}\)|\d{3})[ ./-]?\d{3}[ .-]\d{4}|1?\d{10}|0\d{3,4}[ -]\d{3}[ -]?\d{3,4}|0\d{2}[ -]\d{4}[ -]\d{4})(?![\w-]|[.,/]\d)"
+    r"|(?:1[ .-])?(?:\(\d{3}\)|\d{3})[ ./-]?\d{3}[ .-]\d{4}|\(0\d{2,4}\)[ -]?\d{3,4}[ -]?\d{3,4}|1?\d{10}|0\d{3,4}[ -]\d{3}[ -]?\d{3,4}|0\d{2}[ -]\d{4}[ -]\d{4})(?![\w-]|[.,/]\d)"
 )
 _SSN = re.compile(r"(?<![\w-])\d{3}([-. ]?)\d{2}\1\d{4}(?![\w-]|[.,]\d)")
 _LABELLED_ID = re.compile(
     r"\b(?:(?P<ssn>SSN|S\.S\.N\.?|[Ss]ocial\s+[Ss]ecurity(?:\s+(?:number|no\.?|#))?)"
     r"|(?P<dl>[Dd]river['’]?s?['’]?\s+[Ll]icen[sc]e(?:\s+(?:number|no\.?|#))?|DL\s*#?|[Ll]icen[sc]e\s+(?:number|no\.))"
-    r"|(?P<pp>[Pp]assport(?:\s+(?:number|no\.?|#))?)"
+    r"|(?P<pp>[Pp]assport(?:\s+(?:number|no\.?|#))?|[Pp]asaporte(?:\s+(?:n[úu]mero|n[úu]m\.?|n\.?º))?|DNI|NIE|[Ss]eguro\s+[Ss]ocial)"
     r"|(?P<mrn>MRN|[Mm]edical\s+[Rr]ecord(?:\s+(?:number|no\.?|#))?))"
     r"(?:\s+(?:of|is|was|reads|listed\s+as))?\s*[:#]?\s*"
     r"(?P<num>[A-Z]{0,2}-?\d[\dA-Z]*(?:[-. ]\d[\dA-Z]*)*)(?![\w])"
@@ -149,8 +149,8 @@ def _name_before(text: str, at: int) -> bool:
     return bool(m) and (m.group(1) in _GIVEN or re.fullmatch(r"[A-ZÀ-Þ]\.", m.group(1)) is not None)
 
 _CONTEXT = {
-    "phone": (re.compile(r"(?:tel|phone|call(?:s|ed|er)?|fax|mobile|cell|reached|contact|number of|callback|intake form|left|llam|teléfono|móvil)\w*\b", re.I), re.compile(r"(?:tracking|part|claim|policy|invoice|docket|index|bates|serial|account|order|case|model|batch|lot|MRN|SSN|licen[sc]e|passport)\b[^.]{0,24}$", re.I)),
-    "id": (re.compile(r"\b(?:SSN|social\s+security|W-2)\b", re.I), re.compile(r"\b(?:tracking|part|claim|policy|invoice|docket|index|bates|serial|order|case|model|batch|lot)\b[^.]{0,24}$", re.I)),
+    "phone": (re.compile(r"(?:tel|phone|call(?:s|ed|er)?|fax|mobile|cell|reached|contact|number of|callback|intake form|left|llam|teléfono|móvil)\w*\b", re.I), re.compile(r"(?:tracking|part|claim|policy|invoice|docket|index|bates|serial|account|order|case|model|batch|lot|MRN|SSN|licen[sc]e|passport)\b(?:[^.\n]|\n(?!\n)){0,24}$", re.I)),
+    "id": (re.compile(r"\b(?:SSN|social\s+security|W-2)\b", re.I), re.compile(r"\b(?:tracking|part|claim|policy|invoice|docket|index|bates|serial|order|case|model|batch|lot)\b(?:[^.\n]|\n(?!\n)){0,24}$", re.I)),
 }
 
 
@@ -163,7 +163,7 @@ def _context(kind: str, text: str, start: int, end: int) -> float:
 
 _DIGITS_HINT = re.compile(r"\+\d|\d{3}[ ./)-]{1,2}\d|\d{9}")
 _EMAIL_SIGNS = ("@", "(at)", "[at]", " dot ", "( at", "[ at", "(AT)", "[AT]")
-_ID_SIGNS = ("SSN", "S.S.N", "ocial", "icense", "icence", "assport", "MRN", "ecord n", "ecord N", "ecord #", "DL ", "DL#")
+_ID_SIGNS = ("SSN", "S.S.N", "ocial", "icense", "icence", "assport", "asaporte", "DNI", "NIE", "eguro", "MRN", "ecord n", "ecord N", "ecord #", "DL ", "DL#")
 _ABROAD_SIGNS = ("Calle", "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Rua ", "Via ", "Corso", "rue ", "avenue ", "boulevard ", "place ", "allée", "chemin", "quai", "impasse", "straße", "strasse", "str. ", "gasse", "weg ", "platz", "allee", "ufer")
 _UPPER_ADDRESS_SIGNS = ("STREET", "AVENUE", "ROAD", "LANE", "DRIVE", "COURT", "PLACE", "BOULEVARD", " WAY", "TERRACE", "BLVD", " AVE", " RD")
 _CAPITAL = re.compile(r"(?<![\w@.])[A-ZÀ-ÞŁ][\wà-þ]*\.?")

@@ -7,6 +7,11 @@ CASES = [
     ("Write to oscar+nird@dreampenko-claims.example.", [("email", "oscar+nird@dreampenko-claims.example")]),
     ("Tel. +1 341 555 0105 or (276)555-0130.", [("phone", "+1 341 555 0105"), ("phone", "(276)555-0130")]),
     ("The caller left +44 20 7946 0798 as a callback number.", [("phone", "+44 20 7946 0798")]),
+    ("The caller left (020) 7946-0582 as a callback number.", [("phone", "(020) 7946-0582")]),
+    ("SUBJECT TO PROTECTIVE ORDER\n\nThe caller left 556/555-0182 as a callback number.", [("phone", "556/555-0182")]),
+    ("Contact on file: dozzide_39 @ flouvory-claims.test; no reply.", [("email", "dozzide_39 @ flouvory-claims.test")]),
+    ("A comment posted by @zallenko_kv mentions the ferry.", []),
+    ("El pasaporte L40904258 fue entregado en secretaría.", [("id_number", "L40904258")]),
     ("The crate bore tracking number 763-764-7149 and part number 262-67-2181.", []),
     ("The summary lists a social security number of 666-39-7451.", [("id_number", "666-39-7451")]),
     ("The W-2 bore SSN 666257605, which does not match.", [("id_number", "666257605")]),
