@@ -144,16 +144,18 @@ def label(text: str) -> list[tuple[int, str]]:
             best_state = max(score, key=score.get)
             new, came = {}, {}
             for s in states:
+                inside = False  # a span can't begin inside a byte sequence
                 if s == "":
                     emit = _clean_cost(prev, c, nxt, text[pos - 2] if pos > 1 else "") if c != LOST else -16.0
                 elif s == "lost":
                     emit = -0.7 if c == LOST else -30.0
                 else:
                     role = formed[s].get(pos)
+                    inside = role == "cont"
                     emit = (LEAD if role == "lead" else CONT) if role else BROKEN * 1.5
                 stay = score[s] + (STAY if s else -0.02)
                 move = score[best_state] + (LEAVE if s == "" else ENTER + PAIR_PRIOR * (PAIRS.index(s) if s in PAIRS else 0) * 0.1)
-                if s == best_state or stay >= move:
+                if s == best_state or stay >= move or inside:
                     new[s], came[s] = stay + emit, s
                 else:
                     new[s], came[s] = move + emit, best_state

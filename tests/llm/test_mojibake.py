@@ -54,3 +54,11 @@ def test_edges(spark):
     got = {r.chunk_row_id: r.restored_text for r in M.repair(df).collect()}
     assert got[5] == CLEAN[1] * 3000
     assert M.found(df.limit(0)).collect() == []
+
+
+def test_a_span_takes_its_lead_character_along():
+    for page in ("latin_1", "cp1252"):
+        clean = "– names “Compañía Ñandú” as guarantor; the pour… ended."
+        odd = clean.replace("“", "“".encode().decode(page, "replace")).replace("…", "…".encode().decode(page))
+        garbled, text, _, whole = M.restore(odd)
+        assert garbled and whole and text == clean
