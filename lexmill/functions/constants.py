@@ -131,6 +131,7 @@ ANSWER_KEYWORDS = {
 }
 MIN_RETRIEVAL_SCORE, RETRIEVAL_K = 0.1, 4
 OCR_CONFIDENCE = 70
+DIGITAL_CONFIDENCE, DIGITAL_LENGTH = 60, 1000
 
 # Relevance of places: (pattern with the place in group 1, relevance), in order.
 PLACE_ROLES = [

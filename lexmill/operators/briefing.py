@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..session import materialize
 
 
 def once(df: DataFrame) -> DataFrame:
@@ -158,3 +159,99 @@ def parsed_responses(df: DataFrame) -> DataFrame:
         .otherwise("prose")
     )
     return df.where("raw_response IS NOT NULL").select("chunk_id", state.alias("state"), F.length("raw_response").alias("n_chars")).distinct()
+
+
+def merged_people(df: DataFrame) -> DataFrame:
+    """case_id, name, role, category, n_spellings, n_mentions: the people of a
+    case, spellings brought together.
+
+    A spelling joins the longest other one of its case that has all its words, or
+    whose letters are at least 0.85 like it; joined spellings follow on to the end
+    of their chain.  Candidates share the shorter one's rarest word, or the
+    beginnings or the ends of all words but initials, so common given names make
+    no pairs.
+    Role and category come from the longest role and the commonest category.
+    Null and blank names are no people; repeated rows count as mentions.
+    """
+    rows = df.select("case_id", F.explode("names_mentioned").alias("x")).select(
+        "case_id", F.trim("x.name").alias("name"), F.trim("x.role").alias("role"), F.coalesce(F.upper("x.category"), F.lit("OTHER")).alias("category"), T.normalize_name("x.name").alias("norm")
+    ).where("norm <> ''")
+    by_category = rows.groupBy("case_id", "norm", "category").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.length("name").alias("len"), F.col("name"))).alias("best"), F.max(F.struct(F.length("role").alias("len"), F.col("role"))).alias("role"))
+    spelled = materialize(by_category, "spellings")
+    one = spelled.select("case_id", "norm").distinct().withColumn("words", F.array_distinct(F.split("norm", " ")))
+    word = one.select("case_id", "norm", F.explode("words").alias("k"))
+    often = word.groupBy("case_id", "k").agg(F.count(F.lit(1)).alias("f"))
+    rarest = word.join(often, ["case_id", "k"]).groupBy("case_id", "norm").agg(F.min(F.struct("f", "k")).alias("r")).select("case_id", "norm", F.col("r.k").alias("k"))
+    ends = lambda sign, cut: one.select("case_id", "norm", F.concat(F.lit(sign), F.array_join(F.array_sort(F.transform(F.filter("words", lambda w: F.length(w) > 1), cut)), " ")).alias("k"))
+    near = ends("<", lambda w: F.substring(w, 1, 2)).unionByName(ends(">", lambda w: F.substring(w, -2, 2)))
+    other = word.unionByName(near).withColumnRenamed("norm", "longer")
+    pairs = rarest.unionByName(near).join(other, ["case_id", "k"]).select("case_id", "norm", "longer").distinct()
+    rank = lambda c: F.struct(F.length(c).alias("len"), F.col(c).alias("v"))
+    pairs = pairs.where(rank("norm") < rank("longer"))
+
+    def alike(it):
+        for pdf in it:
+            hit = [set(a.split()) <= set(b.split()) or _close(a, b, C.NAME_SIMILARITY) for a, b in zip(pdf["norm"], pdf["longer"])]
+            yield pdf.loc[hit, ["case_id", "norm", "longer"]]
+
+    joined = pairs.mapInPandas(alike, "case_id string, norm string, longer string")
+    to = materialize(joined.groupBy("case_id", "norm").agg(F.max(rank("longer")).alias("t")).select("case_id", "norm", F.col("t.v").alias("head")), "heads")
+    for _ in range(3):  # each round doubles the steps followed; heads only grow longer
+        nxt = to.select("case_id", F.col("norm").alias("head"), F.col("head").alias("further"))
+        to = to.join(nxt, ["case_id", "head"], "left").select("case_id", "norm", F.coalesce("further", "head").alias("head"))
+    people = spelled.join(to, ["case_id", "norm"], "left").withColumn("head", F.coalesce("head", "norm"))
+    per = people.groupBy("case_id", "head", "category").agg(F.sum("n").alias("n"), F.max("best").alias("best"), F.max("role").alias("role"))
+    spellings = people.groupBy("case_id", "head").agg(F.countDistinct("norm").alias("n_spellings"))
+    top = per.groupBy("case_id", "head").agg(F.sum("n").alias("n_mentions"), F.max("best").alias("b"), F.max("role").alias("r"), F.min(F.struct((-F.col("n")).alias("n"), F.col("category"))).alias("c"))
+    return top.join(spellings, ["case_id", "head"]).select("case_id", F.col("b.name").alias("name"), F.col("r.role").alias("role"), F.col("c.category").alias("category"), "n_spellings", "n_mentions")
+
+
+def _close(a: str, b: str, least: float) -> bool:
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+
+def _listed(items: DataFrame, order: list, cap: int) -> DataFrame:
+    """case_id, kept (the first ``cap`` values), n (all): ranked before they are
+    collected."""
+    n = items.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("case_id").orderBy(*order)
+    top = items.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
+    kept = top.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]).alias("kept"))
+    return kept.join(n, "case_id")
+
+
+def sheets(df: DataFrame) -> DataFrame:
+    """case_id, sheet: the briefing sheet of each case as text.  Lists hold ten
+    items (thirty terms) and say how many more there are."""
+    rows = case_type_vote(df).select("case_id", F.when(F.col("case_type") == "unknown", "CASE TYPE: Not determined").otherwise(F.concat(F.lit("CASE TYPE: "), F.initcap("case_type"))).alias("kind"))
+    rows = rows.join(narratives(df), "case_id", "left")
+    more = lambda n, cap, what="": F.when(F.col(n) > cap, F.concat(F.lit("\n  ... and "), F.col(n) - cap, F.lit(f" more{what}"))).otherwise("")
+
+    def add(items: DataFrame, order: list, cap: int, name: str) -> None:
+        nonlocal rows
+        rows = rows.join(_listed(items, order, cap).withColumnsRenamed({"kept": name, "n": f"n_{name}"}), "case_id", "left")
+
+    for side in ("plaintiffs", "defendants"):
+        add(parties(df, side).select("case_id", F.col("name").alias("value")), ["value"], 10, side)
+    for field in ("allegations", "defenses"):
+        add(first_seen(df, field), ["first"], 10, field)
+    add(first_seen(df, "vocabulary").select("case_id", "value", "norm"), ["norm"], 30, "terms")
+    w = W.partitionBy("case_id", "section").orderBy("position")
+    place = {v: i for i, v in enumerate(C.CATEGORY_NAMES.values())}
+    order = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
+    people = names_section(df).withColumn("p", F.row_number().over(w)).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(order[F.col("section")], F.lit(99)).alias("o"), "section", "p", "line"))).alias("people"))
+    rows = rows.join(people, "case_id", "left")
+    head = lambda t: F.lit(f"{t}\n{'-' * len(t)}")
+    party = lambda c, label: F.concat(F.lit(f"{label}: "), F.when(F.size(c) > 0, F.concat(F.array_join(c, ", "), more(f"n_{c}", 10))).otherwise("Not identified"))
+    short = lambda x: F.when(F.length(x) <= 200, x).otherwise(F.concat(F.substring(x, 1, 197), F.lit("...")))
+    numbered = lambda c: F.when(F.size(c) > 0, F.concat(F.array_join(F.transform(c, lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), short(x))), "\n"), more(f"n_{c}", 10))).otherwise("None identified in documents.")
+    known = F.when(F.size("people") > 0, F.array_join(F.transform("people", lambda x: F.concat(F.when(x["p"] == 1, F.concat(F.lit("\n  "), x["section"], F.lit(":\n"))).otherwise(""), F.lit("    - "), x["line"])), "\n")).otherwise("No key individuals identified.")
+    terms = F.when(F.size("terms") > 0, F.concat(F.lit("  "), F.array_join("terms", ", "), more("n_terms", 30, " terms"))).otherwise("No unusual terminology identified.")
+    parts = [
+        F.lit("CASE BRIEFING SHEET"), F.col("kind"), F.concat_ws("\n", head("PARTIES"), party("plaintiffs", "Plaintiff(s)"), party("defendants", "Defendant(s)")),
+        F.concat_ws("\n", head("WHAT HAPPENED"), F.coalesce("narrative", F.lit("No narrative generated. Check document content."))),
+        F.concat_ws("\n", head("ALLEGATIONS"), numbered("allegations")), F.concat_ws("\n", head("DEFENSES"), numbered("defenses")),
+        F.concat_ws("\n", head("NAMES TO KNOW"), known), F.concat_ws("\n", head("VOCABULARY"), terms),
+    ]
+    return rows.select("case_id", F.concat_ws("\n\n", *parts).alias("sheet"))

@@ -72,3 +72,18 @@ def steps_to_end(questions: DataFrame, longest: int = 64) -> DataFrame:
         UNION ALL SELECT w.start, e.next_id, w.steps + 1 FROM walk w JOIN {{e}} e ON e.question_id = w.here WHERE w.steps < {int(longest)}
     ) SELECT start AS question_id, max(steps) AS steps FROM walk GROUP BY start"""
     return questions.sparkSession.sql(walk, known=known, e=e)
+
+
+def contexts(answers: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """key, n_chunks, context: the texts of an answer's usable sources in rank
+    order, each under ``[file, section]:``.
+
+    ``answers``: key, sources; ``chunks``: filename, chunk_num, text, one row for
+    each.  Sources without a text, a file or a sufficient score are left out; an
+    answer without any has no row.  A source list is a short top-k list.
+    """
+    s = answers.select(key, F.posexplode(usable_sources(F.col("sources"))).alias("rank", "x")).select(key, "rank", F.col("x.filename").alias("filename"), F.col("x.chunk_num").alias("chunk_num"), F.col("x.section").alias("section"))
+    named = F.when((F.col("section").isNotNull()) & (F.col("section") != "N/A"), F.concat(F.lit(", "), F.col("section"))).otherwise("")
+    parts = s.join(chunks.where("text IS NOT NULL"), ["filename", "chunk_num"]).select(key, "rank", F.concat(F.lit("["), "filename", named, F.lit("]:\n"), "text").alias("part"))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "part")))
+    return parts.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), F.array_join(F.transform(ordered, lambda p: p["part"]), "\n\n---\n\n").alias("context"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .ranks import ordinal
 
 
@@ -86,3 +87,23 @@ def word_budget(words: Column) -> Column:
 
 def prompt_tokens(text: str) -> Column:
     return F.floor(F.length(text) / 4)
+
+
+def lead(text: str, words: int = 75) -> Column:
+    """The first sentences of a text that fit the word budget, at least one; the
+    stand-in for a generated summary.  The array kept is bounded by the budget."""
+    sents = F.transform(T.sentences(text), T.clean_sentence)
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def take(acc, s):
+        n = acc["n"] + F.size(F.split(s, " "))
+        fits = acc["open"] & ((n <= words) | (F.size(acc["kept"]) == 0))
+        return F.struct(F.when(fits, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"), n.alias("n"), fits.alias("open"))
+
+    return F.aggregate(sents, start, take, lambda acc: F.array_join(acc["kept"], " "))
+
+
+def lead_summaries(df: DataFrame, key: str, text: str, words: int = 75) -> DataFrame:
+    """key, summary of every text with more than fifty characters; shorter, empty
+    and null texts have none.  Works inside each row, without a shuffle."""
+    return df.where(F.length(T.strip(text)) > 50).select(key, lead(text, words).alias("summary"))

@@ -114,16 +114,26 @@ def bm25_plus(field: str, name: str, k: int) -> str:
 """
 
 
-_SENTENCES = rf"""list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(regexp_replace(answer_text, '\[[^\]]+\]:', '', 'g'),
+def sentences(x: str) -> str:
+    return rf"""list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(regexp_replace({x}, '\[[^\]]+\]:', '', 'g'),
  '(Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Jr\.|Sr\.)', '\1' || chr(1), 'g'), '(Inc\.|Corp\.|Ltd\.|Co\.|\d+\.)', '\1' || chr(1), 'g'), '[.!?]+\s+'),
  lambda s: {strip("replace(s, chr(1), '.')")}), lambda s: s <> '')"""
 
 
+_SENTENCES = sentences("answer_text")
+
+
 def clean_sentence(s: str) -> str:
     t = strip(rf"regexp_replace({s}, '\s+', ' ', 'g')")
     return f"CASE WHEN regexp_matches({t}, '[.!?]$') THEN {t} ELSE {t} || '.' END"
 
 
+def lead(table: str, key: str, text: str, words: int) -> str:
+    return f"""WITH a AS (SELECT DISTINCT {key}, {sentences(text)} AS ss FROM {table} WHERE len({strip(text)}) > 50), b AS (SELECT {key}, unnest(list_transform(ss, lambda s: {clean_sentence('s')})) AS x, generate_subscripts(ss, 1) AS i FROM a),
+ c AS (SELECT *, sum(len(string_split(x, ' '))) OVER (PARTITION BY {key} ORDER BY i) AS n FROM b)
+ SELECT {key}, coalesce(string_agg(x, ' ' ORDER BY i), '') AS summary FROM c WHERE n <= {words} OR i = 1 GROUP BY {key}"""
+
+
 _HEADER = "(?i)" + "|".join(f"(?:{p})" for p in C.HEADER_FOOTER_PATTERNS)
 _NORM_LINE = rf"lower({strip(rf'''regexp_replace(regexp_replace({strip('line')}, '\s*-?\s*\d+\s*-?\s*$', ''), '\s+', ' ', 'g')''')})"
 _LATEST_ORDER = "feedback_ts DESC, algorithms DESC NULLS LAST, document_id DESC NULLS LAST, feedback DESC NULLS LAST, freq_rank DESC NULLS LAST, in_case_freq DESC NULLS LAST, quality_score DESC NULLS LAST, term DESC, term_type DESC NULLS LAST"
@@ -259,3 +269,16 @@ ORACLE_SQL = {
     "debug_rows": f"SELECT DISTINCT chunk_row_id, substr(chunk_text, 1, 100) || '...' AS chunk_text, substr(chunk_summary, 1, 75) || '...' AS chunk_summary, substr(progressive_summary, 1, 75) || '...' AS progressive_summary FROM {WORK}",
     "processing_times": f"""SELECT DISTINCT chunk_row_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS took FROM (SELECT chunk_row_id, floor(coalesce(processing_time_sec, 0))::BIGINT AS s FROM {WORK})""",
 }
+
+ORACLE_SQL |= {
+    "answer_contexts": f"""WITH q AS (SELECT DISTINCT qa_id, sources FROM question_answer), s AS (SELECT qa_id, unnest(sources) AS x, generate_subscripts(sources, 1) AS i FROM q),
+ w AS (SELECT DISTINCT source_document, chunk_num, chunk_text FROM {WORK} WHERE chunk_text IS NOT NULL),
+ p AS (SELECT qa_id, i, '[' || source_document || CASE WHEN coalesce(x.section, 'N/A') <> 'N/A' THEN ', ' || x.section ELSE '' END || ']:' || chr(10) || chunk_text AS part FROM s JOIN w ON x.filename = source_document AND x.chunk_num = w.chunk_num WHERE x.score >= {C.MIN_RETRIEVAL_SCORE})
+ SELECT qa_id, count(*) AS n_chunks, md5(string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i)) AS context FROM p GROUP BY qa_id""",
+    "chunk_summaries": lead(WORK, "chunk_row_id", "chunk_text", 75),
+    "document_summaries": lead("documents", "doc_id", "text", 200),
+    "reading_methods": f"WITH c AS ({ORACLE_SQL['dictionary_confidence']}), w AS (SELECT DISTINCT chunk_row_id, len(chunk_text) AS n FROM {WORK} WHERE chunk_text IS NOT NULL) SELECT chunk_row_id, CASE WHEN confidence > {C.DIGITAL_CONFIDENCE} AND n > {C.DIGITAL_LENGTH} THEN 'digital' ELSE 'ocr' END AS method FROM c JOIN w USING (chunk_row_id)",
+    "corpus_vocabulary": f"SELECT source, count(DISTINCT term) AS vocab_size FROM (SELECT source, unnest(list_distinct({CORPUS})) AS term FROM documents WHERE text IS NOT NULL) GROUP BY source",
+    "corpus_combined": f"""WITH a AS (SELECT DISTINCT filename, case_id FROM document_result), b AS (SELECT DISTINCT source_document AS filename, case_id FROM {WORK} WHERE source_document IS NOT NULL)
+ SELECT filename, case_id FROM a UNION ALL SELECT CASE WHEN filename IN (SELECT filename FROM a) THEN 'work_' || filename ELSE filename END, case_id FROM b""",
+}

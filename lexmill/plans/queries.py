@@ -375,6 +375,44 @@ def processing_times(s, d):
     return _work(s, d).select("chunk_row_id", T.duration(F.coalesce("processing_time_sec", F.lit(0.0))).alias("took")).distinct()
 
 
+def answer_contexts(s, d):
+    answers = _qa(s, d).select("qa_id", "sources").distinct()
+    chunks = _work(s, d).select(F.col("source_document").alias("filename"), "chunk_num", F.col("chunk_text").alias("text")).distinct()
+    return qa.contexts(answers, chunks, "qa_id").select("qa_id", "n_chunks", F.md5("context").alias("context"))
+
+
+def chunk_summaries(s, d):
+    return summarize.lead_summaries(_work(s, d), "chunk_row_id", "chunk_text").distinct()
+
+
+def document_summaries(s, d):
+    return summarize.lead_summaries(_docs(s, d), "doc_id", "text", 200)
+
+
+def reading_methods(s, d):
+    share = dictionary_confidence(s, d).select("chunk_row_id", "confidence")
+    sized = _work(s, d).where("chunk_text IS NOT NULL").select("chunk_row_id", F.length("chunk_text").alias("n")).distinct()
+    return share.join(sized, "chunk_row_id").select("chunk_row_id", corpus.reading_method(F.col("confidence"), F.col("n")).alias("method"))
+
+
+def corpus_vocabulary(s, d):
+    return corpus.vocabulary_size(_docs(s, d), "source")
+
+
+def corpus_combined(s, d):
+    files = table(s, d, "document_result").select("filename", "case_id").distinct()
+    worked = _work(s, d).where("source_document IS NOT NULL").select(F.col("source_document").alias("filename"), "case_id").distinct()
+    return corpus.combine(files, worked, "filename", F.lit("work"))
+
+
+def people_merged(s, d):
+    return briefing.merged_people(_once(s, d))
+
+
+def briefing_sheets(s, d):
+    return briefing.sheets(_once(s, d)).select("case_id", F.length("sheet").alias("n_chars"), F.md5("sheet").alias("hash"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -384,5 +422,6 @@ QUERIES = {
         briefing_parties, briefing_dates, briefing_vocabulary, case_types, briefing_stats, people_by_category, briefing_openings, allegations_deduplicated, section_runs, section_boundaries,
         adaptive_boundaries, chunk_contexts, reduce_batches, summary_metadata, section_chunks, brief_chunks, split_chunks, chunks_by_document, event_windows, event_sessions,
         dictionary_confidence, transliterated_text, place_relevance, entity_filter, terms_without_disliked, briefing_narratives, names_section, parsed_responses, recent_summaries, success_rates, prompt_budgets, debug_rows, processing_times,
+        answer_contexts, chunk_summaries, document_summaries, reading_methods, corpus_vocabulary, corpus_combined, people_merged, briefing_sheets,
     )
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions import text as T
 
 
 def safe_name(name: Column) -> Column:
@@ -34,9 +35,22 @@ def pending(sources: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     return sources.join(outputs.select(key).distinct(), key, "left_anti")
 
 
-def combine(a: DataFrame, b: DataFrame, key: str, corpus: str) -> DataFrame:
+def combine(a: DataFrame, b: DataFrame, key: str, corpus: str | Column) -> DataFrame:
     """The union of two corpora; where a name clashes, the second is prefixed
     with its corpus."""
     taken = a.select(F.col(key).alias("_k")).distinct()
     renamed = b.join(taken, b[key] == taken["_k"], "left").withColumn(key, F.when(F.col("_k").isNotNull(), F.concat_ws("_", corpus, key)).otherwise(F.col(key))).drop("_k")
     return a.unionByName(renamed)
+
+
+def vocabulary_size(documents: DataFrame, group: str, text: str = "text") -> DataFrame:
+    """group, vocab_size: the number of distinct corpus terms of each corpus;
+    counted on (group, term), which are made unique before the shuffle."""
+    terms = documents.select(group, F.explode(F.array_distinct(T.corpus_tokens(text))).alias("term"))
+    return terms.groupBy(group).agg(F.countDistinct("term").alias("vocab_size"))
+
+
+def reading_method(confidence: Column, length: Column) -> Column:
+    """``digital`` if the text layer of a page file is good enough to keep (most
+    words known and not too short), else ``ocr``."""
+    return F.when((confidence > C.DIGITAL_CONFIDENCE) & (length > C.DIGITAL_LENGTH), "digital").otherwise("ocr")

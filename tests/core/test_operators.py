@@ -1,3 +1,5 @@
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,52 @@ def test_ordinal(spark):
     df = spark.createDataFrame([(g, k) for g in "ab" for k in (7, 1, 30, 12, 11, 25)], "g string, k int")
     got = {(r.g, r.k): r.ordinal for r in ordinal(df, ["g"], ["k"], F.floor(F.col("k") / 10)).collect()}
     assert got == {(g, k): i for g in "ab" for i, k in enumerate((1, 7, 11, 12, 25, 30))}
+
+
+PEOPLE = "case_id string, chunk_id bigint, names_mentioned array<struct<name string, role string, category string>>"
+
+
+def test_people_are_merged_like_by_hand(spark):
+    names = ["Dr. Amara Sosk", "Amara Sosk", "Sosk", "Amara T. Sosk", "Amarra Sosk", "Elias Sosk", "Noor Pell", "noor pell", "Noor  Pell", None, " ", "Mr."]
+    rows = [("c", i, [(n, "nurse" if i else "", "MEDICAL" if i % 2 else None)]) for i, n in enumerate(names)]
+    rows += [("d", 90, [("Sosk", None, "OTHER")] * 3), ("e", 91, None), ("f", 92, [])]
+    df = spark.createDataFrame(rows, PEOPLE)
+    got = {(r.case_id, r.name): (r.n_spellings, r.n_mentions) for r in briefing.merged_people(df).collect()}
+
+    def head(norm, all_norms):
+        fits = [m for m in all_norms if (len(norm), norm) < (len(m), m) and (set(norm.split()) <= set(m.split()) or SequenceMatcher(None, norm, m).ratio() >= 0.85)]
+        return head(max(fits, key=lambda m: (len(m), m)), all_norms) if fits else norm
+
+    norms = ["amara sosk", "amara sosk", "sosk", "amara t sosk", "amarra sosk", "elias sosk", "noor pell", "noor pell", "noor pell"]
+    groups = {}
+    for n in norms:
+        groups.setdefault(head(n, norms), []).append(n)
+    assert sorted(v for (c, _), v in got.items() if c == "c") == sorted((len(set(g)), len(g)) for g in groups.values())
+    assert ("c", "Dr. Amara Sosk") in got and ("c", "Elias Sosk") in got and got[("d", "Sosk")] == (1, 3) and {k[0] for k in got} == {"c", "d"}
+    assert sum(n for (c, _), (_, n) in got.items() if c == "c") == 9
+    assert briefing.merged_people(df.limit(0)).collect() == []
+
+
+def test_sheets(spark):
+    schema = "case_id string, chunk_id bigint, parties struct<plaintiffs array<string>, defendants array<string>>, allegations array<string>, defenses array<string>, key_facts array<string>, dates_mentioned array<string>, case_type_hints array<string>, vocabulary array<string>, names_mentioned array<struct<name string, role string, category string>>"
+    full = ("a", 1, (["Ann Low"], []), [f"claim {i:02}" for i in range(12)], ["x" * 201], [], [], ["medical malpractice"], [f"term{i:02}" for i in range(31)], [("Ann Low", "buyer", "PARTY")])
+    bare = ("b", 2, None, None, None, None, None, None, None, None)
+    got = {r.case_id: r.sheet for r in briefing.sheets(spark.createDataFrame([full, bare], schema)).collect()}
+    a = got["a"]
+    assert "Plaintiff(s): Ann Low\nDefendant(s): Not identified" in a and "  10. claim 09\n  ... and 2 more" in a and "claim 10" not in a
+    assert "  1. " + "x" * 197 + "...\n" in a and "term29\n  ... and 1 more terms" in a and "  Parties:\n    - Ann Low (buyer)" in a
+    assert "CASE TYPE: Not determined" in got["b"] and got["b"].count("None identified in documents.") == 2 and "No key individuals identified." in got["b"]
+
+
+def test_lead_summaries(spark):
+    long = "Dr. Low saw it at once. " + "word " * 80 + "end. Third one here."
+    rows = [(1, long), (2, "short."), (3, None), (4, ""), (5, "word " * 500), (6, "One two three four five. Six seven eight nine ten. " * 20)]
+    got = {r.k: r.summary for r in summarize.lead_summaries(spark.createDataFrame(rows, "k int, t string"), "k", "t", 20).collect()}
+    assert set(got) == {1, 5, 6} and got[1].endswith("saw it at once.") and len(got[5].split()) == 500 and len(got[6].split()) == 20
+
+
+def test_answer_contexts(spark):
+    sources = [("f", 1, "S", 0.9, 3), ("f", 2, "N/A", 0.05, 3), ("g", 1, None, 0.2, 3), ("h", 9, "S", 0.9, 1), (None, 1, "S", 0.9, 1)]
+    answers = spark.createDataFrame([(1, sources), (2, []), (3, None)], "qa_id bigint, sources array<struct<filename string, chunk_num int, section string, score double, word_count int>>")
+    chunks = spark.createDataFrame([("f", 1, "one"), ("f", 2, "two"), ("g", 1, "three"), ("h", 9, None)], "filename string, chunk_num int, text string")
+    assert [tuple(r) for r in qa.contexts(answers, chunks, "qa_id").collect()] == [(1, 2, "[f, S]:\none\n\n---\n\n[g]:\nthree")]
