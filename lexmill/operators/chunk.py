@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from .ranks import ordinal, starts
 
 
 def paragraphs(text: str) -> Column:
@@ -155,3 +156,19 @@ def brief_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
 
     end = lambda a: F.when(a["n"] > 0, F.array_append(a["done"], F.struct(a["buf"].alias("text"), a["hint"].alias("hint")))).otherwise(a["done"])
     return parts.select(key, F.posexplode(F.aggregate("ps", start, step, end)).alias("chunk_index", "c")).select(key, "chunk_index", F.col("c.text").alias("text"), F.length("c.text").alias("char_count"), F.col("c.hint").alias("section_hint"))
+
+
+def chunk_ids(chunks: DataFrame, doc: str, num: str, prefix: int = 5, block: int = 65536) -> DataFrame:
+    """``chunks`` with chunk_id ``document_n``, n counting from 0 over all chunks
+    in the order of documents and their chunks.
+
+    Chunks are ranked inside their document, in blocks, and shifted by the sizes
+    of the documents before, which are summed by the first letters of their
+    names; no window spans all rows.  Chunks without a document or a number get
+    no id and fall away.
+    """
+    known = chunks.where(F.col(doc).isNotNull() & F.col(num).isNotNull())
+    sizes = known.groupBy(doc).agg(F.count(F.lit(1)).alias("_size"))
+    first = starts(sizes, doc, "_size", F.substring(doc, 1, prefix), "_first").select(doc, "_first")
+    placed = ordinal(known, [doc], [num], F.floor(F.col(num) / block), "_n").join(first, doc)
+    return placed.withColumn("chunk_id", F.concat(F.col(doc), F.lit("_"), (F.col("_first") + F.col("_n")).cast("string"))).drop("_first", "_n")

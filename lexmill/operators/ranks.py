@@ -21,3 +21,14 @@ def ordinal(df: DataFrame, group: list[str], order: list[str], block: Column, na
     start = sizes.select(*group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = rows.withColumn("_i", F.row_number().over(W.partitionBy(*group, "_block").orderBy(*order)) - 1)
     return inside.join(start, [*group, "_block"]).withColumn(name, F.col("_start") + F.col("_i")).drop("_block", "_start", "_i")
+
+
+def starts(sizes: DataFrame, order: str, size: str, block: Column, name: str = "start") -> DataFrame:
+    """``sizes`` (one row for each value of ``order``) with the sum of the sizes
+    before it.  Summed inside blocks, whose totals are then summed; ``block`` must
+    not fall along the order and gives the number of tasks."""
+    rows = sizes.withColumn("_block", block)
+    totals = rows.groupBy("_block").agg(F.sum(size).alias("_n"))
+    whole = totals.select("_block", F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum(size).over(W.partitionBy("_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_i", inside).join(whole, "_block").withColumn(name, F.col("_start") + F.col("_i")).drop("_block", "_start", "_i")

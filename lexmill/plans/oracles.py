@@ -279,6 +279,7 @@ ORACLE_SQL |= {
     "document_summaries": lead("documents", "doc_id", "text", 200),
     "reading_methods": f"WITH c AS ({ORACLE_SQL['dictionary_confidence']}), w AS (SELECT DISTINCT chunk_row_id, len(chunk_text) AS n FROM {WORK} WHERE chunk_text IS NOT NULL) SELECT chunk_row_id, CASE WHEN confidence > {C.DIGITAL_CONFIDENCE} AND n > {C.DIGITAL_LENGTH} THEN 'digital' ELSE 'ocr' END AS method FROM c JOIN w USING (chunk_row_id)",
     "corpus_vocabulary": f"SELECT source, count(DISTINCT term) AS vocab_size FROM (SELECT source, unnest(list_distinct({CORPUS})) AS term FROM documents WHERE text IS NOT NULL) GROUP BY source",
+    "chunk_ids": f"SELECT chunk_row_id, source_document || '_' || (row_number() OVER (ORDER BY source_document, chunk_num) - 1) AS chunk_id FROM (SELECT DISTINCT chunk_row_id, source_document, chunk_num FROM {WORK} WHERE source_document IS NOT NULL AND chunk_num IS NOT NULL)",
     "corpus_combined": f"""WITH a AS (SELECT DISTINCT filename, case_id FROM document_result), b AS (SELECT DISTINCT source_document AS filename, case_id FROM {WORK} WHERE source_document IS NOT NULL)
  SELECT filename, case_id FROM a UNION ALL SELECT CASE WHEN filename IN (SELECT filename FROM a) THEN 'work_' || filename ELSE filename END, case_id FROM b""",
 }

@@ -405,6 +405,11 @@ def corpus_combined(s, d):
     return corpus.combine(files, worked, "filename", F.lit("work"))
 
 
+def chunk_ids(s, d):
+    once = _work(s, d).select("chunk_row_id", "source_document", "chunk_num").distinct()
+    return chunk.chunk_ids(once, "source_document", "chunk_num").select("chunk_row_id", "chunk_id")
+
+
 def people_merged(s, d):
     return briefing.merged_people(_once(s, d))
 
@@ -422,6 +427,6 @@ QUERIES = {
         briefing_parties, briefing_dates, briefing_vocabulary, case_types, briefing_stats, people_by_category, briefing_openings, allegations_deduplicated, section_runs, section_boundaries,
         adaptive_boundaries, chunk_contexts, reduce_batches, summary_metadata, section_chunks, brief_chunks, split_chunks, chunks_by_document, event_windows, event_sessions,
         dictionary_confidence, transliterated_text, place_relevance, entity_filter, terms_without_disliked, briefing_narratives, names_section, parsed_responses, recent_summaries, success_rates, prompt_budgets, debug_rows, processing_times,
-        answer_contexts, chunk_summaries, document_summaries, reading_methods, corpus_vocabulary, corpus_combined, people_merged, briefing_sheets,
+        answer_contexts, chunk_summaries, document_summaries, reading_methods, corpus_vocabulary, corpus_combined, people_merged, briefing_sheets, chunk_ids,
     )
 }

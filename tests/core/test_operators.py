@@ -242,3 +242,12 @@ def test_answer_contexts(spark):
     answers = spark.createDataFrame([(1, sources), (2, []), (3, None)], "qa_id bigint, sources array<struct<filename string, chunk_num int, section string, score double, word_count int>>")
     chunks = spark.createDataFrame([("f", 1, "one"), ("f", 2, "two"), ("g", 1, "three"), ("h", 9, None)], "filename string, chunk_num int, text string")
     assert [tuple(r) for r in qa.contexts(answers, chunks, "qa_id").collect()] == [(1, 2, "[f, S]:\none\n\n---\n\n[g]:\nthree")]
+
+
+def test_chunk_ids_count_over_all_documents(spark):
+    rows = [(d, n) for d in ("b1", "a", "b", "b22", "c") for n in (3, 1, 70000, 2)] + [(None, 1), ("a", None)]
+    df = spark.createDataFrame(rows, "d string, n int").repartition(5)
+    want = {r: f"{r[0]}_{i}" for i, r in enumerate(sorted(r for r in rows if None not in r))}
+    for prefix in (1, 2, 5):
+        assert {(r.d, r.n): r.chunk_id for r in chunk.chunk_ids(df, "d", "n", prefix, 2).collect()} == want
+    assert chunk.chunk_ids(df.limit(0), "d", "n").collect() == []
