@@ -448,6 +448,8 @@ def clusters(names: DataFrame) -> DataFrame:
     met = weak.join(side("a"), "a").join(side("b"), "b").where("a_in <> b_in").select("a_in", "a_power", "b_in", "b_power")
     turned = met.select(F.col("b_in").alias("a_in"), F.col("b_power").alias("a_power"), F.col("a_in").alias("b_in"), F.col("a_power").alias("b_power"))
     offers = met.unionByName(turned).where("a_power < b_power OR (a_power = b_power AND a_in < b_in)").distinct()
+    # a full name is as strong a candidate with its suffix as without
+    offers = offers.withColumn("b_power", F.least("b_power", F.lit(3)))
     best = offers.groupBy("a_in").agg(F.max("b_power").alias("b_power"))
     only = offers.join(best, ["a_in", "b_power"]).groupBy("a_in").agg(F.count(F.lit(1)).alias("n"), F.min("b_in").alias("b_in")).where("n = 1")
     joined = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(only.select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))).where("a <> b")
@@ -456,6 +458,10 @@ def clusters(names: DataFrame) -> DataFrame:
 
 
 def _strength(n: Name) -> int:
+    """How much of a name a spelling gives.  One without the suffix looks for the
+    one with it, so that it never ties two generations together."""
+    if n.level == "full" and n.generation:
+        return 4
     return {"full": 3, "initial": 2, "titled": 1, "short": 1, "acronym": 1}.get(n.level, 0)
 
 

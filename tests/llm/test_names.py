@@ -60,3 +60,10 @@ def test_edges(spark):
 def test_jaro_winkler():
     assert abs(N.jaro_winkler("martha", "marhta") - 0.9611) < 1e-3
     assert abs(N.jaro_winkler("dixon", "dicksonx") - 0.8133) < 1e-3
+
+
+def test_a_bare_name_ties_no_generations_together(spark):
+    two = ["Nadia de Nourdis Jr.", "Nadia de Nourdis Sr.", "de Nourdis Sr., Nadia", "Nadia deNourdis"]
+    assert {(r.name_a, r.name_b) for r in N.found(frame(spark, two)).collect()} == {("Nadia de Nourdis Sr.", "de Nourdis Sr., Nadia")}
+    one = ["Nadia de Nourdis Jr.", "Nadia de Nourdis"]
+    assert {(r.name_a, r.name_b) for r in N.found(frame(spark, one)).collect()} == {("Nadia de Nourdis", "Nadia de Nourdis Jr.")}
