@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as T
 from ..session import materialize
+from .alike import last_alike
 
 
 def once(df: DataFrame) -> DataFrame:
@@ -54,45 +55,18 @@ def people_by_category(df: DataFrame) -> DataFrame:
     return one.select("case_id", "category", F.col("best.name").alias("name"))
 
 
-def _shingles(norm):
-    """Runs of five words, distinct; a shorter text is one run."""
-    words = F.regexp_extract_all(norm, F.lit(r"[\p{L}\p{N}']+"), 0)
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 5), " "))
-    return F.array_distinct(F.when(n >= 5, runs).otherwise(F.array(norm)))
-
-
 def dedup_text(df: DataFrame, field: str) -> DataFrame:
     """case_id, value: texts of a list without near-duplicates.
 
     A text goes if a longer one of its case (ties: the smaller) contains it or is
-    at least 0.8 like it.  Candidates share five words: each text's rarest runs
-    (a fifth of them and one) are joined with all runs of its case, so no group
-    is ever collected, and what every text shares makes no pairs.  Texts whose
-    every run of five words differs are no candidates; texts of ten characters
-    or less are left out.
+    at least 0.8 like it (SequenceMatcher's ratio over characters).  No key is
+    complete for that ratio, so all pairs of a case are compared, in blocks (see
+    ``last_alike``).  Texts of ten characters or less are left out.
     """
     rows = first_seen(df, field).where(F.length("value") > C.MIN_ITEM_LENGTH).select("case_id", "norm", "value")
-    runs = rows.select("case_id", "norm", F.explode(_shingles(F.col("norm"))).alias("run"), F.size(_shingles(F.col("norm"))).alias("n"))
-    often = runs.groupBy("case_id", "run").agg(F.count(F.lit(1)).alias("f"))
-    w = W.partitionBy("case_id", "norm").orderBy("f", "run")
-    rare = runs.join(often, ["case_id", "run"]).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.floor(F.col("n") * (1 - C.TEXT_SIMILARITY)) + 1)
-    longer = runs.select("case_id", "run", F.col("norm").alias("other"))
-    pairs = rare.select("case_id", "run", "norm").join(longer, ["case_id", "run"]).select("case_id", "norm", "other").distinct()
-    pairs = pairs.where((F.length("other") > F.length("norm")) | ((F.length("other") == F.length("norm")) & (F.col("other") < F.col("norm"))))
-
-    def alike(it):
-        for pdf in it:
-            hit = [a in b or _ratio(a, b) >= C.TEXT_SIMILARITY for a, b in zip(pdf["norm"], pdf["other"])]
-            yield pdf.loc[hit, ["case_id", "norm"]]
-
-    gone = pairs.mapInPandas(alike, "case_id string, norm string").distinct()
-    return rows.join(gone, ["case_id", "norm"], "left_anti").select("case_id", "value")
-
-
-def _ratio(a: str, b: str) -> float:
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.ratio() if m.real_quick_ratio() >= C.TEXT_SIMILARITY and m.quick_ratio() >= C.TEXT_SIMILARITY else 0.0
+    rows = materialize(rows, "texts")
+    gone = last_alike(rows.select("case_id", "norm", F.length("norm").alias("len")), "case_id", "norm", ["len", F.desc("norm")], C.TEXT_SIMILARITY, contained=True)
+    return rows.join(gone.select("case_id", "norm").distinct(), ["case_id", "norm"], "left_anti").select("case_id", "value")
 
 
 def sentence_list(items, conjunction: str = "and"):

@@ -251,3 +251,21 @@ def test_chunk_ids_count_over_all_documents(spark):
     for prefix in (1, 2, 5):
         assert {(r.d, r.n): r.chunk_id for r in chunk.chunk_ids(df, "d", "n", prefix, 2).collect()} == want
     assert chunk.chunk_ids(df.limit(0), "d", "n").collect() == []
+
+
+def test_text_dedup_against_brute_force(spark):
+    from itertools import product
+
+    long = [f"the crate bore tracking number {i}71-204-97{i} and part number {i * 7919} when it came" for i in range(9)]
+    other = [f"{a} {b} the {c} before the {d} of May" for a, b, c, d in product(("tenant", "driver"), ("left", "struck", "repaired the back of"), ("van", "wall"), ("third", "end"))]
+    texts = long + other + ["struck the van", "number 371-204-973 and", "Nobody was told of it."] + [f"unit {'x' * i} {i * 104729} was sealed on {i * 31} orders" for i in range(150)]
+    df = spark.createDataFrame([(i, "c", [t]) for i, t in enumerate(texts)], "chunk_id int, case_id string, allegations array<string>")
+    got = {r.value for r in briefing.dedup_text(df, "allegations").collect()}
+    norms = {t.lower(): t for t in texts}
+
+    def goes(a):
+        later = [b for b in norms if len(b) > len(a) or len(b) == len(a) and b < a]
+        return any(a in b or SequenceMatcher(None, a, b, autojunk=False).ratio() >= C.TEXT_SIMILARITY for b in later)
+
+    want = {t for n, t in norms.items() if not goes(n)}
+    assert got == want and "struck the van" not in got and len(set(long) & got) < 9
