@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,9 +139,9 @@ def merged_people(df: DataFrame) -> DataFrame:
 
     A spelling joins the longest other one of its case that has all its words, or
     whose letters are at least 0.85 like it; joined spellings follow on to the end
-    of their chain.  Candidates share the shorter one's rarest word, or the
-    beginnings or the ends of all words but initials, so common given names make
-    no pairs.
+    of their chain.  The former are found by a join on the shorter one's rarest
+    word, the latter by comparing all pairs in blocks (see ``last_alike``), as no
+    key survives every slip.
     Role and category come from the longest role and the commonest category.
     Null and blank names are no people; repeated rows count as mentions.
     """
@@ -156,23 +154,17 @@ def merged_people(df: DataFrame) -> DataFrame:
     word = one.select("case_id", "norm", F.explode("words").alias("k"))
     often = word.groupBy("case_id", "k").agg(F.count(F.lit(1)).alias("f"))
     rarest = word.join(often, ["case_id", "k"]).groupBy("case_id", "norm").agg(F.min(F.struct("f", "k")).alias("r")).select("case_id", "norm", F.col("r.k").alias("k"))
-    ends = lambda sign, cut: one.select("case_id", "norm", F.concat(F.lit(sign), F.array_join(F.array_sort(F.transform(F.filter("words", lambda w: F.length(w) > 1), cut)), " ")).alias("k"))
-    near = ends("<", lambda w: F.substring(w, 1, 2)).unionByName(ends(">", lambda w: F.substring(w, -2, 2)))
-    other = word.unionByName(near).withColumnRenamed("norm", "longer")
-    pairs = rarest.unionByName(near).join(other, ["case_id", "k"]).select("case_id", "norm", "longer").distinct()
+    pairs = rarest.join(word.withColumnRenamed("norm", "longer"), ["case_id", "k"]).select("case_id", "norm", "longer").distinct()
     rank = lambda c: F.struct(F.length(c).alias("len"), F.col(c).alias("v"))
-    pairs = pairs.where(rank("norm") < rank("longer"))
-
-    def alike(it):
-        for pdf in it:
-            hit = [set(a.split()) <= set(b.split()) or _close(a, b, C.NAME_SIMILARITY) for a, b in zip(pdf["norm"], pdf["longer"])]
-            yield pdf.loc[hit, ["case_id", "norm", "longer"]]
-
-    joined = pairs.mapInPandas(alike, "case_id string, norm string, longer string")
-    to = materialize(joined.groupBy("case_id", "norm").agg(F.max(rank("longer")).alias("t")).select("case_id", "norm", F.col("t.v").alias("head")), "heads")
-    for _ in range(3):  # each round doubles the steps followed; heads only grow longer
+    words = lambda c: F.split(c, " ")
+    whole = pairs.where((rank("norm") < rank("longer")) & (F.size(F.array_except(words("norm"), words("longer"))) == 0))
+    near = last_alike(one.select("case_id", "norm", F.length("norm").alias("len")), "case_id", "norm", ["len", "norm"], C.NAME_SIMILARITY)
+    joined = whole.unionByName(near.withColumnRenamed("other", "longer"))
+    to = joined.groupBy("case_id", "norm").agg(F.max(rank("longer")).alias("t")).select("case_id", "norm", F.col("t.v").alias("head"), F.lit(True).alias("moved"))
+    while not (to := materialize(to, "heads")).where("moved").isEmpty():  # each round doubles the steps followed; heads only grow longer
         nxt = to.select("case_id", F.col("norm").alias("head"), F.col("head").alias("further"))
-        to = to.join(nxt, ["case_id", "head"], "left").select("case_id", "norm", F.coalesce("further", "head").alias("head"))
+        to = to.join(nxt, ["case_id", "head"], "left").select("case_id", "norm", F.coalesce("further", "head").alias("head"), F.col("further").isNotNull().alias("moved"))
+    to = to.drop("moved")
     people = spelled.join(to, ["case_id", "norm"], "left").withColumn("head", F.coalesce("head", "norm"))
     per = people.groupBy("case_id", "head", "category").agg(F.sum("n").alias("n"), F.max("best").alias("best"), F.max("role").alias("role"))
     spellings = people.groupBy("case_id", "head").agg(F.countDistinct("norm").alias("n_spellings"))
@@ -180,11 +172,6 @@ def merged_people(df: DataFrame) -> DataFrame:
     return top.join(spellings, ["case_id", "head"]).select("case_id", F.col("b.name").alias("name"), F.col("r.role").alias("role"), F.col("c.category").alias("category"), "n_spellings", "n_mentions")
 
 
-def _close(a: str, b: str, least: float) -> bool:
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
-
-
 def _listed(items: DataFrame, order: list, cap: int) -> DataFrame:
     """case_id, kept (the first ``cap`` values), n (all): ranked before they are
     collected."""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import constants as C
+from lexmill.functions import text as T
 from lexmill.operators import briefing, chunk, feedback, preprocess, qa, retrieval, summarize, terms, vocab
 from lexmill.sources import corpus, files
 from lexmill.streaming import feedback as stream
@@ -269,3 +270,26 @@ def test_text_dedup_against_brute_force(spark):
 
     want = {t for n, t in norms.items() if not goes(n)}
     assert got == want and "struck the van" not in got and len(set(long) & got) < 9
+
+
+def test_people_merged_against_brute_force(spark):
+    firsts, lasts = ("Hugo", "Marta", "Oskar", "Lena", "Priya"), ("Proallison", "Brizzuga", "Kestrelman", "Tolliver", "Vandermeer")
+    names = [f"{a} {b}" for a in firsts for b in lasts] + [f"{a[0]}{b[0]} {b}" for a in firsts for b in lasts] + [f"{a} {b[:4]}{b[5:]}" for a in firsts for b in lasts]
+    names += [f"{b} medical group llc" for b in lasts] + ["Brizzuga Medycal Group", "Kestrelman Medcial Group", "Tolliverr Medical Grp"] + [f"Unit {i * 7919} {'x' * (i % 9)}" for i in range(120)]
+    names += ["z" * k for k in (4, 5, 6, 8, 10, 13, 17, 22, 29, 38, 49, 64, 83)]  # a chain of twelve steps
+    df = spark.createDataFrame([("c", i, [(n, None, None)]) for i, n in enumerate(names)], PEOPLE)
+    got = sorted((r.n_spellings, r.n_mentions) for r in briefing.merged_people(df).collect())
+    norms = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").select(T.normalize_name("n").alias("n")).collect()]
+    after = {}
+    for a in set(norms):
+        fits = [b for b in set(norms) if (len(a), a) < (len(b), b) and (set(a.split()) <= set(b.split()) or SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85)]
+        if fits:
+            after[a] = max(fits, key=lambda b: (len(b), b))
+
+    def head(n):
+        return head(after[n]) if n in after else n
+
+    groups = {}
+    for n in norms:
+        groups.setdefault(head(n), []).append(n)
+    assert got == sorted((len(set(g)), len(g)) for g in groups.values())
