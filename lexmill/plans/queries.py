@@ -306,8 +306,7 @@ def chunks_by_document(s, d):
 def event_windows(s, d):
     schema = table(s, d, "events").schema
     base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    stream.run_folder(s, f"{d}/events.parquet*", schema, lambda e: stream.windowed(e, "ts", "event_type", "value"), f"{base}/out", f"{base}/state")
-    return s.read.parquet(f"{base}/out")
+    return stream.run_folder_whole(s, f"{d}/events.parquet*", schema, lambda e: stream.windowed(e, "ts", "event_type", "value"), f"{base}/out", f"{base}/state")
 
 
 def event_sessions(s, d):

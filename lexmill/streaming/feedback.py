@@ -34,3 +34,22 @@ def run_folder(spark: SparkSession, folder: str, schema, step: Callable[[DataFra
     """Process what a folder of Parquet files holds so far; run again for more."""
     q = step(spark.readStream.schema(schema).parquet(folder)).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
     q.awaitTermination()
+
+
+def run_folder_whole(spark: SparkSession, folder: str, schema, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataFrame:
+    """Aggregates over all that a folder of Parquet files holds so far, open
+    windows and late rows included; run again for more.
+
+    Each batch writes the complete result beside the earlier ones, and the last
+    is returned.  In complete mode no watermark drops rows or state, hence the
+    state has one row for each group.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = step(spark.readStream.schema(schema).parquet(folder)).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    every = spark.read.parquet(out)
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == F.lit(last)).drop("batch")

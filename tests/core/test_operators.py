@@ -293,3 +293,18 @@ def test_people_merged_against_brute_force(spark):
     for n in norms:
         groups.setdefault(head(n), []).append(n)
     assert got == sorted((len(set(g)), len(g)) for g in groups.values())
+
+
+def test_event_windows_equal_the_batch(spark, tmp_path):
+    from lexmill.plans import queries
+
+    at = lambda h: F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), h)
+    e = spark.range(200).select(F.col("id").alias("event_id"), at((F.col("id") / 2).cast("int")).alias("ts"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("event_type"), (F.col("id") * 0.5).alias("value"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    want = sorted(map(tuple, stream.windowed(e, "ts", "event_type", "value").collect()))
+    assert sorted(map(tuple, queries.event_windows(spark, str(tmp_path)).select("start", "event_type", "n", "total").collect())) == want
+    run = lambda: stream.run_folder_whole(spark, str(tmp_path / "in"), e.schema, lambda s: stream.windowed(s, "ts", "event_type", "value"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    for part in ("event_id >= 100", "event_id < 100"):  # the second batch is hours late
+        e.where(part).write.mode("append").parquet(str(tmp_path / "in"))
+        got = run()
+    assert sorted(map(tuple, got.collect())) == want and sorted(map(tuple, run().collect())) == want
