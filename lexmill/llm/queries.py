@@ -65,7 +65,11 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p3_found, p3_masked, p4_found, p5_found, p5_repaired, p6_ids, p7_containers, p8_found, p8_canonical)}
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p3_found, p3_masked, p4_found, p5_found, p5_repaired, p6_ids, p7_containers, p8_found, p8_canonical, p8_classes)}
 
 #: SQL can't express these operators; tests/llm holds brute force, exact round
 #: trips and held-out cases instead.

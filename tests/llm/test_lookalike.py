@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 from lexmill.llm import lookalike as L
@@ -30,11 +31,59 @@ def test_copies_make_no_pair(spark):
 
 def test_automaton_costs():
     t = L.Trie([("résumé", 5), ("café", 9), ("cafés", 2)])
-    assert t.search("cаfé") == [(0, "café")]  # a Cyrillic letter
+    assert t.search("cаfe\u0301") == [(0, "café", 9)]  # a Cyrillic letter, a mark by itself
+    assert t.search("ca\u200bfé\xad") == [(0, "café", 9)]
     assert t.search("cafe") == []
-    assert t.search("café", 1) == [(0, "café"), (1, "cafés")]
+    assert t.search("café", 1) == [(0, "café", 9), (1, "cafés", 2)]
 
 
-def test_very_long_text():
+def test_automaton_against_brute_force():
+    """Costs are edit distances between what a reader sees."""
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("aeoрé") for _ in range(r.randint(1, 4))) for _ in range(60)})
+    trie = L.Trie([(w, 1) for w in words])
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    looks = lambda t: [x for u in L.units(t) for x in u]
+    for _ in range(60):
+        t = "".join(r.choice("аaеoо\u0301\xadpе") for _ in range(r.randint(1, 5)))
+        for budget in (0, 1):
+            want = {w: d for w in words if (d := distance(looks(t), looks(w))) <= budget}
+            assert {w: c for c, w, _ in trie.search(t, budget)} == want
+
+
+def test_the_vocabulary_decides_the_spelling(spark):
+    """роса in Cyrillic could be written in Latin letters throughout: by table it
+    would be, but the corpus writes it in Cyrillic; with a text that has the Latin
+    word, ASCII goes first, as ASCII texts stay as they are."""
+    texts = ["роса и трава", "рoсa и трава", "роса\xad, роса"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in L.canonical(df).collect()} == {0: texts[0], 1: texts[0], 2: "роса, роса"}
+    assert L.by_table("роса") == "poca"
+    more = df.unionByName(spark.createDataFrame([(3, "poca")], df.schema))
+    assert {r.text for r in L.canonical(more).collect()} == {"poca и трава", "poca, poca", "poca"}
+
+
+def test_styles_and_scripts():
+    for odd, plain in (("𝐓𝐡𝐞", "The"), ("ℂourt", "Court"), ("Ⅳ", "IV"), ("Ꭲhe", "The"), ("ﬃ", "ffi"), ("Ｑ", "Q")):
+        assert L.by_table(odd) == plain
+    assert L.by_table("ПОТОП") == L.by_table("ΠΟΤΟΠ")
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([(1, "café"), (2, "cafe\u0301"), (3, "café"), (4, "cafe"), (5, None)], "doc_id bigint, text string")
+    assert sorted(map(tuple, L.classes(df).collect())) == [(1, 1, 2, 3), (2, 1, 2, 3), (3, 1, 2, 3), (4, 4, 1, 1)]
+
+
+def test_very_long_text(spark):
     text = "Thе café " * 20000
-    assert L.Canon([("café", 3)]).text(text) == "The café " * 20000
+    df = spark.createDataFrame([(1, text), (2, "x" * 200_000 + "é")], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in L.canonical(df).collect()} == {1: "The café " * 20000, 2: "x" * 200_000 + "é"}
