@@ -26,6 +26,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +51,15 @@ BUSINESS = {
 _LONG = {s.replace("'", ""): w for w, short in BUSINESS.items() for s in short.split()} | {w: w for w in BUSINESS}
 _LONG.update({"corp": "corp", "inc": "inc", "ltd": "ltd", "co": "co", "company": "company"})
 # Placeholders and words for roles.
-NO_NAMES = frozenset(
-    "n/a na none null unknown nil tbd plaintiff plaintiffs defendant defendants petitioner respondent claimant witness party parties unnamed anonymous john doe jane doe not stated not named not applicable redacted the court court counsel appellant appellee insured insurer tenant landlord driver doctor nurse patient various several others et al".split()
-)
 _ROLE = re.compile(r"^(?:the |an? |said |our |my )?(?:n/?a|none|null|unknown|unnamed|not (?:named|stated|known|applicable|provided|available)|tbd|redacted|anonymous|(?:third[- ]party )?(?:plaintiff|defendant|petitioner|respondent|claimant|witness|appellant|appellee|insured|insurer|tenant|landlord|employer|employee|guarantor|intervenor|receiver|decedent|estate|driver|doctor|physician|nurse|patient|counsel|attorney|judge|court|party|parties|carrier|caller|expert)(?:'?s)?(?: (?:name|estate|counsel|attorney))?|(?:john|jane) doe|[-?.\s]*|\[.*\]|<.*>)$", re.I)
 # Nicknames by given name.
 NICKNAMES = {
     "abigail": "abby gail", "alexander": "alex al sandy xander lex", "andrew": "andy drew", "anthony": "tony ant", "barbara": "barb babs barbie", "benjamin": "ben benny benji", "charles": "charlie chuck chas", "christine": "chris tina chrissy christy",
     "christopher": "chris kit", "daniel": "dan danny", "david": "dave davey", "deborah": "deb debbie debby", "dmitri": "dima mitya", "dorothy": "dot dottie dolly dotty", "edward": "ed eddie ted ned teddy", "elizabeth": "liz beth betty eliza lizzie libby betsy liza lisa", "frederick": "fred freddie freddy rick",
-    "gregory": "greg gregg", "jacqueline": "jackie jacqui", "james": "jim jimmy jamie", "jennifer": "jen jenny jenn", "joel": "joe", "john": "jack johnny jon", "joseph": "joe joey jos", "katherine": "kate kathy katie kat kathie kitty kay", "lawrence": "larry laurie lars", "leonard": "len lenny leo",
+    "gregory": "greg gregg", "jacqueline": "jackie jacqui", "james": "jim jimmy jamie", "jennifer": "jen jenny jenn", "joel": "joe", "john": "jack johnny jon", "joseph": "joe joey jos", "katherine": "kate kathy katie kat kathie kitty kay", "catherine": "cathy cathie cate kate kathy katie katherine", "lawrence": "larry laurie lars", "leonard": "len lenny leo",
     "margaret": "maggie meg peggy marge greta margie", "maria": "mary mia", "matthew": "matt matty", "michael": "mike mick mickey mikey", "nicholas": "nick nicky nico", "patricia": "pat patty trish tricia patti", "paula": "pauline polly", "philip": "phil pip", "rebecca": "becky becca reba", "richard": "rick dick rich ricky richie",
     "robert": "bob rob bobby robbie bert", "samuel": "sam sammy", "simon": "si", "stephen": "steve", "steven": "steve stevie", "susan": "sue susie suzy", "theresa": "terry tess tessa terri", "thomas": "tom tommy", "victoria": "vicky vicki tori vickie", "walter": "walt wally", "william": "bill will billy willy liam", "yvonne": "vonnie evie", "oscar": "ozzie", "marcus": "marc mark",
-    "priya": "pri", "nadia": "nad", "ruth": "ruthie", "carl": "karl", "ahmed": "ahmad", "amara": "mara", "hugo": "hugh", "ivan": "vanya", "vera": "ve", "joan": "joanie", "ronald": "ron ronnie", "donald": "don donnie", "kenneth": "ken kenny", "raymond": "ray", "timothy": "tim timmy", "peter": "pete", "pamela": "pam", "sandra": "sandy", "cynthia": "cindy", "judith": "judy", "jeffrey": "jeff", "gerald": "gerry jerry", "harold": "harry hal", "henry": "hank harry", "francis": "frank", "frances": "fran",
+    "priya": "pri", "nadia": "nad", "ruth": "ruthie", "carl": "karl", "ahmed": "ahmad", "amara": "mara", "hugo": "hugh", "ivan": "vanya", "vera": "ve", "joan": "joanie", "ronald": "ron ronnie", "donald": "don donnie", "kenneth": "ken kenny", "raymond": "ray", "timothy": "tim timmy", "peter": "pete", "pamela": "pam", "sandra": "sandy", "sarah": "sara", "anna": "ana", "jonathan": "jon", "cynthia": "cindy", "judith": "judy", "jeffrey": "jeff", "gerald": "gerry jerry", "harold": "harry hal", "henry": "hank harry", "francis": "frank", "frances": "fran",
 }
 _FORMAL: dict[str, set[str]] = {}
 for _g, _short in NICKNAMES.items():
@@ -137,16 +135,15 @@ def one_slip(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or x[:2] == y[1::-1] and len(x) > 1 and len(y) > 1 and x[2:] == y[2:]
 
 
+@lru_cache(200_000)
 def alike(a: str, b: str) -> bool:
-    """Two typed forms of one word: close by Jaro-Winkler and one slip apart
-    (two in long words)."""
+    """Two typed forms of one word: 0.80 by Jaro-Winkler and one slip apart, or
+    0.965, which allows two slips in a word of nine letters."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 4:
-        return False
     if one_slip(a, b):
         return jaro_winkler(a, b) >= 0.80
-    return len(a) >= 9 and len(b) >= 9 and jaro_winkler(a, b) >= 0.965
+    return min(len(a), len(b)) >= 9 and jaro_winkler(a, b) >= 0.965
 
 
 # -- parsing -------------------------------------------------------------
@@ -158,11 +155,11 @@ _DOTTED = re.compile(r"\b(?:[A-Za-z]\.){2,}")
 class Name:
     """A parsed spelling.  kind is "person", "org" or "" (no name)."""
 
-    __slots__ = ("kind", "given", "initials", "surname", "generation", "core", "work", "legal", "acronym", "level")
+    __slots__ = ("kind", "given", "initials", "surname", "generation", "core", "work", "legal", "acronym", "level", "tokens")
 
     def __init__(self, kind: str):
         self.kind, self.given, self.initials, self.surname, self.generation = kind, "", "", "", ""
-        self.core, self.work, self.legal, self.acronym, self.level = "", (), "", "", ""
+        self.core, self.work, self.legal, self.acronym, self.level, self.tokens = "", (), "", "", "", ()
 
 
 def _letters(text: str) -> str:
@@ -199,7 +196,7 @@ def parse(raw: str) -> Name:
         if len(work) == 1 and 2 <= len(work[0]) <= 4 and tokens[0].isupper():
             n.acronym, n.level = work[0], "acronym"
             return n
-        n.core, n.work = work[0], tuple(work[1:])
+        n.core, n.work, n.tokens = work[0], tuple(work[1:]), tuple(work)
         n.level = "full" if n.work else "short"
         return n
     return _person(text, low)
@@ -264,6 +261,9 @@ def _person(text: str, low: str) -> Name:
     n.surname = re.sub(r"[^a-z]", "", "".join(sur))
     if not n.surname:
         return Name("")
+    # what would be an organisation's words, if it is one: no comma, no initials, no known given name
+    if given and len(parts) == 1 and not titled and all(len(w) > 1 for w in order) and not n.generation and order[0] not in GIVEN and order[-1] not in GIVEN:
+        n.tokens = tuple(order)
     n.level = "full" if given else "initial" if n.initials else "titled" if titled or len(comma) > 1 else "short"
     return n
 
@@ -272,10 +272,14 @@ def _person(text: str, low: str) -> Name:
 
 
 def given_alike(a: str, b: str) -> bool:
-    if a == b or alike(a, b):
+    """One given name typed twice, or a nickname; two known names are two names."""
+    if a == b or _formal(a) & _formal(b):
         return True
-    fa, fb = _FORMAL.get(a, {a}), _FORMAL.get(b, {b})
-    return bool(fa & fb)
+    return not (a in GIVEN and b in GIVEN) and 4 <= min(len(a), len(b)) and alike(a, b)
+
+
+def _formal(given: str) -> set[str]:
+    return _FORMAL.get(given, {given})
 
 
 def same(a: Name, b: Name) -> str:
@@ -284,6 +288,9 @@ def same(a: Name, b: Name) -> str:
         return ""
     if a.kind != b.kind:
         org, other = (a, b) if a.kind == "org" else (b, a)
+        # the same words with a legal form behind them
+        if org.legal and len(other.tokens) > 1 and len(other.tokens) == len(org.tokens) and all(alike(x, y) for x, y in zip(org.tokens, other.tokens)):
+            return "firm"
         # a single word may be the short name of an organisation
         return "weak" if other.level == "short" and org.level == "full" and alike(other.surname, org.core) else ""
     if a.kind == "person":
@@ -329,35 +336,51 @@ def _work_alike(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return all(x == y or alike(x, y) for x, y in zip(a, b))
 
 
-def keys(name: Name) -> list[str]:
-    """Blocking keys: phonetic codes of the sorted tokens and the ends of words
-    with the given name or its initial, so that one slip in a word leaves a key
-    intact; spellings without a given name go by the surname."""
+def _ends(code: str) -> set[str]:
+    """Parts of a code of which one slip leaves one intact."""
+    parts = {f"{code[:2]}<", f">{code[-2:]}", f"{code[:1]}-{code[-1:]}"}
+    return parts | {f"{code[:1]}.", f".{code[-1:]}"} if len(code) < 3 else parts
+
+
+def keys(name: Name) -> dict[str, bool]:
+    """Blocking keys: phonetic codes of the sorted tokens, and codes of one token
+    with the beginning or end of the other's code, so that one slip leaves a key
+    intact.  A spelling that gives a part of a name only (initial, surname, short
+    form, acronym) asks in blocks in which full names merely answer: the value says
+    whether the spelling asks there; two that merely answer are not compared.
+    """
+    out: dict[str, bool] = {}
     if name.kind == "person":
-        s = name.surname
-        out = [f"p|{phonetic(s)}", f"p<{s[:4]}", f"p>{s[-5:]}"]
-        if name.given:
-            g = phonetic(min(_FORMAL.get(name.given, {name.given})))
-            out += ["P|" + "|".join(sorted((g, phonetic(s)[:3]))), f"P<{g}|{s[:2]}", f"P>{g}|{s[-3:]}"]
-        for i in {f[0] for f in _FORMAL.get(name.given, ())} | set(name.initials[:1]):
-            out += [f"i<{i}|{s[:3]}", f"i>{i}|{s[-4:]}"]
+        s = phonetic(name.surname)
+        full, short = name.level == "full", name.level in ("titled", "short")
+        if full:
+            for g in {phonetic(f) for f in _formal(name.given)}:
+                out |= {"T|" + "|".join(sorted((g, s))): True, f"G|{g}|{s[:1]}": True, f"H|{g}|{s[-1:]}": True, f"L|{g[-2:]}|{s}": True}
+        for i in {f[0] for f in _formal(name.given) if f} | set(name.initials[:1]):
+            out[f"I|{i}|{s}"] = True
+            out |= {f"J|{i}|{e}": not full for e in _ends(s)}
+        out[f"S|{s}"] = short
+        out |= {f"U|{e}": short for e in _ends(s)}
         if name.level == "short":
-            out += [f"o<{s[:3]}", f"o>{s[-4:]}"]
-        return out
-    if name.kind == "org":
-        if name.level == "acronym":
-            return [f"a|{name.acronym}"]
-        c = name.core
-        out = [f"o|{phonetic(c)}", f"o<{c[:3]}", f"o>{c[-4:]}"]
-        if name.level == "full":
-            out.append("a|" + "".join(w[0] for w in (c, *name.work) if w != "and"))
-        return out
-    return []
+            out |= {f"X|{e}": True for e in _ends(s)}
+        if name.tokens:
+            out |= {"T|" + "|".join(sorted(map(phonetic, name.tokens))): True, f"C|{phonetic(name.tokens[0])}": False}
+    elif name.level == "acronym":
+        out[f"A|{name.acronym}"] = True
+    elif name.kind == "org":
+        c, full = phonetic(name.core), name.level == "full"
+        letters = "".join(w[0] for w in name.work)
+        out[f"C|{c}"] = True
+        out |= {f"X|{e}": not full for e in _ends(c)}
+        if full:
+            out |= {"T|" + "|".join(sorted(map(phonetic, name.tokens))): True, f"D|{c[:1]}|{letters}": True, f"E|{c[-1:]}|{letters}": True}
+            out["A|" + "".join(w[0] for w in name.tokens if w != "and")] = False
+    return out
 
 
 @lru_cache(100_000)
-def _key_set(name: str) -> frozenset[str]:
-    return frozenset(keys(parse(name)))
+def _keys(name: str) -> dict[str, bool]:
+    return keys(parse(name))
 
 
 # -- operators -----------------------------------------------------------
@@ -375,50 +398,103 @@ def spellings(df: DataFrame) -> DataFrame:
     return people.unionByName(parties).where("scope IS NOT NULL AND trim(name) <> ''").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+#: Edges that one task joins at a time.
+EDGES = 100_000
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: node, component (its smallest node).
 
-    Every round sends each node's smallest known label to its neighbours and
-    follows the label one step (pointer jumping), so that long chains halve.
-    Each round is written to the shared folder, which cuts the lineage.
+    ``edges`` may have a ``scope``, within which its edges stay.  The edges of a scope
+    are joined in one pass over them; a scope with more than ``EDGES`` is cut into
+    salts, each of which gives one edge for each of its nodes, and these are labelled
+    in rounds until nothing changes: every round sends each node's smallest label to
+    its neighbours and follows the label one step, so that long chains halve.  Each
+    round is written to the shared folder, which cuts the lineage.
     """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    both = materialize(both, "edges")
+    e = edges.select(F.col("scope") if "scope" in edges.columns else F.lit("").alias("scope"), F.col(a).alias("x"), F.col(b).alias("y"))
+    sizes = e.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / EDGES).cast("int").alias("salts"))
+    salted = e.join(sizes, "scope").withColumn("salt", F.pmod(F.xxhash64(F.least("x", "y")), F.col("salts")))
+    place = ["scope", "salt"]
+
+    def join(batches):
+        at, salts, parent = None, 1, {}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def done():
+            rows = [(x, root(x), salts) for x in parent]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))], names=["node", "root", "salts"])
+
+        for batch in batches:
+            for scope, salt, n, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                if (scope, salt) != at:
+                    if parent:
+                        yield done()
+                    at, salts, parent = (scope, salt), n, {}
+                parent.setdefault(x, x)
+                parent.setdefault(y, y)
+                i, j = root(x), root(y)
+                if i != j:
+                    parent[max(i, j)] = min(i, j)
+        if parent:
+            yield done()
+
+    rows = salted.repartition(*place).sortWithinPartitions(*place).select("scope", "salt", "salts", "x", "y")
+    star = materialize(rows.mapInArrow(join, "node string, root string, salts int"), "stars")
+    whole = star.where("salts = 1").select("node", F.col("root").alias("component"))
+    rest = star.where("salts > 1 AND node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"))
+    return whole if rest.isEmpty() else whole.unionByName(_labelled(rest))
+
+
+def _labelled(edges: DataFrame) -> DataFrame:
+    both = materialize(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     label = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "node"), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both["y"] == label["node"]).groupBy("x").agg(F.min("label").alias("low"))
         step = label.join(near, label["node"] == near["x"], "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("low", "label")).alias("label"))
         up = step.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        nxt = materialize(step.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("above", "label")).alias("label")), "labels")
-        changed = nxt.where("label <> was").limit(1).count()
-        label = nxt.select("node", "label")
-        if not changed:
-            break
-    return label.withColumnRenamed("label", "component")
+        label = materialize(step.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("above", "label")).alias("label")), "labels")
+        if label.where("label <> was").isEmpty():
+            return label.select("node", F.col("label").alias("component"))
+
+
+#: Members of a block that are compared in one place; larger blocks are spread.
+HEAVY = 256
 
 
 def links(names: DataFrame) -> DataFrame:
     """scope, name_a, name_b, link ("firm" or "weak") of the compared pairs.
 
-    Candidates share a blocking key within a scope.  A block is joined by its
-    key, never collected; a pair that shares several keys is compared under the
-    smallest of them only, so that candidates need no shuffle to be made unique.
+    Candidates share a blocking key within a scope, and one of them asks there.  A
+    block is joined by its key, never collected; a block with more than ``HEAVY``
+    members is spread by salts on one side, so that none is one task.  A pair that
+    shares several keys is compared under the smallest of them only, so that
+    candidates need no shuffle to be made unique.
     """
 
     def keyed(rows):
         for scope, name in rows:
-            for k in _key_set(name):
-                yield scope, k, name
+            for k, asks in _keys(name).items():
+                yield scope, k, name, asks
 
     def judge(rows):
         for scope, k, a, b in rows:
-            if k == min(_key_set(a) & _key_set(b)) and (link := same(parse(a), parse(b))):
+            x, y = _keys(a), _keys(b)
+            if k == min(h for h in x.keys() & y.keys() if x[h] or y[h]) and (link := same(parse(a), parse(b))):
                 yield scope, a, b, link
 
-    k = map_rows(names.select("scope", "name"), keyed, "scope string, k string, name string")
-    left = k.select("scope", "k", F.col("name").alias("name_a"))
-    right = k.select("scope", "k", F.col("name").alias("name_b"))
-    pairs = left.join(right, ["scope", "k"]).where("name_a < name_b").select("scope", "k", "name_a", "name_b")
+    tasks = max(1, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    k = materialize(map_rows(names.select("scope", "name").repartition(tasks), keyed, "scope string, k string, name string, asks boolean"), "keys")
+    size = k.groupBy("scope", "k").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).where("n > 1 AND q > 0").select("scope", "k", F.ceil(F.col("n") / HEAVY).cast("int").alias("salts"))
+    held = k.join(size, ["scope", "k"])
+    left = held.select("scope", "k", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt"), F.col("name").alias("name_a"), F.col("asks").alias("asks_a"))
+    right = held.select("scope", "k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("name").alias("name_b"), F.col("asks").alias("asks_b"))
+    pairs = left.join(right, ["scope", "k", "salt"]).where("name_a < name_b AND (asks_a OR asks_b)").select("scope", "k", "name_a", "name_b").repartition(tasks)
     return map_rows(pairs, judge, "scope string, name_a string, name_b string, link string")
 
 
@@ -431,7 +507,7 @@ def clusters(names: DataFrame) -> DataFrame:
     """
     node = lambda c: F.concat_ws("\x1f", "scope", c)
     found = materialize(links(names), "links")
-    firm = found.where("link = 'firm'").select(node("name_a").alias("a"), node("name_b").alias("b"))
+    firm = found.where("link = 'firm'").select("scope", node("name_a").alias("a"), node("name_b").alias("b"))
     weak = found.where("link = 'weak'").select(node("name_a").alias("a"), node("name_b").alias("b"))
     comp = components(firm)
 
@@ -453,7 +529,7 @@ def clusters(names: DataFrame) -> DataFrame:
     best = offers.groupBy("a_in").agg(F.max("b_power").alias("b_power"))
     only = offers.join(best, ["a_in", "b_power"]).groupBy("a_in").agg(F.count(F.lit(1)).alias("n"), F.min("b_in").alias("b_in")).where("n = 1")
     joined = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(only.select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))).where("a <> b")
-    done = components(joined)
+    done = components(joined.withColumn("scope", F.substring_index("a", "\x1f", 1)))
     return done.select(F.substring_index("node", "\x1f", 1).alias("scope"), F.substring_index("node", "\x1f", -1).alias("name"), "component")
 
 
@@ -465,6 +541,14 @@ def _strength(n: Name) -> int:
     return {"full": 3, "initial": 2, "titled": 1, "short": 1, "acronym": 1}.get(n.level, 0)
 
 
+def classes(df: DataFrame) -> DataFrame:
+    """case_id, name, class_id (its smallest spelling), n_names: membership instead
+    of pairs, of every spelling that has another; linear in the spellings."""
+    c = clusters(spellings(df))
+    per = c.groupBy("component").agg(F.min("name").alias("class_id"), F.count(F.lit(1)).alias("n_names"))
+    return c.join(per, "component").select(F.col("scope").alias("case_id"), "name", "class_id", "n_names")
+
+
 def found(df: DataFrame) -> DataFrame:
     """case_id, name_a < name_b: pairs of spellings of one entity in a case."""
     c = clusters(spellings(df))

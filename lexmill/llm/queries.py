@@ -39,6 +39,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.found(table(spark, sf_dir, "chunk_extraction"))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.classes(table(spark, sf_dir, "chunk_extraction"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.found(table(spark, sf_dir, WORK))
 
@@ -69,7 +73,7 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p3_found, p3_masked, p4_found, p5_found, p5_repaired, p6_ids, p7_containers, p8_found, p8_canonical, p8_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p3_found, p3_masked, p4_found, p4_classes, p5_found, p5_repaired, p6_ids, p7_containers, p8_found, p8_canonical, p8_classes)}
 
 #: SQL can't express these operators; tests/llm holds brute force, exact round
 #: trips and held-out cases instead.

@@ -67,3 +67,48 @@ def test_a_bare_name_ties_no_generations_together(spark):
     assert {(r.name_a, r.name_b) for r in N.found(frame(spark, two)).collect()} == {("Nadia de Nourdis Sr.", "de Nourdis Sr., Nadia")}
     one = ["Nadia de Nourdis Jr.", "Nadia de Nourdis"]
     assert {(r.name_a, r.name_b) for r in N.found(frame(spark, one)).collect()} == {("Nadia de Nourdis", "Nadia de Nourdis Jr.")}
+
+
+def pairs(spark, names):
+    return {(r.name_a, r.name_b) for r in N.found(frame(spark, names)).collect()}
+
+
+def test_organisations_without_a_listed_word(spark):
+    for group in (["Acme Widgets", "Acme Widgets Inc"], ["Northgate Dairy Farm", "Northgate Dairy Farm LLC"], ["Catherine Boyle", "Cathy Boyle"], ["Bruce Lee", "Bruce Lea"]):
+        assert pairs(spark, group) == {tuple(group)} or pairs(spark, group) == {tuple(sorted(group))}
+    assert pairs(spark, ["Robert Stoulvis", "Robert Stoulvis LLC", "Joan Klordick", "John Klordick"]) == set()
+
+
+def test_classes(spark):
+    got = sorted(map(tuple, N.classes(frame(spark, ["Ahmed Woungenko", "Woungenko, Ahmed", "José Woungenko"])).collect()))
+    assert got == [("c1", "Ahmed Woungenko", "Ahmed Woungenko", 2), ("c1", "Woungenko, Ahmed", "Ahmed Woungenko", 2)]
+
+
+def test_large_scopes_and_blocks_are_split_without_loss(spark, monkeypatch):
+    chain = [(f"{i:03d}", f"{i + 1:03d}") for i in range(200)] + [("900", "901")]
+    monkeypatch.setattr(N, "EDGES", 7)
+    monkeypatch.setattr(N, "HEAVY", 2)
+    got = {r.node: r.component for r in N.components(spark.createDataFrame(chain, "a string, b string")).collect()}
+    assert got == {f"{i:03d}": "000" for i in range(201)} | {"900": "900", "901": "900"}
+    names = [n for g in SAME for n in g] + APART
+    assert pairs(spark, names) == {tuple(sorted(p)) for g in SAME for p in combinations(g, 2)}
+
+
+def test_blocking_loses_no_pair():
+    """Every pair of one scope that the comparison accepts shares a key in which one of both asks."""
+    import random
+
+    r = random.Random(8)
+    base = ["Ahmed Woungenko", "Elizabeth Gruvell", "Simon Nuskova", "Grirvide Imaging Partners", "Blourraki Manufacturing"]
+    slip = lambda t, i: r.choice([t[:i] + t[i + 1 :], t[:i] + t[i + 1] + t[i] + t[i + 2 :], t[:i] + r.choice("abdegklmnrst") + t[i + 1 :], t[:i] + r.choice("aeiklnrs") + t[i:]])
+    lost = tried = 0
+    for b in base:
+        forms = [b, b.split()[0][0] + ". " + b.split()[1], "Dr. " + b.split()[1], b.split()[0]] if "ing" not in b else [b, b + ", Inc.", b.split()[0]]
+        for _ in range(120):
+            x, y = r.choice(forms), r.choice(forms)
+            y = slip(y, r.randint(max(1, len(y) - 6), len(y) - 2))
+            if x != y and N.same(N.parse(x), N.parse(y)):
+                kx, ky = N._keys(x), N._keys(y)
+                tried += 1
+                lost += not any(kx[k] or ky[k] for k in kx.keys() & ky.keys())
+    assert tried > 150 and lost <= 0.02 * tried
