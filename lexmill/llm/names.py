@@ -336,6 +336,11 @@ def _work_alike(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return all(x == y or alike(x, y) for x, y in zip(a, b))
 
 
+def _firsts(name: Name) -> str:
+    """What the given name may begin with; "" where none is given."""
+    return "".join(sorted({f[0] for f in _formal(name.given) if f} | set(name.initials[:1])))
+
+
 def _ends(code: str) -> set[str]:
     """Parts of a code of which one slip leaves one intact."""
     parts = {f"{code[:2]}<", f">{code[-2:]}", f"{code[:1]}-{code[-1:]}"}
@@ -352,15 +357,13 @@ def keys(name: Name) -> dict[str, bool]:
     out: dict[str, bool] = {}
     if name.kind == "person":
         s = phonetic(name.surname)
-        full, short = name.level == "full", name.level in ("titled", "short")
+        full = name.level == "full"
         if full:
             for g in {phonetic(f) for f in _formal(name.given)}:
                 out |= {"T|" + "|".join(sorted((g, s))): True, f"G|{g}|{s[:1]}": True, f"H|{g}|{s[-1:]}": True, f"L|{g[-2:]}|{s}": True}
-        for i in {f[0] for f in _formal(name.given) if f} | set(name.initials[:1]):
-            out[f"I|{i}|{s}"] = True
-            out |= {f"J|{i}|{e}": not full for e in _ends(s)}
-        out[f"S|{s}"] = short
-        out |= {f"U|{e}": short for e in _ends(s)}
+        if full:
+            out |= {f"I|{i}|{s}": True for i in _firsts(name)}
+        out |= {f"U|{e}": not full for e in _ends(s)}
         if name.level == "short":
             out |= {f"X|{e}": True for e in _ends(s)}
         if name.tokens:
@@ -474,13 +477,15 @@ def links(names: DataFrame) -> DataFrame:
     block is joined by its key, never collected; a block with more than ``HEAVY``
     members is spread by salts on one side, so that none is one task.  A pair that
     shares several keys is compared under the smallest of them only, so that
-    candidates need no shuffle to be made unique.
+    candidates need no shuffle to be made unique; one whose given names can't begin
+    alike never reaches Python.
     """
 
     def keyed(rows):
         for scope, name in rows:
+            first = _firsts(parse(name))
             for k, asks in _keys(name).items():
-                yield scope, k, name, asks
+                yield scope, k, name, first, asks
 
     def judge(rows):
         for scope, k, a, b in rows:
@@ -489,12 +494,12 @@ def links(names: DataFrame) -> DataFrame:
                 yield scope, a, b, link
 
     tasks = max(1, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    k = materialize(map_rows(names.select("scope", "name").repartition(tasks), keyed, "scope string, k string, name string, asks boolean"), "keys")
+    k = materialize(map_rows(names.select("scope", "name").repartition(tasks), keyed, "scope string, k string, name string, first string, asks boolean"), "keys")
     size = k.groupBy("scope", "k").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).where("n > 1 AND q > 0").select("scope", "k", F.ceil(F.col("n") / HEAVY).cast("int").alias("salts"))
     held = k.join(size, ["scope", "k"])
-    left = held.select("scope", "k", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt"), F.col("name").alias("name_a"), F.col("asks").alias("asks_a"))
-    right = held.select("scope", "k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("name").alias("name_b"), F.col("asks").alias("asks_b"))
-    pairs = left.join(right, ["scope", "k", "salt"]).where("name_a < name_b AND (asks_a OR asks_b)").select("scope", "k", "name_a", "name_b").repartition(tasks)
+    left = held.select("scope", "k", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt"), F.col("name").alias("name_a"), F.col("first").alias("first_a"), F.col("asks").alias("asks_a"))
+    right = held.select("scope", "k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("name").alias("name_b"), F.col("first").alias("first_b"), F.col("asks").alias("asks_b"))
+    pairs = left.join(right, ["scope", "k", "salt"]).where("name_a < name_b AND (asks_a OR asks_b) AND (first_a = '' OR first_b = '' OR translate(first_a, first_b, '') <> first_a)").select("scope", "k", "name_a", "name_b").repartition(tasks)
     return map_rows(pairs, judge, "scope string, name_a string, name_b string, link string")
 
 
