@@ -2,10 +2,11 @@
 
 A hidden Markov model labels the non-ASCII characters of a text.  One state is
 clean text; each other state stands for one encoding pair: UTF-8 bytes that
-were read as a single-byte code page.  One more state holds characters that
-were already lost (U+FFFD).  The Viterbi path gives the labelled spans, and
-every span gets the inverse transform of its state.  Text that was garbled
-twice is labelled again after the first repair, until nothing changes.
+were read as a single-byte code page, or one single-byte page read as another.
+One more state holds characters that were already lost (U+FFFD).  The Viterbi path
+gives the labelled spans, and every span gets the inverse transform of its state.
+Text that was garbled more than once is labelled again after each repair, until
+nothing changes.
 
 ASCII is the same in all pairs, so pure ASCII texts never reach Python and
 ASCII stretches inside a text only let the state decay.
@@ -34,15 +35,33 @@ ENTER, STAY, LEAVE = math.log(5e-2), math.log(0.7), math.log(0.3)
 LEAD, CONT, BROKEN = math.log(1 / 30), math.log(1 / 16), math.log(1e-7)
 PAIR_PRIOR = math.log(0.8)
 LOST = "�"
-#: A text may have been garbled this often; each pass undoes one layer.
-LAYERS = 4
+#: Single-byte pages that were read as another: (meant, read as).
+SWAPS = (("cp1251", "cp1252"), ("cp1252", "latin_1"), ("cp850", "latin_1"))
+#: How much less likely clean text makes each accented letter beside another one.
+MEET = 1.5
+#: A lead whose second half, a soft hyphen, was dropped by a program (í in UTF-8).
+CUT = LEAD + math.log(0.05)
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 #: Well-formed UTF-8 of two to four bytes, as characters U+0080..U+00FF.
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 
-#: The second half of a garbled í is a soft hyphen, which programs drop.
-_DROPPED = re.compile("(?<=[a-zà-ÿ])Ã(?=[a-z])")
+_DROPPED = re.compile("(?<=[a-zà-ÿ\x80-\xbf])Ã(?=[a-z])")
+#: Where a swapped page can show: C1 controls, or letters that hardly ever meet.
+_SWAPPED = re.compile("[\x80-\x9f]|[À-ÖØ-öø-ÿ]{3}")
+_SWAPPED_LETTER = re.compile("[À-ÖØ-öø-ÿ]")
+
+
+@lru_cache(None)
+def _swap(meant: str, read: str) -> dict[int, str]:
+    """A character of the page that was read -> the one meant, where it is a letter
+    or a mark; C1 controls only if the page read is Latin-1."""
+    out = {}
+    for b in range(0x80, 0x100):
+        c, m = (bytes([b]).decode(x, "replace") for x in (read, meant))
+        if c != m and c != LOST and m.isprintable() and m != LOST and (read != "latin_1" or b < 0xA0):
+            out[ord(c)] = m
+    return out
 
 
 @lru_cache(None)
@@ -126,11 +145,14 @@ def label(text: str) -> list[tuple[int, str]]:
                     continue
                 for i in range(m.start(), m.end()):
                     ok[at + i] = "lead" if i == m.start() else "cont"
+        if p in ("cp1252", "latin_1"):
+            ok |= {m.start(): "cut" for m in _DROPPED.finditer(text) if m.start() not in ok} if ok else {}
         if ok:
             formed[p] = ok
-    if not formed and LOST not in text:
+    swaps = {f"{m}>{r}": _swap(m, r) for m, r in SWAPS} if _SWAPPED.search(text) else {}
+    if not formed and not swaps and LOST not in text:
         return []
-    states = ["", "lost", *formed]
+    states = ["", "lost", *formed, *swaps]
     score = {s: (0.0 if s == "" else ENTER) for s in states}
     back: list[dict[str, str]] = []
     places: list[int] = []
@@ -149,10 +171,15 @@ def label(text: str) -> list[tuple[int, str]]:
                     emit = _clean_cost(prev, c, nxt, text[pos - 2] if pos > 1 else "") if c != LOST else -16.0
                 elif s == "lost":
                     emit = -0.7 if c == LOST else -30.0
+                elif s in swaps:
+                    page = swaps[s]
+                    meant = page.get(ord(c))
+                    near = [page.get(ord(x), x) if x else "" for x in (prev, nxt, text[pos - 2] if pos > 1 else "")]
+                    emit = _clean_cost(near[0], meant, near[1], near[2]) + MEET * sum(bool(_SWAPPED_LETTER.match(x)) for x in (prev, nxt)) if meant else BROKEN * 1.5
                 else:
                     role = formed[s].get(pos)
                     inside = role == "cont"
-                    emit = (LEAD if role == "lead" else CONT) if role else BROKEN * 1.5
+                    emit = {"lead": LEAD, "cont": CONT, "cut": CUT}[role] if role else BROKEN * 1.5
                 stay = score[s] + (STAY if s else -0.02)
                 move = score[best_state] + (LEAVE if s == "" else ENTER + PAIR_PRIOR * (PAIRS.index(s) if s in PAIRS else 0) * 0.1)
                 if s == best_state or stay >= move or inside:
@@ -178,7 +205,10 @@ def _invert(text: str, labels: list[tuple[int, str]]) -> str:
         j = i
         while j + 1 < len(labels) and labels[j + 1] == (labels[j][0] + 1, s):
             j += 1
-        if s and s != "lost":
+        if ">" in s:
+            out += [text[done:pos], text[pos : labels[j][0] + 1].translate(_swap(*s.split(">")))]
+            done = labels[j][0] + 1
+        elif s and s != "lost":
             span = text[pos : labels[j][0] + 1]
             raw = span.translate(_to_bytes(s))
             fixed, at = [], 0
@@ -186,16 +216,13 @@ def _invert(text: str, labels: list[tuple[int, str]]) -> str:
                 fixed.append(span[at : m.start()])
                 fixed.append(m.group().encode("latin_1").decode("utf-8", "replace"))
                 at = m.end()
-            fixed.append(span[at:])
+            fixed.append(span[at:] if span[at:] != "Ã" else "í")  # a lead that lost its soft hyphen
             out.append(text[done:pos])
             out.append("".join(fixed))
             done = labels[j][0] + 1
         i = j + 1
     out.append(text[done:])
-    fixed = "".join(out)
-    if any(s in ("cp1252", "latin_1") for _, s in labels):
-        fixed = _DROPPED.sub("í", fixed)
-    return fixed
+    return "".join(out)
 
 
 def restore(text: str | None) -> tuple[bool, str | None, str | None, bool]:
@@ -203,14 +230,13 @@ def restore(text: str | None) -> tuple[bool, str | None, str | None, bool]:
     if not text or text.isascii():
         return False, text, None, True
     garbled, pages, now = False, set(), text
-    for layer in range(LAYERS):
+    while True:  # an inverse transform shortens the text or turns letters into clean ones
         labels = label(now)
         hit = {s for _, s in labels if s}
         if not hit:
             break
+        pages = pages if garbled else hit
         garbled = True
-        if not layer:
-            pages = hit
         after = _invert(now, labels)
         if after == now:
             break

@@ -40,20 +40,36 @@ def is_empty(text: str | None) -> bool:
     if text is None:
         return True
     core = _MARKS.sub(" ", text).strip().lower()
-    if not core:
-        return True
-    if len(core) > 30:
-        return False
-    return core in PLACEHOLDERS or core.replace(" ", "/") in PLACEHOLDERS
+    return not core or core in PLACEHOLDERS or core.replace(" ", "/") in PLACEHOLDERS
 
 
 # -- quotations ----------------------------------------------------------
 
-_QUOTED = re.compile(r'"[^"\n]{0,400}"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|„[^“”\n]{0,400}[“”]')
+_QUOTE = re.compile(r'["“”«»„]|\n[^\S\n]*\n')
+_QUOTE_ENDS = {'"': '"', "“": "”", "«": "»", "„": "“”"}
 
 
 def unquoted(text: str) -> str:
-    return _QUOTED.sub(" ", text) if any(q in text for q in '"“«„') else text
+    """The text without its quotations, of any length: marks open and close on a
+    stack, and a blank line ends what was never closed."""
+    if not any(q in text for q in _QUOTE_ENDS):
+        return text
+    out, stack, at, begun = [], [], 0, 0
+    for m in _QUOTE.finditer(text):
+        t, i = m.group(), m.start()
+        if len(t) > 1:
+            stack.clear()
+        elif any(t in _QUOTE_ENDS[x] for x in stack):
+            while t not in _QUOTE_ENDS[stack.pop()]:
+                pass
+            if not stack:
+                out += [text[at:begun], " "]
+                at = m.end()
+        elif t in _QUOTE_ENDS and not (t == '"' and text[i - 1 : i].isdigit()):  # inches
+            if not stack:
+                begun = i
+            stack.append(t)
+    return "".join([*out, text[at:]]) if out else text
 
 
 # -- refusal -------------------------------------------------------------
@@ -101,42 +117,46 @@ MIN_TILE = 2
 
 def tiles(question: list[str], answer: list[str], least: int = MIN_TILE) -> list[bool]:
     """Greedy string tiling: which answer words the longest common word runs of
-    the question cover.  A question word may be reused, so that a question
-    repeated twice is covered twice."""
+    the question cover.  Both sides are marked; each word of the question can be used
+    as often as the question fits into the answer, so that one repeated any number of
+    times is covered.  All tiles of one length are laid in one pass."""
     covered = [False] * len(answer)
+    left = [-(-len(answer) // max(1, len(question)))] * len(question)
     at: dict[str, list[int]] = {}
     for i, w in enumerate(question):
         at.setdefault(w, []).append(i)
-    while True:
+
+    def longest(j: int) -> tuple[int, int]:
         best, where = 0, -1
-        j = 0
-        while j < len(answer):
-            if not covered[j]:
-                for i in at.get(answer[j], ()):
-                    k = 0
-                    while i + k < len(question) and j + k < len(answer) and not covered[j + k] and question[i + k] == answer[j + k]:
-                        k += 1
-                    if k > best:
-                        best, where = k, j
-            j += 1
-        if best < least:
+        for i in at.get(answer[j], ()):
+            k = 0
+            while i + k < len(question) and j + k < len(answer) and left[i + k] and not covered[j + k] and question[i + k] == answer[j + k]:
+                k += 1
+            if k > best:
+                best, where = k, i
+        return best, where
+
+    while True:
+        top = max((longest(j)[0] for j in range(len(answer)) if not covered[j]), default=0)
+        if top < least:
             return covered
-        covered[where : where + best] = [True] * best
+        for j in range(len(answer)):
+            k, i = longest(j) if not covered[j] else (0, -1)
+            if k == top:
+                covered[j : j + k] = [True] * k
+                for x in range(i, i + k):
+                    left[x] -= 1
 
 
 def is_copied(question: str | None, answer: str) -> bool:
+    """Nothing is said beyond the question: its words and lead-ins are all there is,
+    and its runs cover most of the question or more."""
     q = [w.lower() for w in _WORD.findall(question or "")]
     a = [w.lower() for w in _WORD.findall(answer)]
-    # an answer far longer than some repeats of the question says more
-    if not q or not a or len(a) > 4 * len(q) + 12:
-        return False
     have = set(q)
-    if sum(w in have for w in a) < 0.7 * len(a) - 3:
+    if not q or not all(w in have or w in LEAD_INS for w in a) or sum(w in have for w in a) < 0.7 * len(a) - 3:
         return False
-    c = tiles(q, a, min(MIN_TILE, len(q)))
-    if sum(c) < max(2, 0.6 * len(q)):
-        return False
-    return all(c[j] or w in LEAD_INS or w in have for j, w in enumerate(a))
+    return sum(tiles(q, a, min(MIN_TILE, len(q)))) >= max(2, 0.6 * len(q))
 
 
 # -- language ------------------------------------------------------------
@@ -234,8 +254,6 @@ def open_structures(text: str) -> list[str]:
         elif t == "`":
             if top == "`":
                 stack.pop()
-            elif "`" in text[at + 1 :]:
-                stack.append(t)
             else:
                 stack.append(t)
         elif top == "`":
@@ -284,7 +302,7 @@ def open_structures(text: str) -> list[str]:
     return stack
 
 
-def is_truncated(text: str, known: frozenset[str] | None = None) -> bool:
+def is_truncated(text: str) -> bool:
     t = text.rstrip(" \t\r\n\xa0​")
     if not t or t.rstrip(".").isalpha() and len(t) <= 12:
         return False  # one word: "No", "None."
@@ -327,11 +345,11 @@ def is_truncated(text: str, known: frozenset[str] | None = None) -> bool:
 # -- the operator --------------------------------------------------------
 
 
-def defect_of(question: str | None, value: str | None, text: str | None, category: str | None = None) -> str | None:
+def defect_of(question: str | None, value: str | None, text: str | None) -> str | None:
     if is_empty(text) or is_empty(value):
         return "empty"
     same = value == text
-    option = not same and len(value) <= 40 and " " not in value.strip()
+    option = not same and " " not in value.strip()
     fields = [text] if same or option else [text, value]
     if any(is_refusal(x) for x in fields):
         return "refusal"

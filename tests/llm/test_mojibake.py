@@ -62,3 +62,19 @@ def test_a_span_takes_its_lead_character_along():
         odd = clean.replace("“", "“".encode().decode(page, "replace")).replace("…", "…".encode().decode(page))
         garbled, text, _, whole = M.restore(odd)
         assert garbled and whole and text == clean
+
+
+def test_swapped_single_byte_pages():
+    assert M.restore("Привет, мир".encode("cp1251").decode("cp1252"))[:2] == (True, "Привет, мир")
+    assert M.restore("Caf\x82 Nuevo")[:2] == (True, "Café Nuevo")
+    assert M.restore("a \x93quoted\x94 word \x96 here")[:2] == (True, "a “quoted” word – here")
+    for clean in ("aperçú", "São Telmário e as ações", "żółć", "Íñigo", "ÄÖÜ", "coöperate naïve"):
+        assert M.restore(clean)[:2] == (False, clean)
+
+
+@pytest.mark.parametrize("times", [5, 7])
+def test_any_number_of_layers(times):
+    text = bad = "café – “ñandú”"
+    for _ in range(times):
+        bad = garble(bad, "cp1252")
+    assert M.restore(bad)[1] == text

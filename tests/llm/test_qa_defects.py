@@ -31,24 +31,35 @@ def test_option_values():
 
 
 def brute_cover(q, a, least):
-    """Maximal common runs, one by one, without indexes."""
-    c = [False] * len(a)
+    """The longest common runs, one by one, without indexes; both sides are marked."""
+    c, left = [False] * len(a), [-(-len(a) // len(q))] * len(q)
     while True:
-        best = max(((k, -j) for j in range(len(a)) for i in range(len(q)) for k in range(1, len(a) - j + 1) if a[j : j + k] == q[i : i + k] and len(q[i : i + k]) == k and not any(c[j : j + k])), default=(0, 0))
-        if best[0] < least:
+        runs = [(k, -j, -i) for j in range(len(a)) for i in range(len(q)) for k in range(1, min(len(a) - j, len(q) - i) + 1) if a[j : j + k] == q[i : i + k] and not any(c[j : j + k]) and all(left[i : i + k])]
+        k, j, i = max(runs, default=(0, 0, 0))
+        if k < least:
             return c
-        c[-best[1] : -best[1] + best[0]] = [True] * best[0]
+        c[-j : -j + k] = [True] * k
+        left[-i : -i + k] = [x - 1 for x in left[-i : -i + k]]
 
 
 def test_tiling_against_brute_force():
     import random
 
     r = random.Random(1)
-    for _ in range(60):
-        q, a = ([r.choice("abc") for _ in range(r.randint(1, 7))] for _ in range(2))
+    for _ in range(120):
+        q, a = ([r.choice("abc") for _ in range(r.randint(1, n))] for n in (7, 12))
         assert Q.tiles(q, a) == brute_cover(q, a, 2)
 
 
+def test_nothing_depends_on_length():
+    for n in (1, 2, 6, 10, 300):
+        assert Q.defect_of(ASK, " ".join([ASK] * n), " ".join([ASK] * n)) == "copied_question"
+    for n in (1, 10, 200):
+        said = "The witness stated: \"" + "the crate fell, and " * n + "I can't help you with that answer\", and then left."
+        assert Q.defect_of(ASK, said, said) is None
+    assert Q.unquoted('a "b\nc" d 5" e “h „j“ k” l "m\n\nn') == 'a   d 5" e   l "m\n\nn'
+
+
 def test_edges(spark):
     schema = "qa_id bigint, question_text string, answer_value string, answer_text string, defect string"
     long_ = "The court denied the motion. " * 4000
