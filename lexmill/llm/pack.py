@@ -1,17 +1,20 @@
 """Problem 7: filling containers of fixed capacity with items of varying length.
 
 Planning works on the length histogram, not on documents: best-fit decreasing
-over counts.  The histogram has at most ``capacity`` lengths, so it and the plan
-are bounded by the container sizes, whatever the number of documents.  A plan
-is a list of segments: the items of one length with ranks ``from`` ..
-``from + n - 1`` go to containers ``base``, ``base + 1``, ..., ``per`` items
-each.  The documents then take their slots by their rank within their length.
+over counts.  The histogram has less than ``capacity`` lengths, so it is bounded by
+the container sizes, whatever the number of documents.  A plan is a list of segments:
+the items of one length with ranks ``from`` .. ``from + n - 1`` go to containers
+``base``, ``base + 1``, ..., ``per`` items each.  The segments are spread out into
+slots, and the documents take them by a join on capacity, length and rank.
 
 An item larger than the capacity is cut into full pieces, each filling one
-container, and a rest that is packed like any other item.
+container, and a rest that is packed like any other item.  Full pieces are planned by
+nobody: a document's first container is the number of full pieces before it, a running
+sum over documents.
 
-Ranks are counted within (length, salt) and shifted by the counts of the salts
-before, so that a length that holds a third of all documents is no hot group.
+Ranks and running sums are counted within salts and shifted by the totals of the salts
+before.  The number of salts comes from the counts (``SALT`` rows in each), so that
+no length, however frequent, is sorted in one task.
 
 Defined results: null and empty texts have no tokens and take no slot; a text
 of blanks does.  Repeated ids are separate items only if the rows differ in
@@ -22,8 +25,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import tokenize
 
-#: Parts into which the rank within a length is split.
-SALTS = 64
+#: Rows that are ranked in one task, and slots that one row is spread into.
+SALT = 100_000
 
 
 def plan(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -83,57 +84,49 @@ def plan(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[in
     return segments, used
 
 
-def _pieces(sized: DataFrame, capacities: DataFrame, key: str) -> DataFrame:
-    """One row for each piece to place: capacity, key, piece, length."""
-    pairs = sized.where("n_tokens > 0").crossJoin(F.broadcast(capacities))  # a handful of capacities
-    whole = F.expr("CAST(n_tokens DIV capacity AS INT)")
-    rest = F.expr("n_tokens % capacity")
-    return pairs.select(
-        "capacity", key, F.explode(F.sequence(F.lit(0), F.when(rest > 0, whole).otherwise(whole - 1))).alias("piece"), whole.alias("whole"), rest.alias("rest")
-    ).select("capacity", key, "piece", F.when(F.col("piece") < F.col("whole"), F.col("capacity").cast("bigint")).otherwise(F.col("rest")).alias("length"))
+def _before(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` (with a salt) and the sum of ``value`` over the rows before, counted
+    within salts; ``_order`` breaks no tie twice."""
+    totals = rows.groupBy(*group, "salt").agg(F.sum(value).alias("_n"))
+    start = totals.withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(*group, "salt").orderBy("_order").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_inside", inside).join(start, [*group, "salt"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside", "salt", "_order")
+
+
+def _salted(rows: DataFrame, group: list[str], counts: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the salt of each, as many in a group as ``counts`` (group, n) call for."""
+    salts = counts.select(*group, F.ceil(F.col("n") / SALT).cast("int").alias("_salts"))
+    return rows.join(salts, group).withColumn("_order", F.struct(key, F.xxhash64(key))).withColumn("salt", F.pmod(F.xxhash64(key, *group), "_salts").cast("int")).drop("_salts")
 
 
 def fill(spark: SparkSession, docs: DataFrame, capacities: list[int], key: str = "doc_id", text: str = "text", path: str = tokenize.TOKENIZER) -> DataFrame:
     """capacity, key, piece (from 0), length and container (from 0 for each
     capacity) of every piece of a document."""
-    sized = materialize(tokenize.sizes(docs.where(F.length(text) > 0), key, text, path), "sizes")
+    sized = materialize(tokenize.sizes(docs.where(F.length(text) > 0), key, text, path).where("n_tokens > 0"), "sizes")
     caps = spark.createDataFrame([(int(c),) for c in sorted(set(capacities)) if c and c > 0], "capacity int")
-    salted = _pieces(sized, caps, key).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("capacity", "length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    # bounded: at most (sum of capacities) x SALTS rows
-    by_salt = counts.toPandas().sort_values(["capacity", "length", "salt"]).reset_index(drop=True)
-    segments: list[tuple[int, ...]] = []
-    for c, part in by_salt.groupby("capacity"):
-        h = part.groupby("length")["n"].sum()
-        segments += [(int(c), *s) for s in plan([(int(a), int(b)) for a, b in h.items()], int(c))[0]]
-    by_salt["before"] = by_salt.groupby(["capacity", "length"])["n"].cumsum() - by_salt["n"]
-    place = _placer(by_salt, segments)
-    order = W.partitionBy("capacity", "length", "salt").orderBy(key, "piece")
-    ranked = salted.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.select("capacity", F.col(key).cast("bigint").alias(key), "piece", F.col("length").cast("bigint"), "salt", F.col("rank").cast("bigint")).mapInArrow(
-        place, f"capacity int, {key} bigint, piece int, length bigint, container bigint"
-    )
-
-
-def _placer(by_salt, segments: list[tuple[int, ...]]):
-    """Arrow function: rank within (length, salt) -> container.  What it carries
-    is bounded by the capacities."""
-    seg = np.array(sorted(segments), np.int64).reshape(-1, 6)
-    pair = (seg[:, 0] << 24) | seg[:, 1]
-    codes = np.unique(pair)
-    seg_key = (np.searchsorted(codes, pair) << 40) | seg[:, 2]
-    b = by_salt[["capacity", "length", "salt", "before"]].to_numpy(np.int64).reshape(-1, 4)
-    salt_key = (((b[:, 0] << 24) | b[:, 1]) << 8) | b[:, 2]
-    order = np.argsort(salt_key)
-    salt_key, before = salt_key[order], b[order, 3]
-
-    def run(batches):
-        for x in batches:
-            cap, length, salt, rank = (x.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 3, 4, 5))
-            p = (cap << 24) | length
-            rank = rank + before[np.searchsorted(salt_key, (p << 8) | salt)]
-            s = np.searchsorted(seg_key, (np.searchsorted(codes, p) << 40) | rank, side="right") - 1
-            box = seg[s, 4] + (rank - seg[s, 2]) // seg[s, 5]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), x.column(3), pa.array(box, pa.int64())], names=[x.schema.names[i] for i in range(4)] + ["container"])
-
-    return run
+    items = sized.crossJoin(F.broadcast(caps)).select("capacity", key, F.expr("n_tokens DIV capacity").alias("whole"), F.expr("n_tokens % capacity").alias("length"))  # a handful of capacities
+
+    # bounded: less than the sum of the capacities
+    counts = materialize(items.where("length > 0").groupBy("capacity", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    full = items.where("whole > 0")
+    n_full = materialize(full.groupBy("capacity").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("pieces")), "full")
+    taken = {r.capacity: r.pieces for r in n_full.collect()}
+    histogram: dict[int, list[tuple[int, int]]] = {}
+    for r in counts.collect():
+        histogram.setdefault(r.capacity, []).append((r.length, r.n))
+    rows = []
+    for c, h in histogram.items():
+        for length, first, n, base, per in plan(h, c)[0]:
+            step = max(per, SALT - SALT % per)  # whole containers
+            rows += [(c, length, first + at, min(step, n - at), base + taken.get(c, 0) + at // per, per) for at in range(0, n, step)]
+    segments = spark.createDataFrame(rows, "capacity int, length bigint, first bigint, n bigint, base bigint, per bigint")
+    slot = segments.select("capacity", "length", "first", "base", "per", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    slots = slot.select("capacity", "length", (F.col("first") + F.col("i")).alias("rank"), (F.col("base") + F.floor(F.col("i") / F.col("per"))).alias("container"))
+
+    group = ["capacity", "length"]
+    ranked = _before(_salted(items.where("length > 0").withColumn("one", F.lit(1)), group, counts, key), group, "one", "rank")
+    rest = ranked.join(slots, [*group, "rank"]).select("capacity", key, F.col("whole").cast("int").alias("piece"), "length", F.col("container").cast("bigint"))
+    placed = _before(_salted(full, ["capacity"], n_full.select("capacity", "n"), key), ["capacity"], "whole", "before")
+    pieces = placed.select("capacity", key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece"), "before")
+    whole = pieces.select("capacity", key, F.col("piece").cast("int").alias("piece"), F.col("capacity").cast("bigint").alias("length"), (F.col("before") + F.col("piece")).cast("bigint").alias("container"))
+    return rest.unionByName(whole).select("capacity", F.col(key).cast("bigint").alias(key), "piece", F.col("length").cast("bigint"), "container")

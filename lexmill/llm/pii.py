@@ -122,7 +122,7 @@ _GIVEN = frozenset(GIVEN_NAMES)
 _GIVEN_UPPER = frozenset(x.upper() for x in GIVEN_NAMES)
 #: Words of organisations and places that end a run of capitals.
 _NOT_SURNAME = frozenset(
-    "LLC LLP Inc Corp Ltd Company Co Group Hospital Associates Partners Services Stores Center Centre Clinic Bank Insurance Assurance Manufacturing Pharmaceuticals International Logistics Consultants Management Construction Department Home Nursing Medical Regional Surgical Imaging Freight Property Engineering Orthopedic Mutual Harbor Point Springs Falls Street Avenue Road Lane Drive Court Place Boulevard Way Terrace County Township University College School Church Park Lake River Island Airport Index Exhibit Paragraph Claim Docket Rule Section Article Bates Reporting Service Act Code Law Hall House Hotel".split()
+    "LLC LLP Inc Corp Ltd Company Co Group Hospital Associates Partners Services Stores Center Centre Clinic Bank Insurance Assurance Manufacturing Pharmaceuticals International Logistics Consultants Management Construction Department Home Nursing Medical Regional Surgical Imaging Freight Property Engineering Orthopedic Mutual Harbor Point Springs Falls Street Avenue Road Lane Drive Court Place Boulevard Way Terrace County Township University College School Church Park Lake River Island Airport Index Exhibit Paragraph Claim Docket Rule Section Article Bates Reporting Service Act Code Law Hall House Hotel Société Compañía Clínica GmbH Ltda".split()
 )
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Hon|Rev|Sr|Sra|Srta|Herr|Frau|Mme|M|Nurse|Justice|Judge|Attorney|Officer|Detective|Sergeant|Captain|Magistrate|Professor|Doctor|Counselor|Don|Doña|Señor|Señora)"
 _SUR = r"(?:(?:[Dd]e\s+la|[Dd]e\s+las|[Dd]e\s+los|[Dd]el|[Dd]e|[Dd]i|[Dd]a|[Vv]an\s+der|[Vv]an|[Vv]on|[Ll]a|[Ll]e)\s+)?(?:(?:Mc|Mac|O['’]|D['’]|St\.\s)?[A-ZÀ-ÞŁŻ][a-zà-þłżA-Z]*[a-zà-þłż](?:['’][a-zà-þ]{3,})?)(?:-(?:\n)?(?:Mc|O['’]|D['’])?[A-ZÀ-ÞŁŻ][a-zà-þłż]+)*"
@@ -142,6 +142,21 @@ _SAID = re.compile(r"\s+(?:testified|stated|told|objected|inspected|charted|wrot
 _BY = re.compile(r"(?:\b(?:by|of|told|from|and|to|Attn|To|Dr|Mr|Mrs|Ms)[.:]?\s+)$")
 _MORE_NAME = re.compile(r"\s+[A-ZÀ-Þ][a-zà-þ]+\b(?!\s*[;:|])")
 _LAST_WORD = re.compile(r"([^\s,;:|]+)\s+$")
+#: What people do and are, behind a name; it tells a run of capitals for a person.
+_DOES = re.compile(
+    r"(?<=[\wà-þ.])(?:\s+(?:testified|stated|told|objected|inspected|charted|wrote|signed|said|declared|recalled|replied|explained|lives|lived|resides|resided|swore|denies|denied|admits|admitted|phoned|emailed|was\s+(?:born|deposed|sworn|hired|admitted))\b"
+    r"|,\s+(?:M\.D\.|MD\b|R\.N\.|RN\b|D\.O\.|L\.P\.N\.|Ph\.D\.|Esq\b|D\.D\.S\.|P\.E\.|C\.P\.A\.))"
+)
+_RUN_END = re.compile(rf"(?<![\w@.’'-])(?:[A-ZÀ-ÞŁ][a-zà-þøłżŁ]+(?:-[A-Z][a-zà-þ]+)?)(?:\s+[A-ZÀ-Þ]\.)*(?:\s+{_SUR})+$")
+_ENTRY = re.compile(rf"(?<=[:;] )(?P<name>(?P<sur>{_SUR}),\s+[A-ZÀ-ÞŁ][a-zà-þøłż]+(?:\s+[A-ZÀ-Þ]\.)+)(?=;|\s*$)")
+#: A run behind one of these isn't the one who acts ("the manager of ... wrote").
+_NO_SUBJECT = frozenset("the a an of for at in from with by to on de del".split())
+#: Capitalised words that are no part of a name.
+_NO_NAME = _NOT_SURNAME | frozenset(
+    "The A An This That These Those In On At By For From With When While After Before Once If As But And Or Nor Neither Either Both No Not Counsel Plaintiff Plaintiffs Defendant Defendants Petitioner Respondent Claimant Witness Court Tenant Landlord Insurer Insured Guarantor Intervenor Receiver "
+    "Employer Employee Appellant Appellee Patient Expert Carrier Board Council Commission Agency Bureau Office Committee Union Trust Estate Team Staff Management Unit Division Branch State City Town Village District Department January February March April May June July August September October November December "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday North South East West Northern Southern Eastern Western New Old Upper Lower First Second Third Fourth Fifth Page Volume Appendix Schedule Motion Order Complaint Answer Affidavit Deposition Transcript Report Letter Notice Contract He She They We It His Her Their Our My".split()
+)
 
 
 def _name_before(text: str, at: int) -> bool:
@@ -150,6 +165,7 @@ def _name_before(text: str, at: int) -> bool:
 
 _CONTEXT = {
     "phone": (re.compile(r"(?:tel|phone|call(?:s|ed|er)?|fax|mobile|cell|reached|contact|number of|callback|intake form|left|llam|teléfono|móvil)\w*\b", re.I), re.compile(r"(?:tracking|part|claim|policy|invoice|docket|index|bates|serial|account|order|case|model|batch|lot|MRN|SSN|licen[sc]e|passport)\b(?:[^.\n]|\n(?!\n)){0,24}$", re.I)),
+    "address": (re.compile(r"\b(?:at|of|to|lives?|resid\w+|mail\w*|address\w*|located|premises|home|domicil\w+)\b", re.I), re.compile(r"\b(?:exhibits?|pages?|sections?|rules?|docket|index|paragraphs?|chapter|bates)\s*(?:nos?\.?|numbers?)?\s*$", re.I)),
     "id": (re.compile(r"\b(?:SSN|social\s+security|W-2)\b", re.I), re.compile(r"\b(?:tracking|part|claim|policy|invoice|docket|index|bates|serial|order|case|model|batch|lot)\b(?:[^.\n]|\n(?!\n)){0,24}$", re.I)),
 }
 
@@ -188,13 +204,13 @@ def spans(text: str) -> list[Span]:
     if _DIGITS_HINT.search(text):
         _numbers(text, add)
     for m in _ADDRESS.finditer(text):
-        add(Span(m.start(), m.end(), "address", 0.85))
+        add(Span(m.start(), m.end(), "address", min(0.95, 0.75 + _context("address", text, m.start(), m.end()))))
     if any(x in text for x in _ABROAD_SIGNS):
         for m in _ADDRESS_ABROAD.finditer(text):
             add(Span(m.start(), m.end(), "address", 0.85))
     if any(x in text for x in _UPPER_ADDRESS_SIGNS):
         for m in _ADDRESS_UPPER.finditer(text):
-            add(Span(m.start(), m.end(), "address", 0.8))
+            add(Span(m.start(), m.end(), "address", min(0.9, 0.7 + _context("address", text, m.start(), m.end()))))
     _names(text, add)
     if not got:
         return got
@@ -264,6 +280,28 @@ def _names(text: str, add) -> None:
             m = _INVERTED.match(text, back.start())
             if m and m.start("given") == c.start(1) and m.group("sur") not in _GIVEN and not _name_before(text, m.start()) and not _MORE_NAME.match(text, m.end()):
                 person(m.start("name"), m.end("name"), m.group("sur"), 0.82)
+    # names without a known given name: a run of capitals is a person by what stands around it
+    for c in _DOES.finditer(text):
+        if run := _RUN_END.search(text, max(0, c.start() - 90), c.start()):
+            start, words = _trimmed(text, run.start(), c.start())
+            if len(words) > 1 and not any(w in _NO_NAME or w in _TITLES for w in words) and not any(w in _NOT_SURNAME for w in run.group().split()):
+                article = _LAST_WORD.search(text[max(0, start - 8) : start])
+                behind = article and article.group(1).lower() in _NO_SUBJECT and not c.group().startswith(",")
+                person(start, c.start(), words[-1], 0.26 if behind else 0.66)
+    for c in _ENTRY.finditer(text):
+        if not any(w in _NO_NAME for w in c.group("name").replace(",", "").split()):
+            person(c.start(), c.end(), c.group("sur"), 0.6)
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, list[str]]:
+    """A run of capitals without the words at its beginning that are no part of a
+    name: where it begins, and its words."""
+    while (m := _FIRST_WORD.match(text, start, end)) and (m.group(1) in _NO_NAME or m.group(1) in _TITLES):
+        start = m.end()
+    return start, text[start:end].split()
+
+
+_FIRST_WORD = re.compile(r"([^\s.]+)\.?\s+")
 
 
 # -- operators -----------------------------------------------------------

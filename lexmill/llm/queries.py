@@ -12,12 +12,17 @@ from . import lookalike, mojibake, names, pack, pii, qa_defects, scans, tokenize
 WORK = "summarization_20251116_215704"
 
 
+def _once(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Redelivered rows once, before anything costly is done with their texts."""
+    return df.select(key, text, F.xxhash64(text).alias("_h")).dropDuplicates([key, "_h"]).drop("_h")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.found(table(spark, sf_dir, WORK))
 
 
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.repair(table(spark, sf_dir, WORK)).distinct()
+    return mojibake.repair(table(spark, sf_dir, WORK)).dropDuplicates(["chunk_row_id", "restored_text"])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +34,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = pii.mask(table(spark, sf_dir, WORK), "chunk_row_id", "chunk_text")
-    results = pii.mask(table(spark, sf_dir, "summarization_result"), "result_id", "chunk_summary")
+    work = pii.mask(_once(table(spark, sf_dir, WORK), "chunk_row_id", "chunk_text"), "chunk_row_id", "chunk_text")
+    results = pii.mask(_once(table(spark, sf_dir, "summarization_result"), "result_id", "chunk_summary"), "result_id", "chunk_summary")
     one = lambda df, key, field: df.select(F.lit(field).alias("field_name"), F.col(key).alias("record_id"), F.col(field).alias("masked"), "n_items")
-    return one(work, "chunk_row_id", "chunk_text").unionByName(one(results, "result_id", "chunk_summary")).distinct()
+    return one(work, "chunk_row_id", "chunk_text").unionByName(one(results, "result_id", "chunk_summary"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.repair(table(spark, sf_dir, WORK)).distinct()
+    return scans.repair(table(spark, sf_dir, WORK))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

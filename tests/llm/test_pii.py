@@ -34,6 +34,12 @@ CASES = [
     ("In Allen v. Gordow and Victoria Medical Group the court held.", []),
     ("see page\n29\n\nQuarry Avenue, near it. Victoria\n\nThere was none.", []),
     ("Q. Who prepared it?\nA. Yes.", []),
+    ("Ashley Turner testified; Mohammed Ali signed it.", [("name", "Ashley Turner"), ("name", "Mohammed Ali")]),
+    ("The chart was kept by Brandon Lee Novak, R.N., that day.", [("name", "Brandon Lee Novak")]),
+    ("Wei Zhang stated it, and Brittany Kowalski lives at 12 Quarry Road.", [("name", "Wei Zhang"), ("name", "Brittany Kowalski"), ("address", "12 Quarry Road")]),
+    ("Present: Kowalski, Brittany A.; Zhang, Wei B.", [("name", "Kowalski, Brittany A."), ("name", "Zhang, Wei B.")]),
+    ("The Harbor Board stated it. Defendant Ridgeback Logistics wrote back. The Marrow Trust said so. On Tuesday Counsel said it.", []),
+    ("See Exhibit 12 Quarry Road for the survey.", []),
 ]
 
 

@@ -85,3 +85,21 @@ def test_fill(spark):
             load[r.container] += r.length
         assert max(load.values()) <= c
     assert pack.fill(spark, df.limit(0), [16]).collect() == []
+
+
+@pytest.mark.parametrize("salt", [1, 3, 100_000])
+def test_frequent_lengths_and_long_texts_are_spread(spark, monkeypatch, salt):
+    monkeypatch.setattr(pack, "SALT", salt)
+    df = spark.createDataFrame([(i, "word " * (3 if i % 3 else 40), 1) for i in range(60)], "doc_id bigint, text string, capacity int")
+    rows = pack.fill(spark, df, [16, 9]).collect()
+    sizes = {r.doc_id: r.n_tokens for r in tokenize.sizes(df).collect()}
+    for c in (16, 9):
+        mine = [r for r in rows if r.capacity == c]
+        assert Counter(r.doc_id for r in mine) == Counter({i: -(-n // c) for i, n in sizes.items()})
+        assert len({(r.doc_id, r.piece) for r in mine}) == len(mine)
+        load = Counter()
+        for r in mine:
+            load[r.container] += r.length
+        assert max(load.values()) <= c and set(load) == set(range(max(load) + 1))
+        rest = Counter(n % c for n in sizes.values() if n % c)
+        assert len(load) == sum(n // c for n in sizes.values()) + pack.plan(list(rest.items()), c)[1]
