@@ -117,6 +117,13 @@ def sanitize(text: ColumnOrName) -> Column:
     return collapse_whitespace(strip_controls(redact(text)))
 
 
+def sanitize_counts(text: ColumnOrName) -> Column:
+    """What the stages of ``sanitize`` take out: signs of redaction, control and
+    private or format characters."""
+    n = lambda p: F.regexp_count(_c(text), F.lit(p))
+    return F.struct(n(REDACTION).alias("redacted"), n(r"[\x00-\x08\x0B-\x1F\x7F-\x9F]").alias("control"), n(r"[\p{Cf}\p{Co}\p{Cs}]").alias("private"))
+
+
 _N = r"([1-9]|1\d|2[0-5])"
 
 
@@ -144,6 +151,13 @@ def section_label(text: ColumnOrName) -> Column:
     return first_label(F.substring(_c(text), 1, 200), C.SECTION_PATTERNS, r"(?imd)^\s*(?:{})")
 
 
+def section_name(text: ColumnOrName) -> Column:
+    """The first fifty characters of what the first pattern in the list matches; null
+    if none does.  ``[`` inside a class is escaped for Java."""
+    found = [F.nullif(F.regexp_extract(_c(text), "(?imd)" + p.replace("[\\[{", "[\\[\\{"), 0), F.lit("")) for p in C.CHUNK_SECTION_PATTERNS]
+    return F.substring(F.coalesce(*found), 1, 50)
+
+
 def document_type(text: ColumnOrName, filename: ColumnOrName) -> Column:
     name = F.lower(_c(filename))
     by_text = first_label(F.substring(_c(text), 1, 5000), C.DOC_TYPE_PATTERNS, "(?i)(?:{})")

@@ -10,6 +10,7 @@ from ..functions import constants as C
 from ..functions import text as T
 from ..session import materialize
 from .alike import last_alike
+from .ranks import ordinal
 
 
 def once(df: DataFrame) -> DataFrame:
@@ -109,28 +110,59 @@ def narratives(df: DataFrame) -> DataFrame:
     return rows.select("case_id", F.concat_ws("\n\n", *parts).alias("narrative"))
 
 
-def names_section(df: DataFrame, cap: int = 10) -> DataFrame:
-    """case_id, section, position, line: the people of a case by category in a
-    fixed order, ten of each."""
+def names_section(df: DataFrame) -> DataFrame:
+    """case_id, section, position, line: all people of a case by category, as rows.
+    People are ranked in blocks of the first letters of their names, so that no case
+    is one task."""
     rows = df.select("case_id", F.explode("names_mentioned").alias("x")).select("case_id", F.coalesce(F.upper("x.category"), F.lit("OTHER")).alias("category"), F.trim("x.name").alias("name"), F.trim("x.role").alias("role"), T.normalize_name("x.name").alias("norm")).where("norm <> ''")
     one = rows.groupBy("case_id", "category", "norm").agg(F.max(F.struct(F.length("name").alias("n"), F.col("name"))).alias("b"), F.max(F.struct(F.length("role").alias("n"), F.col("role"))).alias("r"))
-    w = W.partitionBy("case_id", "category").orderBy("b.name", "norm")
     line = F.when(F.length("r.role") > 0, F.concat("b.name", F.lit(" ("), "r.role", F.lit(")"))).otherwise(F.col("b.name"))
     section = F.create_map(*[F.lit(x) for kv in C.CATEGORY_NAMES.items() for x in kv])
-    return one.withColumn("position", F.row_number().over(w)).where(F.col("position") <= cap).select("case_id", F.coalesce(section[F.col("category")], F.lit("Other Individuals")).alias("section"), "category", "position", line.alias("line"))
+    named = one.select("*", F.col("b.name").alias("_name"))
+    placed = ordinal(named, ["case_id", "category"], ["_name", "norm"], F.substring("_name", 1, 2), "_at").withColumn("position", F.col("_at") + 1)
+    return placed.select("case_id", F.coalesce(section[F.col("category")], F.lit("Other Individuals")).alias("section"), "category", "position", line.alias("line"))
+
+
+def json_in(raw: Column) -> Column:
+    """The JSON in a response: the whole of it, else the first balanced object, else
+    what stands between the outermost braces, else the first array; null if none
+    parses."""
+    t = F.trim(raw)
+    valid = lambda c: F.when(F.get_json_object(c, "$").isNotNull(), c)
+    part = lambda p: F.nullif(F.regexp_extract(t, p, 0), F.lit(""))
+    return F.coalesce(valid(t), valid(part(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}")), valid(part(r"(?s)\{.*\}")), valid(part(r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]")))
+
+
+def listed(json: Column, path: str) -> Column:
+    """The strings at a path: a value that is no list becomes one, null and empty items
+    fall away."""
+    v = F.get_json_object(json, path)
+    items = F.when(v.isNull(), F.array().cast("array<string>")).when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
+    return F.filter(items, lambda x: x.isNotNull() & (x != ""))
+
+
+def record_of(json: Column) -> Column:
+    """A response as a record of the columns of an extraction, coerced."""
+    names = F.transform(
+        listed(json, "$.names_mentioned"),
+        lambda x: F.when(
+            x.startswith("{"),
+            F.struct(F.coalesce(F.get_json_object(x, "$.name"), F.lit("")).alias("name"), F.coalesce(F.get_json_object(x, "$.role"), F.lit("")).alias("role"), F.upper(F.coalesce(F.get_json_object(x, "$.category"), F.lit("OTHER"))).alias("category")),
+        ).otherwise(F.struct(x.alias("name"), F.lit("").alias("role"), F.lit("OTHER").alias("category"))),
+    )
+    parties = F.struct(listed(json, "$.parties.plaintiffs").alias("plaintiffs"), listed(json, "$.parties.defendants").alias("defendants"))
+    lists = [listed(json, f"$.{f}").alias(f) for f in ("allegations", "defenses", "key_facts", "dates_mentioned", "case_type_hints", "vocabulary")]
+    return F.when(json.startswith("{"), F.struct(parties.alias("parties"), names.alias("names_mentioned"), *lists))
 
 
 def parsed_responses(df: DataFrame) -> DataFrame:
-    """chunk_id, state of each failed extraction's raw response: ``object`` if it
-    parses, ``array``, ``cut`` if it begins as JSON only, ``prose`` else."""
-    raw = F.trim("raw_response")
-    state = (
-        F.when(F.get_json_object(raw, "$").isNotNull() & raw.startswith("{"), "object")
-        .when(F.get_json_object(raw, "$").isNotNull() & raw.startswith("["), "array")
-        .when(raw.rlike(r"^[\[{]"), "cut")
-        .otherwise("prose")
-    )
-    return df.where("raw_response IS NOT NULL").select("chunk_id", state.alias("state"), F.length("raw_response").alias("n_chars")).distinct()
+    """chunk_id, state, n_chars and record of each failed extraction's raw response:
+    ``object`` or ``array`` if JSON can be found in it, ``cut`` if it only begins as
+    JSON, ``prose`` else.  The record is null unless an object was found."""
+    json = json_in(F.col("raw_response"))
+    rows = df.where("raw_response IS NOT NULL").select("chunk_id", "raw_response", json.alias("_json"))
+    state = F.when(F.col("_json").startswith("{"), "object").when(F.col("_json").startswith("["), "array").when(F.trim("raw_response").rlike(r"^[\[{]"), "cut").otherwise("prose")
+    return rows.select("chunk_id", state.alias("state"), F.length("raw_response").alias("n_chars"), record_of(F.col("_json")).alias("record")).distinct()
 
 
 def merged_people(df: DataFrame) -> DataFrame:
@@ -201,7 +233,7 @@ def sheets(df: DataFrame) -> DataFrame:
     w = W.partitionBy("case_id", "section").orderBy("position")
     place = {v: i for i, v in enumerate(C.CATEGORY_NAMES.values())}
     order = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
-    people = names_section(df).withColumn("p", F.row_number().over(w)).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(order[F.col("section")], F.lit(99)).alias("o"), "section", "p", "line"))).alias("people"))
+    people = names_section(df).where("position <= 10").withColumn("p", F.row_number().over(w)).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(order[F.col("section")], F.lit(99)).alias("o"), "section", "p", "line"))).alias("people"))
     rows = rows.join(people, "case_id", "left")
     head = lambda t: F.lit(f"{t}\n{'-' * len(t)}")
     party = lambda c, label: F.concat(F.lit(f"{label}: "), F.when(F.size(c) > 0, F.concat(F.array_join(c, ", "), more(f"n_{c}", 10))).otherwise("Not identified"))

@@ -21,27 +21,29 @@ def section_chunks(df: DataFrame, key: str, text: str, limit: int = C.SECTION_MA
     """key, chunk_num (from 1), text, word_count, section_name.
 
     A chunk closes before a paragraph that begins a section, or that would carry
-    it over ``limit`` words; one long paragraph stays whole.  The fold is a
+    it over ``limit`` words; one long paragraph stays whole.  A chunk that closes for
+    its length alone leaves its section behind.  The fold is a
     higher-order aggregate inside each row.  Null and blank texts have no chunks.
     """
-    pattern = "(?imd)" + C.CHUNK_SECTION_PATTERN
     words = lambda p: F.size(F.split(F.trim(p), r"\s+"))
     part = "struct<text:string,words:int,section:string>"
     start = F.struct(F.array().cast(f"array<{part}>").alias("done"), F.lit("").alias("buf"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("sec"))
 
-    def step(a, p):
-        found = F.nullif(F.substring(F.regexp_extract(p, pattern, 0), 1, 50), F.lit(""))
+    def step(a, x):
+        found = x["section"]
+        p = x["text"]
         closes = (a["n"] > 0) & (found.isNotNull() | (a["n"] + words(p) > limit))
         closed = F.array_append(a["done"], F.struct(a["buf"].alias("text"), a["n"].alias("words"), a["sec"].alias("section")))
         return F.struct(
             F.when(closes, closed).otherwise(a["done"]).alias("done"),
             F.when(closes | (a["n"] == 0), p).otherwise(F.concat(a["buf"], F.lit("\n\n"), p)).alias("buf"),
             F.when(closes, words(p)).otherwise(a["n"] + words(p)).alias("n"),
-            F.coalesce(found, a["sec"]).alias("sec"),
+            F.when(closes, found).otherwise(F.coalesce(found, a["sec"])).alias("sec"),
         )
 
     end = lambda a: F.when(a["n"] > 0, F.array_append(a["done"], F.struct(a["buf"].alias("text"), a["n"].alias("words"), a["sec"].alias("section")))).otherwise(a["done"])
-    folded = F.aggregate(paragraphs(text), start, step, end)
+    named = F.transform(paragraphs(text), lambda p: F.struct(p.alias("text"), T.section_name(p).alias("section")))
+    folded = F.aggregate(named, start, step, end)
     return df.select(key, F.posexplode(folded).alias("i", "c")).select(key, (F.col("i") + 1).alias("chunk_num"), F.col("c.text").alias("text"), F.col("c.words").alias("word_count"), F.col("c.section").alias("section_name"))
 
 
@@ -137,13 +139,18 @@ def brief_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
     at a section once it has the minimum.  The hint is that of the newest
     section seen, also for the chunk that it closes.
     """
-    parts = split_texts(df, key, text, "brief").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_num", "text"))).alias("ps"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [brief_paragraphs(t) if t else [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.string()))], names=[key, "ps"])
+
+    # the paragraphs of a text stay in its row: nothing is shuffled
+    parts = df.select(key, text).mapInArrow(cut, f"{key} {dict(df.dtypes)[key]}, ps array<string>")
     label = lambda p: T.section_label(p)
     part = "struct<text:string,hint:string>"
     start = F.struct(F.array().cast(f"array<{part}>").alias("done"), F.lit("").alias("buf"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("hint"))
 
-    def step(a, x):
-        p = x["text"]
+    def step(a, p):
         sec = label(p)
         hint = F.coalesce(sec, a["hint"])
         closes = (a["n"] > 0) & ((a["n"] + F.length(p) > C.BRIEF_MAX) | ((a["n"] >= C.BRIEF_TARGET) & (F.length(p) > 200)) | (sec.isNotNull() & (a["n"] >= C.BRIEF_MIN)))

@@ -30,16 +30,13 @@ def latest(df: DataFrame) -> DataFrame:
     return df.where(F.col("term").isNotNull()).groupBy(term_key().alias("term_key")).agg(F.max(row).alias("r")).select("term_key", "r.*")
 
 
-def ratings(df: DataFrame) -> DataFrame:
-    """term_key, feedback of terms that have a rating."""
-    return latest(df).where("feedback <> 0").select("term_key", "feedback")
-
-
 def counts(df: DataFrame) -> DataFrame:
-    """One row: rated terms by sign, cleared ones, and whether to retrain."""
+    """One row: rated terms by sign, cleared ones, rows since the last training (all
+    of them, as no model is kept), and whether to retrain: thirty rated terms and ten
+    new rows at least."""
     last = latest(df)
     n = lambda v: F.count(F.when(F.col("feedback") == v, 1))
-    return last.agg(n(1).alias("liked"), n(-1).alias("disliked"), n(0).alias("cleared")).withColumn("retrain", F.col("liked") + F.col("disliked") >= C.ML_MIN_SAMPLES)
+    return last.agg(n(1).alias("liked"), n(-1).alias("disliked"), n(0).alias("cleared")).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("pending")))).withColumn("retrain", (F.col("liked") + F.col("disliked") >= C.ML_MIN_SAMPLES) & (F.col("pending") >= C.ML_RETRAIN_AFTER))
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -93,8 +90,3 @@ def boost(score: Column, preference: Column) -> Column:
 def redelivered_once(df: DataFrame) -> DataFrame:
     """Rows that were delivered again count once."""
     return df.drop("loaded_at").distinct()
-
-
-def running_counts(df: DataFrame) -> DataFrame:
-    w = W.partitionBy(term_key()).orderBy("feedback_ts").rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("given", F.count("feedback").over(w))

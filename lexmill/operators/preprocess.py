@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -62,13 +61,3 @@ def default_pipeline(key: str, text: str) -> Callable[[DataFrame], DataFrame]:
         lambda df: df.withColumn(text, T.remove_line_numbers(text)),
         lambda df: df.withColumn(text, T.convert_qa(text)),
     )
-
-
-def ranked_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line number and line, one row for each line."""
-    return df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-
-
-def newest(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key by ``order``."""
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")

@@ -25,15 +25,14 @@ def phrases(df: DataFrame, key: str, text: str) -> DataFrame:
 def rake(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, phrase, score = sum of degree/frequency of its words, rank.
 
-    Word statistics are kept per text; the group-bys shuffle (key, word) pairs
-    that are pre-aggregated where they arise.
+    Phrases are cut once and brought together by text; all that follows is counted
+    inside that partitioning, without another shuffle.
     """
-    p = phrases(df, key, text)
-    words = p.select(key, "pos", "phrase", F.explode(F.split("phrase", " ")).alias("word"), F.size(F.split("phrase", " ")).alias("n"))
-    stats = words.groupBy(key, "word").agg((F.sum("n") / F.count(F.lit(1))).alias("weight"))
-    distinct = p.groupBy(key, "phrase").agg(F.min("pos").alias("pos"))
-    each = distinct.select(key, "phrase", "pos", F.explode(F.split("phrase", " ")).alias("word"))
-    scored = each.join(stats, [key, "word"]).groupBy(key, "phrase").agg(F.sum("weight").alias("score"), F.first("pos").alias("pos"))
+    p = phrases(df, key, text).repartition(key).groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("times"), F.min("pos").alias("pos"))
+    words = p.select("*", F.explode(F.split("phrase", " ")).alias("word"), F.size(F.split("phrase", " ")).alias("n"))
+    of = W.partitionBy(key, "word")
+    weighed = words.withColumn("weight", F.sum(F.col("n") * F.col("times")).over(of) / F.sum("times").over(of))
+    scored = weighed.groupBy(key, "phrase").agg(F.sum("weight").alias("score"), F.first("pos").alias("pos"))
     good = scored.where((F.round("score", 9) >= C.RAKE_MIN_SCORE) & F.length("phrase").between(2, 50) & F.col("phrase").rlike("[a-zA-Z]"))
     top = W.partitionBy(key).orderBy(F.desc(F.round("score", 9)), F.desc("phrase"))
     return good.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= C.RAKE_MAX_PHRASES).select(key, "phrase", F.round("score", 6).alias("score"), "rank")

@@ -23,6 +23,17 @@ def ordinal(df: DataFrame, group: list[str], order: list[str], block: Column, na
     return inside.join(start, [*group, "_block"]).withColumn(name, F.col("_start") + F.col("_i")).drop("_block", "_start", "_i")
 
 
+def running(df: DataFrame, group: list[str], order: str, value: str, block: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` from the beginning of its group up to each row;
+    summed inside blocks and shifted by the blocks before, as in ``ordinal``."""
+    rows = df.withColumn("_block", block)
+    totals = rows.groupBy(*group, "_block").agg(F.sum(value).alias("_n"))
+    before = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    start = totals.select(*group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = rows.withColumn("_i", F.sum(value).over(W.partitionBy(*group, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    return inside.join(start, [*group, "_block"]).withColumn(name, F.col("_start") + F.col("_i")).drop("_block", "_start", "_i")
+
+
 def starts(sizes: DataFrame, order: str, size: str, block: Column, name: str = "start") -> DataFrame:
     """``sizes`` (one row for each value of ``order``) with the sum of the sizes
     before it.  Summed inside blocks, whose totals are then summed; ``block`` must

@@ -7,16 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ranks import ordinal
+from .ranks import ordinal, running
+
+
+#: Chunks of a document that one task puts in order.
+BLOCK = 65536
 
 
 def section_runs(df: DataFrame, doc: str = "source_document", num: str = "chunk_num", section: str = "section_detected") -> DataFrame:
-    """doc, run, section, first and last chunk, n: islands of one section."""
-    w = W.partitionBy(doc).orderBy(num)
-    s = F.coalesce(section, F.lit(""))
-    rows = df.select(doc, num, s.alias("section")).withColumn("new", F.coalesce((F.col("section") != F.lag("section").over(w)).cast("int"), F.lit(1)))
-    rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(doc, "run").agg(F.min("section").alias("section"), F.min(num).alias("first_chunk"), F.max(num).alias("last_chunk"), F.count(F.lit(1)).alias("n"))
+    """doc, run, section, first and last chunk, n: islands of one section.  Chunks meet
+    the one before by a join on their place; a document is put in order in blocks."""
+    rows = df.where(F.col(doc).isNotNull()).select(doc, num, F.coalesce(section, F.lit("")).alias("section"))
+    placed = ordinal(rows, [doc], [num, "section"], F.floor(F.coalesce(F.col(num), F.lit(0)) / BLOCK), "_at")
+    before = placed.select(doc, (F.col("_at") + 1).alias("_at"), F.col("section").alias("_before"))
+    fresh = placed.join(before, [doc, "_at"], "left").withColumn("_new", F.coalesce((F.col("section") != F.col("_before")).cast("bigint"), F.lit(1).cast("bigint")))
+    numbered = running(fresh, [doc], "_at", "_new", F.floor(F.col("_at") / BLOCK), "run")
+    return numbered.groupBy(doc, "run").agg(F.min("section").alias("section"), F.min(num).alias("first_chunk"), F.max(num).alias("last_chunk"), F.count(F.lit(1)).alias("n"))
 
 
 def section_boundaries(df: DataFrame, doc: str = "source_document", num: str = "chunk_num", section: str = "section_detected") -> DataFrame:
@@ -33,17 +39,31 @@ def adaptive_boundaries(total: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.filter(every, lambda b: b <= total), F.array(total))))
 
 
-def contexts(df: DataFrame, doc: str = "source_document", num: str = "chunk_num") -> DataFrame:
-    """doc, chunk and what it is summarised with: the previous chunk's summary
-    and the latest progressive summary there is."""
-    w = W.partitionBy(doc).orderBy(num)
+def boundaries(total: Column, mode: str, every: int = 5) -> Column:
+    """Chunks after which the running summary is written: each one (``deep``), every
+    n-th and the last (``fixed``), or by the number of chunks (``adaptive``)."""
+    if mode == "deep":
+        return F.sequence(F.lit(1), total)
+    if mode == "fixed":
+        return F.array_distinct(F.concat(F.when(total >= every, F.sequence(F.lit(every), F.greatest(total, F.lit(every)), F.lit(every))).otherwise(F.array().cast("array<int>")), F.array(total)))
+    return adaptive_boundaries(total)
+
+
+def contexts(df: DataFrame, doc: str = "source_document", num: str = "chunk_num", most: int = 2) -> DataFrame:
+    """doc, chunk and what it is summarised with: the previous chunk's summary, its
+    first ``most`` sentences, and the document's running summary at that chunk.
+
+    A chunk meets the one with the number before it by a join, so no document is put
+    in order.  Blank summaries count as missing."""
     filled = lambda c: F.when(F.trim(c) != "", F.col(c))
-    earlier = w.rowsBetween(W.unboundedPreceding, -1)
-    return df.select(
-        doc, num,
-        F.coalesce(F.lag(filled("chunk_summary")).over(w), F.when(F.lag(num).over(w).isNull(), F.lit("This is the first chunk.")).otherwise(F.lit("No previous summary."))).alias("local_context"),
-        F.coalesce(F.last(filled("progressive_summary"), ignorenulls=True).over(earlier), F.lit("Not yet available.")).alias("global_context"),
-    )
+    before = df.select(doc, (F.col(num) + 1).alias(num), filled("chunk_summary").alias("_local"), filled("progressive_summary").alias("_global"))
+    rows = df.select(doc, num).join(before, [doc, num], "left")
+    parts = F.split("_local", r"\. ", -1)
+    short = F.when(F.size(parts) > most, F.concat(F.array_join(F.slice(parts, 1, most), ". "), F.lit("."))).otherwise(F.col("_local"))
+    first = F.col(num) == 1
+    local = F.when(first, "[No preceding content.]").otherwise(F.coalesce(F.concat(F.lit("[Previous: "), short, F.lit("]")), F.lit("[Previous chunk summary not yet available]")))
+    whole = F.when(first, "[This is the beginning of the document.]").otherwise(F.coalesce(F.concat(F.lit("[Document overview: "), "_global", F.lit("]")), F.lit("[Global context not yet available]")))
+    return rows.select(doc, num, local.alias("local_context"), whole.alias("global_context"))
 
 
 def reduce_batches(df: DataFrame, group: str, key: str, text: str, room: int = 6192, block: int = 65536) -> DataFrame:
@@ -67,10 +87,16 @@ def metadata(df: DataFrame, group: str, keywords: str, text: str) -> DataFrame:
 
 
 def recent_summaries(df: DataFrame, n: int = 5, doc: str = "source_document", num: str = "chunk_num") -> DataFrame:
-    """doc, chunk and the last ``n`` summaries up to it, joined."""
-    w = W.partitionBy(doc).orderBy(num).rowsBetween(-(n - 1), 0)
+    """doc, chunk and the last ``n`` summaries up to it, joined.
+
+    Each summary is handed to the n chunks that need it by their place in the
+    document, so a list never holds more than n and no document is one task."""
     filled = F.when(F.trim("chunk_summary") != "", F.col("chunk_summary"))
-    return df.select(doc, num, F.array_join(F.collect_list(filled).over(w), "\n").alias("recent"))
+    rows = df.where(F.col(doc).isNotNull()).select(doc, num, filled.alias("_s"))
+    placed = ordinal(rows, [doc], [num, "_s"], F.floor(F.coalesce(F.col(num), F.lit(0)) / BLOCK), "_at")
+    handed = placed.select(doc, F.explode(F.sequence(F.col("_at"), F.col("_at") + n - 1)).alias("_to"), "_at", "_s").where("_s IS NOT NULL")
+    last = handed.groupBy(doc, F.col("_to").alias("_at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda x: x["_s"]), "\n").alias("recent"))
+    return placed.join(last, [doc, "_at"], "left").select(doc, num, F.coalesce("recent", F.lit("")).alias("recent"))
 
 
 def success_rates(df: DataFrame, group: str) -> DataFrame:
@@ -107,3 +133,23 @@ def lead_summaries(df: DataFrame, key: str, text: str, words: int = 75) -> DataF
     """key, summary of every text with more than fifty characters; shorter, empty
     and null texts have none.  Works inside each row, without a shuffle."""
     return df.where(F.length(T.strip(text)) > 50).select(key, lead(text, words).alias("summary"))
+
+
+def spread(text: str, words: int) -> Column:
+    """Sentences from all over a text, about ``words`` words: the first of every k,
+    where k makes them fit.  Each group of k sentences is led by its first, so that no
+    part of the text is left out; a text that fits is taken whole."""
+    sents = F.transform(T.sentences(text), T.clean_sentence)
+
+    def pick(ss: Column) -> Column:
+        total = F.aggregate(ss, F.lit(0), lambda n, s: n + F.size(F.split(s, " ")))
+        k = F.greatest(F.lit(1), F.ceil(total / words)).cast("int")
+        return T.let(k, lambda k: F.array_join(F.filter(ss, lambda s, i: i % k == 0), " "))
+
+    return T.let(sents, pick)
+
+
+def spread_summaries(df: DataFrame, key: str, text: str, words: int = 200) -> DataFrame:
+    """key, summary of every text with more than fifty characters, from all of its
+    parts; works inside each row, without a shuffle."""
+    return df.where(F.length(T.strip(text)) > 50).select(key, spread(text, words).alias("summary"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..session import materialize
 
 
 def term_frequency(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,15 +24,15 @@ def document_frequency(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(F.array_distinct(T.corpus_tokens(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_size(df: DataFrame, text: str) -> DataFrame:
-    """One row: the number of texts with a token."""
-    return df.where(F.size(T.corpus_tokens(text)) > 0).agg(F.count(F.lit(1)).alias("n_docs"))
-
-
 def idf(df: DataFrame, text: str) -> DataFrame:
-    """term, df, idf = ln((N - df + 0.5) / (df + 0.5) + 1), four decimals."""
-    one = corpus_size(df, text)  # a single row
-    return document_frequency(df, text).crossJoin(F.broadcast(one)).select("term", "df", F.round(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 4).alias("idf"))
+    """term, df, idf = ln((N - df + 0.5) / (df + 0.5) + 1), four decimals.
+
+    Texts are cut into tokens once: every text with a token gives an empty term as
+    well, whose count is N."""
+    toks = df.select(T.corpus_tokens(text).alias("t")).where(F.size("t") > 0)
+    counts = materialize(toks.select(F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    one = counts.where("term = ''").select(F.col("df").alias("n_docs"))  # a single row
+    return counts.where("term <> ''").crossJoin(F.broadcast(one)).select("term", "df", F.round(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 4).alias("idf"))
 
 
 def bm25_terms(df: DataFrame, key: str, text: str, weights: DataFrame) -> DataFrame:

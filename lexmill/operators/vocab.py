@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from . import rake as R
 from . import terms
+from .ranks import ordinal
 
 #: Columns of a candidate row: key, term, algorithm, confidence, type, frequency, ord.
 ALGORITHM_ORDER = {"NER": 0, "RAKE": 1, "BM25": 2}
@@ -24,19 +25,52 @@ ENTITY = r"(?<![\p{L}])(?:(?:Mr|Mrs|Ms|Dr|Nurse|Justice|Attorney)\.? )?\p{Lu}\p{
 
 
 def entities(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, type, ord: capitalised runs as Person or Place."""
+    """key, term, type, ord, doctor: capitalised runs as Person or Place, cleaned, and
+    whether a person is called a doctor."""
     found = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(ENTITY), 0)).alias("ord", "raw"))
     term = F.trim(F.regexp_replace("raw", r"^(?:Mr|Mrs|Ms|Dr|Nurse|Justice|Attorney)\.? ", ""))
     org = F.col("term").rlike("(?i)" + "|".join(rf"\b{w}\b" for w in C.ORGANIZATION_WORDS + ["Group", "Company", "Partners", "Associates", "Stores", "Manufacturing", "Harbor", "Point", "Springs", "Falls", "Street", "Road", "Avenue"]).replace(".", r"\."))
-    return found.select(key, "ord", term.alias("term")).where(F.length("term").between(3, 60)).withColumn("type", F.when(org, "Place").otherwise("Person"))
+    named = found.select(key, "ord", clean_entity(term).alias("term"), F.col("raw").rlike(r"^(?:Dr\.|Doctor)").alias("doctor"))
+    return named.where(F.length("term").between(3, 60)).withColumn("type", F.when(org, "Place").otherwise("Person"))
 
 
-def candidates(df: DataFrame, key: str, text: str, weights: DataFrame) -> DataFrame:
-    """The union of the three algorithms' candidates."""
-    ner = entities(df, key, text).select(key, "term", F.lit("NER").alias("algorithm"), F.lit(0.85).alias("confidence"), "type", F.lit(1).cast("bigint").alias("frequency"), F.col("ord").cast("bigint").alias("ord"))
+def clean_entity(term: Column) -> Column:
+    """Single spaces, no conjunction at either end, no marks around."""
+    t = F.trim(F.regexp_replace(term, r"\s+", " "))
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)^(?:and/or|and|or)\s+", ""), r"(?i)\s+(?:and/or|and|or)$", "")
+    return F.trim(F.regexp_replace(t, r"^[.,;:!?()\[\]{}\"'/\\]+|[.,;:!?()\[\]{}\"'/\\]+$", ""))
+
+
+def unusual(df: DataFrame, key: str, text: str, ranks: DataFrame, excluded: DataFrame | None = None, medical: DataFrame | None = None) -> DataFrame:
+    """key, term, type, frequency, ord: single words that stand out.
+
+    Words of letters alone that no filter and no exclusion list takes: medical words,
+    acronyms that are no titles, and words that are rare in a frequency list.  Words
+    inside an entity are skipped, as entities are cut out first.  ``ranks``: word,
+    rank; ``excluded`` and ``medical``: word.  Lists are joined on the word.
+    """
+    rest = F.regexp_replace(F.col(text), ENTITY, " ")
+    found = F.regexp_extract_all(rest, F.lit(r"(?<![\p{L}\p{N}_'-])\p{L}{2,}(?![\p{L}\p{N}_'-])"), 0)
+    words = df.select(key, F.posexplode(F.filter(found, lambda w: ~F.lower(w).isin(C.STOP_VOCAB) & keeps_word(w) & keeps_entity(w))).alias("pos", "w"))
+    each = words.groupBy(key, F.lower("w").alias("word")).agg(F.min_by("w", "pos").alias("term"), F.count(F.lit(1)).alias("frequency"), F.min("pos").alias("ord"))
+    if excluded is not None:
+        each = each.join(excluded.select(F.lower(F.trim("word")).alias("word")).distinct(), "word", "left_anti")
+    known = each.join(ranks.select("word", "rank"), "word", "left")
+    listed = medical.select(F.lower(F.trim("word")).alias("word"), F.lit(True).alias("medical")).distinct() if medical is not None else None
+    known = known.join(listed, "word", "left") if listed is not None else known.withColumn("medical", F.lit(None).cast("boolean"))
+    acronym = F.col("term").rlike(r"^\p{Lu}{2,}$") & ~F.col("term").isin(C.TITLE_ACRONYMS)
+    return known.where(F.coalesce("medical", F.lit(False)) | acronym | is_rare(F.col("rank"))).select(key, "term", F.when(F.col("medical"), "Medical").otherwise("Technical").alias("type"), "frequency", "ord")
+
+
+def candidates(df: DataFrame, key: str, text: str, weights: DataFrame, ranks: DataFrame, medical: DataFrame | None = None) -> DataFrame:
+    """The union of the three algorithms' candidates: entities and unusual words, key
+    phrases, and BM25 terms if the corpus has five texts."""
+    ner = entities(df, key, text).where(keeps_entity(F.col("term"))).select(key, "term", F.lit("NER").alias("algorithm"), F.lit(0.85).alias("confidence"), "type", F.lit(1).cast("bigint").alias("frequency"), F.col("ord").cast("bigint").alias("ord"))
     rk = R.rake(df, key, text).select(key, R.clean_phrase(F.col("phrase")).alias("term"), F.lit("RAKE").alias("algorithm"), F.least(F.col("score") / 15, F.lit(1.0)).alias("confidence"), F.lit("Technical").alias("type"), F.lit(1).cast("bigint").alias("frequency"), F.col("rank").cast("bigint").alias("ord"))
     bm = terms.bm25_terms(df, key, text, weights).select(key, "term", F.lit("BM25").alias("algorithm"), "confidence", F.lit("Technical").alias("type"), F.col("tf").cast("bigint").alias("frequency"), F.col("rank").cast("bigint").alias("ord"))
-    return ner.unionByName(rk).unionByName(bm)
+    odd = unusual(df, key, text, ranks, None, medical).select(key, "term", F.lit("NER").alias("algorithm"), F.lit(0.6).alias("confidence"), "type", F.col("frequency").cast("bigint").alias("frequency"), (F.col("ord") + 500_000_000).cast("bigint").alias("ord"))
+    ready = df.where(F.length(F.trim(text)) > 0).limit(C.MIN_CORPUS_DOCS).count() >= C.MIN_CORPUS_DOCS
+    return ner.unionByName(odd).unionByName(rk).unionByName(bm if ready else bm.limit(0))
 
 
 def merge(cands: DataFrame, key: str) -> DataFrame:
@@ -74,17 +108,30 @@ def quality(type_: Column, frequency: Column, rank: Column, algorithms: Column)
     return F.bround(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 1)
 
 
-def vocabulary(merged: DataFrame, key: str, ranks: DataFrame | None = None, documents: int = 1, least: int = 2) -> DataFrame:
-    """The final rows: typed, filtered by frequency (persons exempt), scored.
+def vocabulary(merged: DataFrame, key: str, ranks: DataFrame | None = None, documents: int = 1, least: int = 2, medical: DataFrame | None = None, definitions: DataFrame | None = None) -> DataFrame:
+    """The final rows: typed, filtered by frequency (persons exempt), scored, defined,
+    with their position by rarity: words outside the frequency list first.
 
-    ``ranks``: word, rank of a frequency list; absent words rank 0.
+    ``ranks``: word, rank of a frequency list; absent words rank 0.  ``medical``:
+    word, which makes a term medical whatever found it.  ``definitions``: word,
+    definition, for medical and technical terms.  ``documents``: the texts that one
+    ``key`` stands for.
     """
     rows = merged.withColumn("type", category(F.col("term"), F.col("type")))
+    if medical is not None:
+        rows = rows.join(medical.select(F.lower(F.trim("word")).alias("k"), F.lit("Medical").alias("_m")).distinct(), "k", "left").withColumn("type", F.coalesce("_m", "type")).drop("_m")
     rows = rows.join(ranks.select(F.col("word").alias("k"), F.col("rank").alias("freq_rank")), "k", "left") if ranks is not None else rows.withColumn("freq_rank", F.lit(0))
     rows = rows.withColumn("freq_rank", F.coalesce("freq_rank", F.lit(0)))
     kept = rows.where((F.col("type") == "Person") | F.col("frequency").between(least, documents * 4))
+    if definitions is not None:
+        kept = kept.join(definitions.select(F.lower("word").alias("k"), F.col("definition").alias("_d")), "k", "left")
+    else:
+        kept = kept.withColumn("_d", F.lit(None).cast("string"))
+    short = F.when(F.length("_d") > 100, F.concat(F.substring("_d", 1, 97), F.lit("..."))).otherwise(F.col("_d"))
+    meaning = F.when(F.col("type").isin("Medical", "Technical"), F.coalesce(short, F.lit("—"))).otherwise("—")
+    rare = W.partitionBy(key).orderBy((F.col("freq_rank") > 0).cast("int"), F.desc("freq_rank"), "ord", "term")
     return kept.withColumn("quality_score", quality(F.col("type"), F.col("frequency"), F.col("freq_rank"), F.col("n_algorithms"))).select(
-        key, "term", "type", "quality_score", F.col("frequency").alias("in_case_freq"), "freq_rank", "sources", F.round("confidence", 6).alias("confidence"), "ord"
+        key, "term", "type", "quality_score", F.col("frequency").alias("in_case_freq"), "freq_rank", "sources", F.round("confidence", 6).alias("confidence"), meaning.alias("definition"), F.row_number().over(rare).alias("position")
     )
 
 
@@ -92,20 +139,14 @@ def frequency_ranks(words: DataFrame) -> DataFrame:
     """word, count -> word, rank: 0-based by falling count, ties by word.
 
     Words of one count are ranked in blocks of their first three characters, as
-    most words share the lowest counts; the blocks' sizes alone pass through one
-    ordered window.
+    most words share the lowest counts.  Only the sizes of the counts pass through one
+    ordered window; as the counts add up to the corpus, there are few different ones.
     """
-    rows = words.select("word", "count", F.substring("word", 1, 3).alias("block"))
-    sizes = rows.groupBy("count", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = W.orderBy(F.desc("count"), "block").rowsBetween(W.unboundedPreceding, -1)
-    start = sizes.select("count", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = rows.withColumn("i", F.row_number().over(W.partitionBy("count", "block").orderBy("word")) - 1)
-    return inside.join(start, ["count", "block"]).select("word", (F.col("start") + F.col("i")).alias("rank"))
-
-
-def by_rarity(vocab: DataFrame) -> DataFrame:
-    """Terms outside the frequency list first, then by rising commonness."""
-    return vocab.orderBy((F.col("freq_rank") > 0).cast("int"), F.desc("freq_rank"), "ord")
+    inside = ordinal(words.select("word", "count"), ["count"], ["word"], F.substring("word", 1, 3), "_at")
+    sizes = words.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+    before = W.orderBy(F.desc("count")).rowsBetween(W.unboundedPreceding, -1)
+    start = sizes.select("count", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return inside.join(start, "count").select("word", (F.col("_start") + F.col("_at")).alias("rank"))
 
 
 def person_roles(persons: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
@@ -120,7 +161,10 @@ def person_roles(persons: DataFrame, df: DataFrame, key: str, text: str) -> Data
     names = caught.select(key, low("caught").alias("caught"), "o", "role").distinct()
     hit = persons.select(key, "term").join(names, key).where(low("term").contains(F.col("caught")) | F.col("caught").contains(low("term")))
     best = hit.groupBy(key, "term").agg(F.min_by("role", "o").alias("role"))
-    return persons.select(key, "term").join(best, [key, "term"], "left").withColumn("role", F.coalesce("role", F.lit("Person in case")))
+    # without a pattern, a doctor is a medical professional
+    doctor = F.col("doctor") if "doctor" in persons.columns else F.lit(False)
+    fallback = F.when(doctor, "Medical professional").otherwise("Person in case")
+    return persons.join(best, [key, "term"], "left").select(key, "term", F.coalesce("role", fallback).alias("role"))
 
 
 def place_relevance(places: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:

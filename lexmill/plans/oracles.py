@@ -96,21 +96,21 @@ idf AS (SELECT term, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 4) AS i
 ONCE = "ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at) AS rn FROM chunk_extraction WHERE extraction_success) WHERE rn = 1)"
 
 
-def bm25_plus(field: str, name: str, k: int) -> str:
-    """CTEs that end in ``name``: question_id, chunk_row_id, score, relevance, rank."""
+def bm25_plus(field: str, name: str, k: int, rows: str = f"SELECT * FROM {WORK}", key: str = "chunk_row_id", asked: str = "SELECT * FROM question_def", qkey: str = "question_id", qtext: str = "question_text") -> str:
+    """CTEs that end in ``name``: qkey, key, score, relevance, rank."""
     p = name
     return f"""
-{p}_c AS (SELECT chunk_row_id, any_value({retrieval(field)}) AS t FROM {WORK} WHERE {field} IS NOT NULL GROUP BY chunk_row_id),
+{p}_c AS (SELECT {key}, any_value({retrieval(field)}) AS t FROM ({rows}) WHERE {field} IS NOT NULL GROUP BY {key}),
 {p}_s AS (SELECT count(*) AS n_chunks, avg(len(t)) AS avg_len FROM {p}_c),
-{p}_a AS (SELECT question_id, term, count(*) AS times FROM (SELECT question_id, unnest({retrieval('question_text')}) AS term FROM question_def) GROUP BY ALL),
-{p}_p AS (SELECT chunk_row_id, dl, term, count(*) AS tf FROM (SELECT chunk_row_id, len(t) AS dl, unnest(t) AS term FROM {p}_c) WHERE term IN (SELECT term FROM {p}_a) GROUP BY ALL),
+{p}_a AS (SELECT {qkey}, term, count(*) AS times FROM (SELECT {qkey}, unnest({retrieval(qtext)}) AS term FROM ({asked})) GROUP BY ALL),
+{p}_p AS (SELECT {key}, dl, term, count(*) AS tf FROM (SELECT {key}, len(t) AS dl, unnest(t) AS term FROM {p}_c) WHERE term IN (SELECT term FROM {p}_a) GROUP BY ALL),
 {p}_i AS (SELECT term, avg_len, ln((n_chunks + 1) / df) AS idf FROM (SELECT term, count(*) AS df FROM {p}_p GROUP BY term), {p}_s),
 {p}_w AS (SELECT * FROM {p}_a JOIN {p}_i USING (term)),
-{p}_b AS (SELECT question_id, sum(times * idf * {C.PLUS_DELTA}) AS base FROM {p}_w GROUP BY question_id),
-{p}_m AS (SELECT question_id, chunk_row_id, sum(times * idf * tf * ({C.PLUS_K1} + 1) / ({C.PLUS_K1} * (1 - {C.PLUS_B} + {C.PLUS_B} * dl / avg_len) + tf)) AS gain FROM {p}_p JOIN {p}_w USING (term) GROUP BY ALL),
-{p}_x AS (SELECT question_id, chunk_row_id, round(base + coalesce(gain, 0), 9) AS score FROM {p}_b CROSS JOIN {p}_c LEFT JOIN {p}_m USING (question_id, chunk_row_id)),
-{p}_r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_row_id) AS rank FROM {p}_x),
-{p} AS (SELECT question_id, chunk_row_id, round(score, 6) AS score, round(score / (score + max(score) OVER (PARTITION BY question_id)), 6) AS relevance, rank FROM {p}_r WHERE rank <= {k})
+{p}_b AS (SELECT {qkey}, sum(times * idf * {C.PLUS_DELTA}) AS base FROM {p}_w GROUP BY {qkey}),
+{p}_m AS (SELECT {qkey}, {key}, sum(times * idf * tf * ({C.PLUS_K1} + 1) / ({C.PLUS_K1} * (1 - {C.PLUS_B} + {C.PLUS_B} * dl / avg_len) + tf)) AS gain FROM {p}_p JOIN {p}_w USING (term) GROUP BY ALL),
+{p}_x AS (SELECT {qkey}, {key}, round(base + coalesce(gain, 0), 9) AS score FROM {p}_b CROSS JOIN {p}_c LEFT JOIN {p}_m USING ({qkey}, {key})),
+{p}_r AS (SELECT *, row_number() OVER (PARTITION BY {qkey} ORDER BY score DESC, {key}) AS rank FROM {p}_x),
+{p} AS (SELECT {qkey}, {key}, round(score, 6) AS score, round(score / (score + max(score) OVER (PARTITION BY {qkey})), 6) AS relevance, rank FROM {p}_r WHERE rank <= {k})
 """
 
 
@@ -183,7 +183,7 @@ ORACLE_SQL = {
     "token_counts": f"SELECT doc_id, len({VOCAB}) AS n_vocabulary, len({CORPUS}) AS n_corpus, len({retrieval('text')}) AS n_retrieval, len({keywords('text')}) AS n_keywords FROM documents WHERE text IS NOT NULL",
     "normalized_text": f"SELECT DISTINCT chunk_row_id, len(t) AS n_chars, md5(t) AS hash FROM (SELECT chunk_row_id, {normalized('chunk_text')} AS t FROM {WORK} WHERE chunk_text IS NOT NULL)",
     "page_number_lines": f"SELECT DISTINCT chunk_row_id, len(ls) AS n_lines, len(list_filter(ls, lambda l: regexp_matches({strip('l')}, {_q(C.PAGE_NUMBER_LINE)}))) AS n_page_numbers FROM (SELECT chunk_row_id, string_split(chunk_text, chr(10)) AS ls FROM {WORK} WHERE chunk_text IS NOT NULL)",
-    "case_numbers": "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(text, {_q(p.replace('(?iu)', '(?i)'))})" for p in C.CASE_NUMBER_PATTERNS) + "))), '|') AS numbers FROM documents WHERE text IS NOT NULL AND len(list_concat(" + ", ".join(f"regexp_extract_all(text, {_q(p.replace('(?iu)', '(?i)'))})" for p in C.CASE_NUMBER_PATTERNS) + ")) > 0",
+    "case_numbers": "SELECT DISTINCT chunk_row_id, array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(chunk_text, {_q(p.replace('(?iu)', '(?i)'))})" for p in C.CASE_NUMBER_PATTERNS) + "))), '|') AS numbers FROM " + WORK + " WHERE chunk_text IS NOT NULL AND len(list_concat(" + ", ".join(f"regexp_extract_all(chunk_text, {_q(p.replace('(?iu)', '(?i)'))})" for p in C.CASE_NUMBER_PATTERNS) + ")) > 0",
     "document_hash": "SELECT doc_id, 'doc_' || substr(md5(substr(text, 1, 1000)), 1, 12) AS document_hash FROM documents WHERE text IS NOT NULL",
     "sanitized_text": f"SELECT doc_id, len(regexp_extract_all(text, '[█▓▒]')) AS n_redacted, len(t) AS n_chars, md5(t) AS hash FROM (SELECT doc_id, text, {sanitized('text')} AS t FROM documents WHERE text IS NOT NULL)",
     "transcript_lines": f"SELECT DISTINCT chunk_row_id, md5({without_numbers('chunk_text')}) AS without_numbers, md5({converted('chunk_text')}) AS converted FROM {WORK} WHERE chunk_text IS NOT NULL",
@@ -199,7 +199,7 @@ ORACLE_SQL = {
     "run_metrics": "SELECT document_type, count(*) AS document_count, sum(coalesce(page_count, 0))::BIGINT AS total_pages, sum(coalesce(file_size, 0))::BIGINT AS total_size_bytes, round(avg(coalesce(page_count, 0)), 1) AS avg_pages, round(avg(coalesce(file_size, 0)), 0) AS avg_size_bytes FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM document_result) GROUP BY document_type",
     "corpus_status": f"SELECT source, count(*) FILTER (len(trim(text)) > 0) AS n_documents, sum(coalesce(len(text), 0))::BIGINT AS n_chars, count(*) FILTER (len(trim(text)) > 0) >= {C.MIN_CORPUS_DOCS} AS ready FROM documents GROUP BY source",
     "corpus_fingerprint": "SELECT source, concat_ws('-', sum(('0x' || substr(h, 1, 7))::BIGINT)::BIGINT, sum(('0x' || substr(h, 8, 7))::BIGINT)::BIGINT, count(*)) AS fingerprint FROM (SELECT source, md5(concat_ws(':', doc_id::VARCHAR, strftime(filed_at, '%Y-%m-%d %H:%M:%S.%f'))) AS h FROM documents) GROUP BY source",
-    "pending_documents": f"SELECT DISTINCT filename, document_type FROM document_result WHERE filename NOT IN (SELECT source_document FROM {WORK} WHERE source_document IS NOT NULL)",
+    "pending_documents": f"SELECT DISTINCT filename, document_type FROM document_result WHERE filename NOT IN (SELECT source_document FROM {WORK} WHERE source_document IS NOT NULL AND trim(progressive_summary) <> '')",
     "rake_phrases": rf"""WITH a AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\s*\d{{1,2}}\s+', '', 'g'), '\b\d+\b', '', 'g'), '\s+', ' ', 'g'))) AS t FROM documents WHERE text IS NOT NULL),
  b AS (SELECT doc_id, array_to_string(list_transform(string_split_regex(regexp_replace(t, '[^\p{{L}}\p{{N}}''\- ]+', ' | ', 'g'), ' +'), lambda w: CASE WHEN list_contains({_list(C.STOP_VOCAB)}, w) THEN '|' ELSE w END), ' ') AS t FROM a),
  c AS (SELECT doc_id, list_filter(list_transform(string_split(t, '|'), lambda p: trim(p)), lambda p: p <> '' AND len(string_split(p, ' ')) <= {C.RAKE_MAX_WORDS}) AS ps FROM b),
@@ -212,15 +212,17 @@ ORACLE_SQL = {
  SELECT doc_id, phrase, round(score, 6) AS score, rank FROM z WHERE rank <= {C.RAKE_MAX_PHRASES}""",
     "term_ranks": f"WITH {IDF} SELECT term AS word, row_number() OVER (ORDER BY df DESC, term) - 1 AS rank FROM df",
     "latest_feedback": f"WITH {LATEST} SELECT term_key, feedback_ts, feedback, document_id FROM latest",
-    "feedback_counts": f"WITH {LATEST} SELECT count(*) FILTER (feedback = 1) AS liked, count(*) FILTER (feedback = -1) AS disliked, count(*) FILTER (feedback = 0) AS cleared, count(*) FILTER (feedback <> 0) >= {C.ML_MIN_SAMPLES} AS retrain FROM latest",
+    "feedback_counts": f"WITH {LATEST} SELECT count(*) FILTER (feedback = 1) AS liked, count(*) FILTER (feedback = -1) AS disliked, count(*) FILTER (feedback = 0) AS cleared, any_value(p) AS pending, count(*) FILTER (feedback <> 0) >= {C.ML_MIN_SAMPLES} AND any_value(p) >= {C.ML_RETRAIN_AFTER} AS retrain FROM latest, (SELECT count(*) AS p FROM log)",
     "feedback_features": f"WITH {FEEDBACK} SELECT feedback, count(*) AS n, " + ", ".join(f"round(sum({e})::DOUBLE, 4) AS {c}" for c, e in _F.items()) + " FROM log GROUP BY feedback",
     "bm25plus_topk": f"WITH {bm25_plus('chunk_text', 'h', 5)} SELECT * FROM h",
     "vector_topk": """WITH x AS (SELECT q.vec_id AS query, e.vec_id, greatest(0.0, least(1.0, 1 - list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(2))) AS rel FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
  r AS (SELECT query, vec_id, round(rel, 6) AS relevance, row_number() OVER (PARTITION BY query ORDER BY round(rel, 6) DESC, vec_id) AS rank FROM x) SELECT * FROM r WHERE rank <= 5""",
-    "hybrid_merge": f"""WITH {bm25_plus('chunk_text', 'h', 10)}, {bm25_plus('chunk_summary', 'g', 10)},
- u AS (SELECT question_id, chunk_row_id, 'chunk_text' AS algorithm, 1.0 AS weight, relevance FROM h UNION ALL SELECT question_id, chunk_row_id, 'chunk_summary', 0.5, relevance FROM g),
- m AS (SELECT question_id, chunk_row_id, round(least(1.0, sum(relevance * weight) / sum(weight) + 0.1 * (count(*) - 1)), 6) AS score, string_agg(algorithm, ',' ORDER BY algorithm) AS sources FROM u GROUP BY ALL)
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_row_id) AS rank FROM m) WHERE rank <= 5""",
+    "hybrid_merge": f"""WITH {bm25_plus('text', 'h', 10, "SELECT doc_id, text FROM documents", 'doc_id', f"SELECT doc_id AS query, ({sentences('text')})[1] AS q FROM documents WHERE text IS NOT NULL AND doc_id % 50 = 0", 'query', 'q')},
+ x AS (SELECT q.vec_id AS query, e.vec_id AS doc_id, round(greatest(0.0, least(1.0, 1 - list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(2))), 6) AS relevance FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+ g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, doc_id) AS rank FROM x) WHERE rank <= 10),
+ u AS (SELECT query, doc_id, 'BM25+' AS algorithm, 1.0 AS weight, relevance FROM h UNION ALL SELECT query, doc_id, 'vectors', 0.5, relevance FROM g),
+ m AS (SELECT query, doc_id, round(least(1.0, sum(relevance * weight) / sum(weight) + 0.1 * (count(*) - 1)), 6) AS score, string_agg(algorithm, ',' ORDER BY algorithm) AS sources FROM u GROUP BY ALL)
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM m) WHERE rank <= 5""",
     "qa_confidence": f"""SELECT DISTINCT qa_id, CASE WHEN coalesce(len(sources), 0) > 0 THEN round(coalesce(list_sum(list_transform(sources, lambda x: x.score)), 0) / len(sources), 2) ELSE 0 END AS confidence, coalesce(len(list_filter(sources, lambda x: x.score >= {C.MIN_RETRIEVAL_SCORE})), 0) AS n_usable,
  coalesce((SELECT string_agg(fn || ': ' || coalesce(sec, 'N/A'), '; ' ORDER BY p) FROM (SELECT x.filename AS fn, min(i) AS p, arg_min(coalesce(x.section, 'N/A'), i) AS sec FROM (SELECT unnest(sources) AS x, generate_subscripts(sources, 1) AS i) WHERE x.filename IS NOT NULL GROUP BY x.filename)), '') AS summary FROM question_answer""",
     "extracted_answers": rf"""WITH a AS (SELECT DISTINCT qa_id, question_text, answer_text FROM question_answer WHERE answer_text IS NOT NULL), b AS (SELECT qa_id, {keywords('question_text')} AS ks, {_SENTENCES} AS ss FROM a),
@@ -246,14 +248,16 @@ ORACLE_SQL = {
     "section_runs": _RUNS,
     "section_boundaries": f"SELECT source_document, last_chunk AS boundary FROM ({_RUNS}) WHERE n >= 3 AND NOT (run = 1 AND section = '') UNION SELECT source_document, max(chunk_num) FROM {_CHUNKS} GROUP BY source_document",
     "adaptive_boundaries": f"""SELECT source_document, n_chunks, array_to_string(list_sort(list_distinct(list_concat(list_filter([5, 10, 15, 20, 30, 40, 50, 60, 70, 80], lambda b: b <= n_chunks), list_filter(range(85, 100000, 5), lambda b: b <= n_chunks), [n_chunks]))), ',') AS boundaries FROM (SELECT source_document, max(chunk_num) AS n_chunks FROM {WORK} GROUP BY source_document)""",
-    "chunk_contexts": f"""SELECT source_document, chunk_num, md5(coalesce(lag(s) OVER w, CASE WHEN lag(chunk_num) OVER w IS NULL THEN 'This is the first chunk.' ELSE 'No previous summary.' END)) AS local_context, md5(coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY source_document ORDER BY chunk_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Not yet available.')) AS global_context
- FROM (SELECT DISTINCT source_document, chunk_num, CASE WHEN trim(chunk_summary) <> '' THEN chunk_summary END AS s, CASE WHEN trim(progressive_summary) <> '' THEN progressive_summary END AS p FROM {WORK}) WINDOW w AS (PARTITION BY source_document ORDER BY chunk_num)""",
+    "chunk_contexts": f"""WITH c AS (SELECT DISTINCT source_document, chunk_num, chunk_summary, progressive_summary FROM {WORK}),
+ b AS (SELECT source_document, chunk_num + 1 AS chunk_num, CASE WHEN trim(chunk_summary) <> '' THEN string_split(chunk_summary, '. ') END AS ps, CASE WHEN trim(chunk_summary) <> '' THEN chunk_summary END AS l, CASE WHEN trim(progressive_summary) <> '' THEN progressive_summary END AS g FROM c)
+ SELECT c.source_document, c.chunk_num, md5(CASE WHEN c.chunk_num = 1 THEN '[No preceding content.]' ELSE coalesce('[Previous: ' || CASE WHEN len(ps) > 2 THEN array_to_string(ps[1:2], '. ') || '.' ELSE l END || ']', '[Previous chunk summary not yet available]') END) AS local_context,
+ md5(CASE WHEN c.chunk_num = 1 THEN '[This is the beginning of the document.]' ELSE coalesce('[Document overview: ' || g || ']', '[Global context not yet available]') END) AS global_context FROM c LEFT JOIN b ON b.source_document = c.source_document AND b.chunk_num = c.chunk_num""",
     "reduce_batches": """WITH r AS (SELECT DISTINCT result_id, case_id, chunk_summary FROM summarization_result WHERE chunk_summary IS NOT NULL), m AS (SELECT case_id, greatest(2, floor(6192 / (avg(len(chunk_summary)) + 100)))::BIGINT AS per FROM r GROUP BY case_id)
  SELECT case_id, (rn // per)::BIGINT AS batch, count(*) AS n, sum(len(chunk_summary))::BIGINT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY result_id) - 1 AS rn FROM r) JOIN m USING (case_id) GROUP BY ALL""",
     "summary_metadata": rf"""WITH {ONCE}, b AS (SELECT case_id, count(*) AS n, (sum(len(list_filter(string_split_regex(array_to_string(coalesce(key_facts, []), ' '), '\s+'), lambda w: w <> ''))) // count(*))::BIGINT AS mean_words FROM ex GROUP BY case_id),
  k AS (SELECT case_id, k, count(*) AS c FROM (SELECT case_id, unnest(vocabulary) AS k FROM ex) WHERE k IS NOT NULL GROUP BY ALL)
  SELECT b.case_id, n, mean_words, coalesce(n_keywords, 0) AS n_keywords, top_keyword FROM b LEFT JOIN (SELECT case_id, count(*) AS n_keywords, first(k ORDER BY c DESC, k) AS top_keyword FROM k GROUP BY case_id) USING (case_id)""",
-    "chunks_by_document": f"SELECT source_document, count(*) AS n_chunks, string_agg(chunk_row_id::VARCHAR, ',' ORDER BY chunk_num, chunk_row_id) AS chunk_ids FROM (SELECT DISTINCT source_document, chunk_row_id, chunk_num FROM {WORK}) GROUP BY source_document",
+    "chunks_by_document": f"SELECT *, row_number() OVER (PARTITION BY source_document ORDER BY chunk_num, chunk_row_id) - 1 AS position FROM (SELECT DISTINCT source_document, chunk_row_id, chunk_num FROM {WORK} WHERE source_document IS NOT NULL)",
     "dictionary_confidence": rf"""WITH {IDF}, w AS (SELECT chunk_row_id, any_value(chunk_text) AS t FROM {WORK} WHERE chunk_text IS NOT NULL GROUP BY chunk_row_id),
  k AS (SELECT chunk_row_id, regexp_extract_all({ascii_words('t')}, '\b[a-zA-Z]+\b') AS t FROM w), e AS (SELECT chunk_row_id, unnest(t) AS word FROM k),
  kn AS (SELECT chunk_row_id, count(*) AS n_known FROM e WHERE word IN (SELECT term FROM df WHERE df >= 3) GROUP BY chunk_row_id)
@@ -276,7 +280,18 @@ ORACLE_SQL |= {
  p AS (SELECT qa_id, i, '[' || source_document || CASE WHEN coalesce(x.section, 'N/A') <> 'N/A' THEN ', ' || x.section ELSE '' END || ']:' || chr(10) || chunk_text AS part FROM s JOIN w ON x.filename = source_document AND x.chunk_num = w.chunk_num WHERE x.score >= {C.MIN_RETRIEVAL_SCORE})
  SELECT qa_id, count(*) AS n_chunks, md5(string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i)) AS context FROM p GROUP BY qa_id""",
     "chunk_summaries": lead(WORK, "chunk_row_id", "chunk_text", 75),
-    "document_summaries": lead("documents", "doc_id", "text", 200),
+    "document_summaries": f"""WITH a AS (SELECT doc_id, list_transform({sentences('text')}, lambda s: {clean_sentence('s')}) AS ss FROM documents WHERE len({strip('text')}) > 50),
+ k AS (SELECT doc_id, ss, greatest(1, ceil(coalesce(list_sum(list_transform(ss, lambda s: len(string_split(s, ' ')))), 0) / 200))::INT AS k FROM a)
+ SELECT doc_id, array_to_string(list_filter(ss, lambda x, i: (i - 1) % k = 0), ' ') AS summary FROM k""",
+    "event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
+    "summary_modes": f"""WITH t AS (SELECT source_document, max(chunk_num) AS n FROM {WORK} GROUP BY source_document)
+ SELECT source_document, 'deep' AS mode, array_to_string(range(1, n + 1), ',') AS boundaries FROM t UNION ALL SELECT source_document, 'fixed', array_to_string(list_sort(list_distinct(list_concat(range(5, n + 1, 5), [n]))), ',') FROM t
+ UNION ALL SELECT source_document, 'adaptive', array_to_string(list_sort(list_distinct(list_concat(list_filter([5, 10, 15, 20, 30, 40, 50, 60, 70, 80], lambda b: b <= n), list_filter(range(85, 100000, 5), lambda b: b <= n), [n]))), ',') FROM t""",
+    "feedback_log": f"WITH {FEEDBACK} SELECT feedback, count(*) AS n, count(DISTINCT document_id) AS n_documents, max(feedback_ts) AS newest FROM log GROUP BY feedback",
+    "combined_documents": "SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY doc_id) - 1 AS position, len(part) AS n_chars, md5(part) AS hash FROM (SELECT case_id, doc_id, '--- ' || doc_id || ' ---' || chr(10) || text AS part FROM documents WHERE len(text) > 0 AND case_id IS NOT NULL)",
+    "names_section": f"""WITH {ONCE}, r AS (SELECT case_id, coalesce(upper(x.category), 'OTHER') AS category, trim(x.name) AS name, trim(x.role) AS role, {normal_name('x.name')} AS norm FROM (SELECT case_id, unnest(names_mentioned) AS x FROM ex)),
+ o AS (SELECT case_id, category, norm, first(name ORDER BY len(name) DESC, name DESC) AS name, first(role ORDER BY len(role) DESC NULLS LAST, role DESC) AS role FROM r WHERE norm <> '' GROUP BY ALL)
+ SELECT case_id, CASE category WHEN 'PARTY' THEN 'Parties' WHEN 'MEDICAL' THEN 'Medical Personnel' WHEN 'WITNESS' THEN 'Witnesses' ELSE 'Other Individuals' END AS section, row_number() OVER (PARTITION BY case_id, category ORDER BY name, norm) AS position, name || CASE WHEN len(role) > 0 THEN ' (' || role || ')' ELSE '' END AS line FROM o""",
     "reading_methods": f"WITH c AS ({ORACLE_SQL['dictionary_confidence']}), w AS (SELECT DISTINCT chunk_row_id, len(chunk_text) AS n FROM {WORK} WHERE chunk_text IS NOT NULL) SELECT chunk_row_id, CASE WHEN confidence > {C.DIGITAL_CONFIDENCE} AND n > {C.DIGITAL_LENGTH} THEN 'digital' ELSE 'ocr' END AS method FROM c JOIN w USING (chunk_row_id)",
     "corpus_vocabulary": f"SELECT source, count(DISTINCT term) AS vocab_size FROM (SELECT source, unnest(list_distinct({CORPUS})) AS term FROM documents WHERE text IS NOT NULL) GROUP BY source",
     "chunk_ids": f"SELECT chunk_row_id, source_document || '_' || (row_number() OVER (ORDER BY source_document, chunk_num) - 1) AS chunk_id FROM (SELECT DISTINCT chunk_row_id, source_document, chunk_num FROM {WORK} WHERE source_document IS NOT NULL AND chunk_num IS NOT NULL)",

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from ..functions.unicode import plain_ascii
+from ..functions.unicode import fix_garbled, plain_ascii
 from ..operators import briefing, chunk, feedback, preprocess, qa, rake, retrieval, summarize, terms, vocab
+from ..operators.ranks import ordinal
 from ..session import materialize, shared_dir, table
 from ..sources import corpus, sinks
 from ..streaming import feedback as stream
@@ -39,8 +40,7 @@ def idf(s, d):
 
 
 def bm25_top_terms(s, d):
-    weights = materialize(terms.idf(_docs(s, d), "text"), "idf")
-    return terms.bm25_terms(_docs(s, d), "doc_id", "text", weights)
+    return terms.bm25_terms(_docs(s, d), "doc_id", "text", terms.idf(_docs(s, d), "text"))
 
 
 def token_counts(s, d):
@@ -61,7 +61,7 @@ def page_number_lines(s, d):
 
 
 def case_numbers(s, d):
-    return _docs(s, d).where("text IS NOT NULL").select("doc_id", F.array_join(T.case_numbers("text"), "|").alias("numbers")).where("numbers <> ''")
+    return _work(s, d).where("chunk_text IS NOT NULL").select("chunk_row_id", F.array_join(T.case_numbers("chunk_text"), "|").alias("numbers")).where("numbers <> ''").distinct()
 
 
 def document_hash(s, d):
@@ -125,7 +125,8 @@ def corpus_fingerprint(s, d):
 
 def pending_documents(s, d):
     files = table(s, d, "document_result").select("filename", "document_type").distinct()
-    return corpus.pending(files, _work(s, d).select(F.col("source_document").alias("filename")), "filename")
+    done = _work(s, d).where("source_document IS NOT NULL AND trim(progressive_summary) <> ''")
+    return corpus.pending(files, done.select(F.col("source_document").alias("filename")), "filename")
 
 
 def rake_phrases(s, d):
@@ -133,9 +134,18 @@ def rake_phrases(s, d):
 
 
 def vocabulary(s, d):
+    """Each document's vocabulary.  The frequency list is the corpus itself, without
+    words of fewer than three texts; terms that were rated as medical are the medical list."""
     weights = materialize(terms.idf(_docs(s, d), "text"), "idf")
-    merged = vocab.merge(vocab.candidates(_docs(s, d), "doc_id", "text", weights), "doc_id")
-    return vocab.vocabulary(merged, "doc_id").drop("ord")
+    ranks = materialize(vocab.frequency_ranks(weights.where("df >= 3").select(F.col("term").alias("word"), F.col("df").alias("count"))), "ranks")
+    medical = table(s, d, "vocab_feedback").where("lower(term_type) = 'medical' AND feedback > 0").select(F.col("term").alias("word")).distinct()
+    merged = vocab.merge(vocab.candidates(_docs(s, d), "doc_id", "text", weights, ranks, medical), "doc_id")
+    return vocab.vocabulary(merged, "doc_id", ranks, medical=medical)
+
+
+def unusual_words(s, d):
+    ranks = vocab.frequency_ranks(terms.document_frequency(_docs(s, d), "text").where("df >= 3").select(F.col("term").alias("word"), F.col("df").alias("count")))
+    return vocab.unusual(_docs(s, d), "doc_id", "text", ranks).select("doc_id", "term", "type", "frequency")
 
 
 def term_ranks(s, d):
@@ -144,7 +154,7 @@ def term_ranks(s, d):
 
 def person_roles(s, d):
     docs = _docs(s, d)
-    persons = vocab.entities(docs, "doc_id", "text").where("type = 'Person'").select("doc_id", "term").distinct()
+    persons = vocab.entities(docs, "doc_id", "text").where("type = 'Person'").groupBy("doc_id", "term").agg(F.max("doctor").alias("doctor"))
     return vocab.person_roles(persons, docs, "doc_id", "text")
 
 
@@ -184,12 +194,15 @@ def vector_topk(s, d):
 
 
 def hybrid_merge(s, d):
-    q = table(s, d, "question_def")
-    hits = None
-    for field, weight in (("chunk_text", 1.0), ("chunk_summary", 0.5)):
-        h = retrieval.bm25_plus(_chunks(s, d, field), "chunk_row_id", "t", q, "question_id", "question_text", 10).select("question_id", "chunk_row_id", F.lit(field).alias("algorithm"), F.lit(weight).alias("weight"), "relevance")
-        hits = h if hits is None else hits.unionByName(h)
-    return retrieval.merge_hits(hits, "question_id", "chunk_row_id", 5)
+    """Documents by the words and by the vectors of every fiftieth one: its first
+    sentence asks the lexical side, its vector the other."""
+    e = table(s, d, "embeddings")
+    docs = _docs(s, d).where("text IS NOT NULL").select("doc_id", "text")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.get(T.sentences("text"), F.lit(0)).alias("q")).where("q IS NOT NULL")
+    one = lambda hits, name, weight: hits.select("query", "doc_id", F.lit(name).alias("algorithm"), F.lit(weight).alias("weight"), "relevance")
+    words = retrieval.bm25_plus(docs, "doc_id", "text", asked, "query", "q", 10)
+    vectors = retrieval.vector_top_k(e.withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "doc_id"), 10)
+    return retrieval.merge_hits(one(words, "BM25+", 1.0).unionByName(one(vectors, "vectors", 0.5)), "query", "doc_id", 5)
 
 
 def _qa(s, d):
@@ -267,6 +280,38 @@ def adaptive_boundaries(s, d):
     return total.select("source_document", "n_chunks", F.array_join(summarize.adaptive_boundaries(F.col("n_chunks")), ",").alias("boundaries"))
 
 
+def summary_modes(s, d):
+    total = _work(s, d).groupBy("source_document").agg(F.max("chunk_num").alias("n_chunks"))
+    modes = [total.select("source_document", F.lit(m).alias("mode"), F.array_join(summarize.boundaries(F.col("n_chunks"), m), ",").alias("boundaries")) for m in ("deep", "fixed", "adaptive")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
+def feedback_log(s, d):
+    """The log written in two goes to a shared folder and read again."""
+    log = feedback.redelivered_once(table(s, d, "vocab_feedback"))
+    path = f"{shared_dir(s)}/feedback-{uuid.uuid4().hex}"
+    sinks.append_feedback(log.where("feedback > 0"), path)
+    sinks.append_feedback(log.where("NOT feedback > 0 OR feedback IS NULL"), path)
+    return sinks.read_feedback(s, path).groupBy("feedback").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("n_documents"), F.max("feedback_ts").alias("newest"))
+
+
+def combined_documents(s, d):
+    c = corpus.combined_texts(_docs(s, d), "case_id", "doc_id", "text", "doc_id")
+    return c.select("case_id", "position", F.length("part").alias("n_chars"), F.md5("part").alias("hash"))
+
+
+def corpus_preprocessed(s, d):
+    t = _docs(s, d).where("text IS NOT NULL").select("doc_id", T.sanitize(fix_garbled("text")).alias("text")).transform(preprocess.default_pipeline("doc_id", "text"))
+    return t.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("hash"))
+
+
+def sanitized_whole(s, d):
+    """Every stage: garbled sequences, plain letters, redactions, controls, white space."""
+    t = _work(s, d).where("chunk_text IS NOT NULL").select("chunk_row_id", "chunk_text", F.xxhash64("chunk_text").alias("h")).dropDuplicates(["chunk_row_id", "h"])
+    t = t.select("chunk_row_id", "chunk_text", fix_garbled("chunk_text").alias("fixed")).withColumn("n", T.sanitize_counts("fixed"))
+    return t.select("chunk_row_id", (F.col("fixed") != F.col("chunk_text")).alias("garbled"), "n.redacted", "n.control", "n.private", F.md5(T.sanitize(plain_ascii("fixed"))).alias("hash"))
+
+
 def chunk_contexts(s, d):
     cols = ["source_document", "chunk_num", "chunk_summary", "progressive_summary"]
     c = summarize.contexts(_work(s, d).select(*cols).distinct())
@@ -299,8 +344,8 @@ def split_chunks(s, d):
 
 
 def chunks_by_document(s, d):
-    once = _work(s, d).select("source_document", "chunk_row_id", "chunk_num").distinct()
-    return once.groupBy("source_document").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_num", "chunk_row_id"))), lambda x: x["chunk_row_id"].cast("string")), ",").alias("chunk_ids"))
+    once = _work(s, d).where("source_document IS NOT NULL").select("source_document", "chunk_row_id", "chunk_num").distinct()
+    return ordinal(once, ["source_document"], ["chunk_num", "chunk_row_id"], F.floor(F.col("chunk_num") / 65536), "position")
 
 
 def event_windows(s, d):
@@ -349,7 +394,8 @@ def names_section(s, d):
 
 
 def parsed_responses(s, d):
-    return briefing.parsed_responses(table(s, d, "chunk_extraction"))
+    p = briefing.parsed_responses(table(s, d, "chunk_extraction"))
+    return p.select("chunk_id", "state", "n_chars", F.size(F.coalesce("record.names_mentioned", F.array())).alias("n_names"), F.coalesce(F.array_join("record.allegations", "|"), F.lit("")).alias("allegations"))
 
 
 def recent_summaries(s, d):
@@ -376,16 +422,17 @@ def processing_times(s, d):
 
 def answer_contexts(s, d):
     answers = _qa(s, d).select("qa_id", "sources").distinct()
-    chunks = _work(s, d).select(F.col("source_document").alias("filename"), "chunk_num", F.col("chunk_text").alias("text")).distinct()
+    chunks = _work(s, d).select(F.col("source_document").alias("filename"), "chunk_num", F.col("chunk_text").alias("text"), F.xxhash64("chunk_text").alias("h")).dropDuplicates(["filename", "chunk_num", "h"]).drop("h")
     return qa.contexts(answers, chunks, "qa_id").select("qa_id", "n_chunks", F.md5("context").alias("context"))
 
 
 def chunk_summaries(s, d):
-    return summarize.lead_summaries(_work(s, d), "chunk_row_id", "chunk_text").distinct()
+    once = _work(s, d).select("chunk_row_id", "chunk_text", F.xxhash64("chunk_text").alias("h")).dropDuplicates(["chunk_row_id", "h"])
+    return summarize.lead_summaries(once, "chunk_row_id", "chunk_text")
 
 
 def document_summaries(s, d):
-    return summarize.lead_summaries(_docs(s, d), "doc_id", "text", 200)
+    return summarize.spread_summaries(_docs(s, d), "doc_id", "text", 200)
 
 
 def reading_methods(s, d):
@@ -426,6 +473,6 @@ QUERIES = {
         briefing_parties, briefing_dates, briefing_vocabulary, case_types, briefing_stats, people_by_category, briefing_openings, allegations_deduplicated, section_runs, section_boundaries,
         adaptive_boundaries, chunk_contexts, reduce_batches, summary_metadata, section_chunks, brief_chunks, split_chunks, chunks_by_document, event_windows, event_sessions,
         dictionary_confidence, transliterated_text, place_relevance, entity_filter, terms_without_disliked, briefing_narratives, names_section, parsed_responses, recent_summaries, success_rates, prompt_budgets, debug_rows, processing_times,
-        answer_contexts, chunk_summaries, document_summaries, reading_methods, corpus_vocabulary, corpus_combined, people_merged, briefing_sheets, chunk_ids,
+        unusual_words, summary_modes, feedback_log, combined_documents, corpus_preprocessed, sanitized_whole, answer_contexts, chunk_summaries, document_summaries, reading_methods, corpus_vocabulary, corpus_combined, people_merged, briefing_sheets, chunk_ids,
     )
 }

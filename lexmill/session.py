@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,10 +34,13 @@ _OWN_DIRS: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors reach, as the cluster names it in
-    ``spark.checkpoint.dir``; a temporary one where none is set (tests)."""
+    ``spark.checkpoint.dir``; a temporary one only in local mode, where the driver
+    is the only executor.  A cluster that names none is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -51,4 +56,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where each materialized table lies, for as long as it is used.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``: the steps of a loop, once nothing
+    reads them any more."""
+    if path := _PATHS.pop(df, None):
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

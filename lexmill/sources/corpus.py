@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-
-
-def safe_name(name: Column) -> Column:
-    return F.regexp_replace(F.trim(name), r'[<>:"/\\|?*]', "_")
+from ..operators.ranks import ordinal
 
 
 def status(documents: DataFrame, group: str) -> DataFrame:
@@ -54,3 +51,11 @@ def reading_method(confidence: Column, length: Column) -> Column:
     """``digital`` if the text layer of a page file is good enough to keep (most
     words known and not too short), else ``ocr``."""
     return F.when((confidence > C.DIGITAL_CONFIDENCE) & (length > C.DIGITAL_LENGTH), "digital").otherwise("ocr")
+
+
+def combined_texts(documents: DataFrame, group: str, key: str, text: str, name: str, block: int = 65536) -> DataFrame:
+    """group, position, part: the non-empty texts of a group in order, each under
+    ``--- name ---``.  Parts are rows: joined with blank lines between them they are
+    the combined text, which no single row has to hold."""
+    rows = documents.where((F.length(text) > 0) & F.col(group).isNotNull()).select(group, key, F.concat(F.lit("--- "), F.col(name).cast("string"), F.lit(" ---\n"), text).alias("part"))
+    return ordinal(rows, [group], [key], F.floor(F.col(key) / block), "position").select(group, "position", "part")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,19 @@ def vocabulary_csv(vocab: DataFrame, path: str, layout: str = "all") -> None:
     vocab.select(*cols).write.mode("overwrite").option("header", "true").csv(path)
 
 
+FEEDBACK_SCHEMA = "feedback_ts timestamp_ntz, document_id string, term string, feedback int, term_type string, algorithms string, quality_score double, in_case_freq int, freq_rank int"
+
+
+def append_feedback(log: DataFrame, path: str) -> None:
+    """Rows added to a feedback log; the columns are those of ``FEEDBACK_SCHEMA``."""
+    names = [c.split(" ")[0] for c in FEEDBACK_SCHEMA.split(", ")]
+    log.select(*names).write.mode("append").parquet(path)
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FEEDBACK_SCHEMA).parquet(path)
+
+
 def chunk_store(chunks: DataFrame, path: str, case: str = "case_id") -> None:
     """Chunks by case, so that one case is read without the others."""
     chunks.repartition(case, F.pmod(F.xxhash64(*chunks.columns[:2]), F.lit(8))).write.mode("append").partitionBy(case).parquet(path)

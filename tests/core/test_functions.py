@@ -76,4 +76,9 @@ def test_unicode(spark):
     from lexmill.functions import unicode as U
 
     assert one(spark, lambda c: U.plain_ascii(F.col(c)), "Ｃａfé “naïve” Łódź – ½") == 'Cafe "naive" Lodz - 1⁄2'
-    assert one(spark, lambda c: U.nfkc(F.col(c)), None) is None
+    assert one(spark, lambda c: U.plain_ascii(F.col(c)), None) is None
+    assert one(spark, lambda c: U.plain_ascii(F.col(c)), "Ⅳ ﬁn — “ß” Æ… Привет 日本") == 'IV fin -- "ss" AE... Привет 日本'
+    assert one(spark, lambda c: U.plain_ascii(F.col(c)), "e\u0301") == "e"
+    assert one(spark, lambda c: U.fix_garbled(F.col(c)), "CafÃ© â€“ â€œÃ±andÃºâ€™s São") == "Café – “ñandú’s São"
+    for text in ("Vila Âncora", "SÃO", "", "plain"):
+        assert one(spark, lambda c: U.fix_garbled(F.col(c)), text) == text
