@@ -68,22 +68,41 @@ def dedup_text(df: DataFrame, field: str) -> DataFrame:
     return rows.join(gone.select("case_id", "norm").distinct(), ["case_id", "norm"], "left_anti").select("case_id", "value")
 
 
+def openings(df: DataFrame) -> DataFrame:
+    """case_id, position, part: the first sentence of each case's briefing, in parts
+    that make it up when put together in order.
+
+    A case may have any number of parties, so each party is a row, with the words
+    before it and the stop behind the last; no row holds a whole list.
+    """
+    kind = case_type_vote(df).select("case_id", F.concat(F.lit("This is a "), F.col("case_type"), F.lit(" case")).alias("head"))
+    sides = {}
+    for side in ("plaintiffs", "defendants"):
+        rows = parties(df, side).where("case_id IS NOT NULL")
+        sides[side] = ordinal(rows, ["case_id"], ["name", "norm"], F.substring("name", 1, 2), "i"), rows.groupBy("case_id").agg(F.count(F.lit(1)).alias(f"n_{side}"))
+    n = kind.select("case_id", "head")
+    for _, counts in sides.values():
+        n = n.join(counts, "case_id", "left")
+    n = materialize(n.na.fill(0, ["n_plaintiffs", "n_defendants"]), "sides")
+    first = n.select("case_id", F.lit(0).cast("bigint").alias("position"), F.concat("head", F.when(F.col("n_plaintiffs") == 0, ".").when(F.col("n_defendants") == 0, " involving ").otherwise(" brought by ")).alias("part"))
+
+    def listed(side: str, offset: Column, ends: Column, lead: str) -> DataFrame:
+        many, i = F.col(f"n_{side}"), F.col("i")
+        word = F.when(i == 0, lead).when(i < many - 1, ", ").when(many == 2, " and ").otherwise(", and ")
+        stop = F.when((i == many - 1) & ends, ".").otherwise("")
+        return sides[side][0].join(n.where("n_plaintiffs > 0"), "case_id").select("case_id", (offset + i).alias("position"), F.concat(word, "name", stop).alias("part"))
+
+    left = listed("plaintiffs", F.lit(1), F.col("n_defendants") == 0, "")
+    right = listed("defendants", F.col("n_plaintiffs") + 1, F.lit(True), " against ")
+    return first.unionByName(left).unionByName(right)
+
+
 def sentence_list(items, conjunction: str = "and"):
-    """``a``, ``a and b``, ``a, b, and c`` of an array column."""
+    """``a``, ``a and b``, ``a, b, and c`` of a short array column."""
     n = F.size(items)
     return F.when(n == 0, "").when(n == 1, F.get(items, F.lit(0))).when(n == 2, F.array_join(items, f" {conjunction} ")).otherwise(F.concat(F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(f", {conjunction} "), F.element_at(items, -1)))
 
 
-def openings(df: DataFrame) -> DataFrame:
-    """case_id, narrative: the first sentence of each case's briefing."""
-    side = lambda s: parties(df, s).groupBy("case_id").agg(F.sort_array(F.collect_list("name")).alias(s))
-    rows = case_type_vote(df).join(side("plaintiffs"), "case_id", "left").join(side("defendants"), "case_id", "left")
-    p, d = (F.coalesce(c, F.array().cast("array<string>")) for c in ("plaintiffs", "defendants"))
-    head = F.concat(F.lit("This is a "), F.col("case_type"), F.lit(" case"))
-    text = F.when((F.size(p) > 0) & (F.size(d) > 0), F.concat(head, F.lit(" brought by "), sentence_list(p), F.lit(" against "), sentence_list(d), F.lit("."))).when(F.size(p) > 0, F.concat(head, F.lit(" involving "), sentence_list(p), F.lit("."))).otherwise(F.concat(head, F.lit(".")))
-    return rows.select("case_id", text.alias("narrative"))
-
-
 def firsts(df: DataFrame, field: str, n: int) -> DataFrame:
     """case_id and the first ``n`` distinct values of a list, in order.  Ranked
     before they are collected, so a list never holds more than ``n``."""
@@ -93,21 +112,21 @@ def firsts(df: DataFrame, field: str, n: int) -> DataFrame:
 
 
 def narratives(df: DataFrame) -> DataFrame:
-    """case_id, narrative: the opening, key allegations (5), defences (3), facts
-    (5) and dates (5) in fixed sentences."""
-    rows = openings(df).withColumnRenamed("narrative", "opening")
-    for field, n in (("allegations", 5), ("defenses", 3), ("key_facts", 5), ("dates_mentioned", 5)):
-        rows = rows.join(firsts(df, field, n), "case_id", "left")
+    """case_id, paragraph, position, part: the opening (paragraph 0, in parts), key
+    allegations (1, five), defences (2, three), facts (3, five) and dates (4, five) in
+    fixed sentences.  Paragraphs that have nothing to say are left out."""
+    out = openings(df).select("case_id", F.lit(0).alias("paragraph"), "position", "part")
     dashes = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
-    listed = lambda c, one, many: F.when(F.size(c) == 1, F.concat(F.lit(one), F.lower(F.get(c, F.lit(0))))).when(F.size(c) > 1, F.concat(F.lit(many + "\n"), dashes(c)))
-    parts = [
-        F.col("opening"),
-        listed(F.col("allegations"), "The plaintiff alleges that ", "The key allegations in this case include:"),
-        listed(F.col("defenses"), "The defendant contends that ", "The defense asserts:"),
-        F.when(F.size("key_facts") > 0, F.concat(F.lit("Key facts include:\n"), dashes(F.col("key_facts")))),
-        F.when(F.size("dates_mentioned") > 0, F.concat(F.lit("Relevant dates: "), sentence_list(F.col("dates_mentioned")))),
+    said = lambda c, one, many: F.when(F.size(c) == 1, F.concat(F.lit(one), F.lower(F.get(c, F.lit(0))))).otherwise(F.concat(F.lit(many + "\n"), dashes(c)))
+    texts = [
+        ("allegations", 5, lambda c: said(c, "The plaintiff alleges that ", "The key allegations in this case include:")),
+        ("defenses", 3, lambda c: said(c, "The defendant contends that ", "The defense asserts:")),
+        ("key_facts", 5, lambda c: F.concat(F.lit("Key facts include:\n"), dashes(c))),
+        ("dates_mentioned", 5, lambda c: F.concat(F.lit("Relevant dates: "), sentence_list(c))),
     ]
-    return rows.select("case_id", F.concat_ws("\n\n", *parts).alias("narrative"))
+    for i, (field, n, text) in enumerate(texts, 1):
+        out = out.unionByName(firsts(df, field, n).select("case_id", F.lit(i).alias("paragraph"), F.lit(0).cast("bigint").alias("position"), text(F.col(field)).alias("part")))
+    return out
 
 
 def names_section(df: DataFrame) -> DataFrame:
@@ -204,47 +223,46 @@ def merged_people(df: DataFrame) -> DataFrame:
     return top.join(spellings, ["case_id", "head"]).select("case_id", F.col("b.name").alias("name"), F.col("r.role").alias("role"), F.col("c.category").alias("category"), "n_spellings", "n_mentions")
 
 
-def _listed(items: DataFrame, order: list, cap: int) -> DataFrame:
-    """case_id, kept (the first ``cap`` values), n (all): ranked before they are
-    collected."""
-    n = items.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("case_id").orderBy(*order)
-    top = items.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
-    kept = top.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]).alias("kept"))
-    return kept.join(n, "case_id")
-
-
 def sheets(df: DataFrame) -> DataFrame:
-    """case_id, sheet: the briefing sheet of each case as text.  Lists hold ten
-    items (thirty terms) and say how many more there are."""
-    rows = case_type_vote(df).select("case_id", F.when(F.col("case_type") == "unknown", "CASE TYPE: Not determined").otherwise(F.concat(F.lit("CASE TYPE: "), F.initcap("case_type"))).alias("kind"))
-    rows = rows.join(narratives(df), "case_id", "left")
-    more = lambda n, cap, what="": F.when(F.col(n) > cap, F.concat(F.lit("\n  ... and "), F.col(n) - cap, F.lit(f" more{what}"))).otherwise("")
-
-    def add(items: DataFrame, order: list, cap: int, name: str) -> None:
-        nonlocal rows
-        rows = rows.join(_listed(items, order, cap).withColumnsRenamed({"kept": name, "n": f"n_{name}"}), "case_id", "left")
+    """case_id, section, position, line: the briefing sheet of each case, line by line.
 
-    for side in ("plaintiffs", "defendants"):
-        add(parties(df, side).select("case_id", F.col("name").alias("value")), ["value"], 10, side)
-    for field in ("allegations", "defenses"):
-        add(first_seen(df, field), ["first"], 10, field)
-    add(first_seen(df, "vocabulary").select("case_id", "value", "norm"), ["norm"], 30, "terms")
-    w = W.partitionBy("case_id", "section").orderBy("position")
-    place = {v: i for i, v in enumerate(C.CATEGORY_NAMES.values())}
-    order = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
-    people = names_section(df).where("position <= 10").withColumn("p", F.row_number().over(w)).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(order[F.col("section")], F.lit(99)).alias("o"), "section", "p", "line"))).alias("people"))
-    rows = rows.join(people, "case_id", "left")
-    head = lambda t: F.lit(f"{t}\n{'-' * len(t)}")
-    party = lambda c, label: F.concat(F.lit(f"{label}: "), F.when(F.size(c) > 0, F.concat(F.array_join(c, ", "), more(f"n_{c}", 10))).otherwise("Not identified"))
+    Sections: 0 title, 1 case type, 2 plaintiffs, 3 defendants, 4 what happened (the
+    parts of the narrative's paragraphs), 5 allegations, 6 defences, 7 names, 8
+    vocabulary.  All parties are given; allegations and defences (ten), names (ten of a
+    category) and terms (thirty) say how many more there are.  No row holds a list.
+    """
+    cases = df.select("case_id").where("case_id IS NOT NULL").distinct()
+    row = lambda d, section, position, line: d.select("case_id", F.lit(section).alias("section"), position.cast("bigint").alias("position"), line.alias("line"))
+    kind = case_type_vote(df).where("case_id IS NOT NULL")
+    out = row(cases, 0, F.lit(0), F.lit("CASE BRIEFING SHEET")).unionByName(row(kind, 1, F.lit(0), F.when(F.col("case_type") == "unknown", "CASE TYPE: Not determined").otherwise(F.concat(F.lit("CASE TYPE: "), F.initcap("case_type")))))
+    titles = {2: "PARTIES", 4: "WHAT HAPPENED", 5: "ALLEGATIONS", 6: "DEFENSES", 7: "NAMES TO KNOW", 8: "VOCABULARY"}
+    for section, t in titles.items():
+        out = out.unionByName(row(cases, section, F.lit(-2), F.lit(t))).unionByName(row(cases, section, F.lit(-1), F.lit("-" * len(t))))
+
+    def add(items: DataFrame, section: int, none: str) -> None:
+        nonlocal out
+        out = out.unionByName(items).unionByName(row(cases.join(items.select("case_id").distinct(), "case_id", "left_anti"), section, F.lit(0), F.lit(none)))
+
+    def top(items: DataFrame, section: int, order: list[str], cap: int, line, what: str, none: str) -> None:
+        block = F.substring("norm", 1, 1) if order == ["norm"] else F.floor(F.col("first.chunk_id") / 4096)
+        placed = ordinal(items.where("case_id IS NOT NULL"), ["case_id"], order, block, "i")
+        more = items.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
+        kept = row(placed.where(F.col("i") < cap), section, F.col("i"), line)
+        add(kept.unionByName(row(more, section, F.lit(cap), F.concat(F.lit("  ... and "), (F.col("n") - cap).cast("string"), F.lit(f" more{what}")))), section, none)
+
+    for section, (side, label) in ((2, ("plaintiffs", "Plaintiff(s): ")), (3, ("defendants", "Defendant(s): "))):
+        named = ordinal(parties(df, side).where("case_id IS NOT NULL"), ["case_id"], ["name", "norm"], F.substring("name", 1, 2), "i")
+        add(row(named, section, F.col("i"), F.concat(F.lit(label), "name")), section, label + "Not identified")
+    told = narratives(df).where("case_id IS NOT NULL")
+    out = out.unionByName(row(told, 4, F.col("paragraph") * F.lit(1 << 40) + F.col("position"), F.col("part")))
     short = lambda x: F.when(F.length(x) <= 200, x).otherwise(F.concat(F.substring(x, 1, 197), F.lit("...")))
-    numbered = lambda c: F.when(F.size(c) > 0, F.concat(F.array_join(F.transform(c, lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), short(x))), "\n"), more(f"n_{c}", 10))).otherwise("None identified in documents.")
-    known = F.when(F.size("people") > 0, F.array_join(F.transform("people", lambda x: F.concat(F.when(x["p"] == 1, F.concat(F.lit("\n  "), x["section"], F.lit(":\n"))).otherwise(""), F.lit("    - "), x["line"])), "\n")).otherwise("No key individuals identified.")
-    terms = F.when(F.size("terms") > 0, F.concat(F.lit("  "), F.array_join("terms", ", "), more("n_terms", 30, " terms"))).otherwise("No unusual terminology identified.")
-    parts = [
-        F.lit("CASE BRIEFING SHEET"), F.col("kind"), F.concat_ws("\n", head("PARTIES"), party("plaintiffs", "Plaintiff(s)"), party("defendants", "Defendant(s)")),
-        F.concat_ws("\n", head("WHAT HAPPENED"), F.coalesce("narrative", F.lit("No narrative generated. Check document content."))),
-        F.concat_ws("\n", head("ALLEGATIONS"), numbered("allegations")), F.concat_ws("\n", head("DEFENSES"), numbered("defenses")),
-        F.concat_ws("\n", head("NAMES TO KNOW"), known), F.concat_ws("\n", head("VOCABULARY"), terms),
-    ]
-    return rows.select("case_id", F.concat_ws("\n\n", *parts).alias("sheet"))
+    numbered = F.concat(F.lit("  "), (F.col("i") + 1).cast("string"), F.lit(". "), short(F.col("value")))
+    for section, field in ((5, "allegations"), (6, "defenses")):
+        top(first_seen(df, field), section, ["first"], 10, numbered, "", "None identified in documents.")
+    place = F.create_map(*[F.lit(x) for i, v in enumerate(C.CATEGORY_NAMES) for x in (v, i)])
+    people = names_section(df).where("case_id IS NOT NULL AND position <= 10").withColumn("o", F.coalesce(place[F.col("category")], F.lit(len(C.CATEGORY_NAMES))) * 100)
+    heads = people.select("case_id", "o", "section").distinct()
+    lines = row(people, 7, F.col("o") + F.col("position"), F.concat(F.lit("    - "), "line")).unionByName(row(heads.groupBy("case_id", "o").agg(F.min("section").alias("title")), 7, F.col("o"), F.concat(F.lit("  "), "title", F.lit(":"))))
+    add(lines, 7, "No key individuals identified.")
+    top(first_seen(df, "vocabulary"), 8, ["norm"], 30, F.concat(F.lit("  "), "value"), " terms", "No unusual terminology identified.")
+    return out

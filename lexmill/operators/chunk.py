@@ -165,7 +165,7 @@ def brief_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
     return parts.select(key, F.posexplode(F.aggregate("ps", start, step, end)).alias("chunk_index", "c")).select(key, "chunk_index", F.col("c.text").alias("text"), F.length("c.text").alias("char_count"), F.col("c.hint").alias("section_hint"))
 
 
-def chunk_ids(chunks: DataFrame, doc: str, num: str, prefix: int = 5, block: int = 65536) -> DataFrame:
+def chunk_ids(chunks: DataFrame, doc: str, num: str, coarse: int = 3, fine: int = 8, block: int = 65536) -> DataFrame:
     """``chunks`` with chunk_id ``document_n``, n counting from 0 over all chunks
     in the order of documents and their chunks.
 
@@ -176,6 +176,6 @@ def chunk_ids(chunks: DataFrame, doc: str, num: str, prefix: int = 5, block: int
     """
     known = chunks.where(F.col(doc).isNotNull() & F.col(num).isNotNull())
     sizes = known.groupBy(doc).agg(F.count(F.lit(1)).alias("_size"))
-    first = starts(sizes, doc, "_size", F.substring(doc, 1, prefix), "_first").select(doc, "_first")
+    first = starts(sizes, doc, "_size", F.substring(doc, 1, coarse), F.substring(doc, 1, fine), "_first").select(doc, "_first")
     placed = ordinal(known, [doc], [num], F.floor(F.col(num) / block), "_n").join(first, doc)
     return placed.withColumn("chunk_id", F.concat(F.col(doc), F.lit("_"), (F.col("_first") + F.col("_n")).cast("string"))).drop("_first", "_n")

@@ -34,12 +34,15 @@ def running(df: DataFrame, group: list[str], order: str, value: str, block: Colu
     return inside.join(start, [*group, "_block"]).withColumn(name, F.col("_start") + F.col("_i")).drop("_block", "_start", "_i")
 
 
-def starts(sizes: DataFrame, order: str, size: str, block: Column, name: str = "start") -> DataFrame:
+def starts(sizes: DataFrame, order: str, size: str, coarse: Column, fine: Column, name: str = "start") -> DataFrame:
     """``sizes`` (one row for each value of ``order``) with the sum of the sizes
-    before it.  Summed inside blocks, whose totals are then summed; ``block`` must
-    not fall along the order and gives the number of tasks."""
-    rows = sizes.withColumn("_block", block)
-    totals = rows.groupBy("_block").agg(F.sum(size).alias("_n"))
-    whole = totals.select("_block", F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.coalesce(F.sum(size).over(W.partitionBy("_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_i", inside).join(whole, "_block").withColumn(name, F.col("_start") + F.col("_i")).drop("_block", "_start", "_i")
+    before it.  Summed inside fine blocks, whose totals are summed inside coarse ones,
+    whose totals, few as they are, are summed in one task.  Neither block may fall
+    along the order."""
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = sizes.select("*", coarse.alias("_a"), fine.alias("_b"), F.col(size).alias("_n"))
+    mid = rows.groupBy("_a", "_b").agg(F.sum("_n").alias("_n"))
+    top = mid.groupBy("_a").agg(F.sum("_n").alias("_n")).select("_a", earlier(W.orderBy("_a")).alias("_s1"))
+    mid = mid.select("_a", "_b", earlier(W.partitionBy("_a").orderBy("_b")).alias("_s2"))
+    inside = rows.withColumn("_s3", earlier(W.partitionBy("_a", "_b").orderBy(order)))
+    return inside.join(mid, ["_a", "_b"]).join(top, "_a").withColumn(name, F.col("_s1") + F.col("_s2") + F.col("_s3")).drop("_a", "_b", "_n", "_s1", "_s2", "_s3")

@@ -171,6 +171,18 @@ _F = {
 
 _OPTION_WORDS = "CASE lower(o.value) " + " ".join(f"WHEN '{v}' THEN {_list(w)}" for v, w in C.ANSWER_KEYWORDS.items()) + " ELSE [] END"
 
+_SIDES = f"v AS ({CASE_VOTE}), p AS (SELECT case_id, name, row_number() OVER (PARTITION BY case_id ORDER BY name, norm) - 1 AS i FROM ({parties('plaintiffs')})), d AS (SELECT case_id, name, row_number() OVER (PARTITION BY case_id ORDER BY name, norm) - 1 AS i FROM ({parties('defendants')}))"
+_OPENING = """(WITH n AS (SELECT case_id, 'This is a ' || case_type || ' case' AS head, (SELECT count(*) FROM p WHERE p.case_id = v.case_id) AS np, (SELECT count(*) FROM d WHERE d.case_id = v.case_id) AS nd FROM v)
+ SELECT case_id, 0::BIGINT AS position, head || CASE WHEN np = 0 THEN '.' WHEN nd = 0 THEN ' involving ' ELSE ' brought by ' END AS part FROM n
+ UNION ALL SELECT case_id, 1 + i, CASE WHEN i = 0 THEN '' WHEN i < np - 1 THEN ', ' WHEN np = 2 THEN ' and ' ELSE ', and ' END || name || CASE WHEN i = np - 1 AND nd = 0 THEN '.' ELSE '' END FROM p JOIN n USING (case_id)
+ UNION ALL SELECT case_id, 1 + np + i, CASE WHEN i = 0 THEN ' against ' WHEN i < nd - 1 THEN ', ' WHEN nd = 2 THEN ' and ' ELSE ', and ' END || name || CASE WHEN i = nd - 1 THEN '.' ELSE '' END FROM d JOIN n USING (case_id) WHERE np > 0)"""
+
+
+def _firsts(field: str, paragraph: int, n: int) -> str:
+    return f"""SELECT case_id, {paragraph} AS paragraph, value, rn FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seen) AS rn FROM (
+ SELECT case_id, norm, arg_min(value, (chunk_id, pos)) AS value, min((chunk_id, pos)) AS seen FROM (SELECT case_id, chunk_id, pos, trim(raw) AS value, lower(trim(raw)) AS norm FROM (SELECT case_id, chunk_id, unnest({field}) AS raw, generate_subscripts({field}, 1) AS pos FROM ex) WHERE trim(raw) <> '') GROUP BY case_id, norm)) WHERE rn <= {n}"""
+
+
 ORACLE_SQL = {
     "term_df": f"WITH {IDF} SELECT term, df FROM df",
     "idf": f"WITH {IDF} SELECT term, df, idf FROM idf",
@@ -243,8 +255,13 @@ ORACLE_SQL = {
     "people_by_category": f"""WITH {ONCE}, r AS (SELECT case_id, coalesce(upper(x.category), 'OTHER') AS category, trim(x.name) AS name, {normal_name('x.name')} AS norm FROM (SELECT case_id, unnest(names_mentioned) AS x FROM ex)),
  o AS (SELECT case_id, category, norm, first(name ORDER BY len(name) DESC, name DESC) AS name FROM r WHERE norm <> '' GROUP BY ALL)
  SELECT case_id, category, name FROM o""",
-    "briefing_openings": f"""WITH {ONCE}, v AS ({CASE_VOTE}), p AS (SELECT case_id, list(name ORDER BY name) AS p FROM ({parties('plaintiffs')}) GROUP BY case_id), d AS (SELECT case_id, list(name ORDER BY name) AS d FROM ({parties('defendants')}) GROUP BY case_id)
- SELECT case_id, 'This is a ' || case_type || ' case' || CASE WHEN p IS NOT NULL AND d IS NOT NULL THEN ' brought by ' || {_sentence_list('p')} || ' against ' || {_sentence_list('d')} || '.' WHEN p IS NOT NULL THEN ' involving ' || {_sentence_list('p')} || '.' ELSE '.' END AS narrative FROM v LEFT JOIN p USING (case_id) LEFT JOIN d USING (case_id)""",
+    "briefing_openings": f"WITH {ONCE}, {_SIDES} SELECT * FROM {_OPENING}",
+    "briefing_narratives": f"""WITH {ONCE}, {_SIDES}, f AS ({_firsts('allegations', 1, 5)} UNION ALL {_firsts('defenses', 2, 3)} UNION ALL {_firsts('key_facts', 3, 5)} UNION ALL {_firsts('dates_mentioned', 4, 5)}),
+ g AS (SELECT case_id, paragraph, list(value ORDER BY rn) AS c FROM f GROUP BY ALL)
+ SELECT case_id, 0 AS paragraph, position, part FROM {_OPENING} UNION ALL SELECT case_id, paragraph, 0, CASE paragraph
+ WHEN 1 THEN CASE WHEN len(c) = 1 THEN 'The plaintiff alleges that ' || lower(c[1]) ELSE 'The key allegations in this case include:' || chr(10) || array_to_string(list_transform(c, lambda x: '- ' || x), chr(10)) END
+ WHEN 2 THEN CASE WHEN len(c) = 1 THEN 'The defendant contends that ' || lower(c[1]) ELSE 'The defense asserts:' || chr(10) || array_to_string(list_transform(c, lambda x: '- ' || x), chr(10)) END
+ WHEN 3 THEN 'Key facts include:' || chr(10) || array_to_string(list_transform(c, lambda x: '- ' || x), chr(10)) ELSE 'Relevant dates: ' || {_sentence_list('c')} END FROM g""",
     "section_runs": _RUNS,
     "section_boundaries": f"SELECT source_document, last_chunk AS boundary FROM ({_RUNS}) WHERE n >= 3 AND NOT (run = 1 AND section = '') UNION SELECT source_document, max(chunk_num) FROM {_CHUNKS} GROUP BY source_document",
     "adaptive_boundaries": f"""SELECT source_document, n_chunks, array_to_string(list_sort(list_distinct(list_concat(list_filter([5, 10, 15, 20, 30, 40, 50, 60, 70, 80], lambda b: b <= n_chunks), list_filter(range(85, 100000, 5), lambda b: b <= n_chunks), [n_chunks]))), ',') AS boundaries FROM (SELECT source_document, max(chunk_num) AS n_chunks FROM {WORK} GROUP BY source_document)""",

@@ -386,7 +386,7 @@ def terms_without_disliked(s, d):
 
 
 def briefing_narratives(s, d):
-    return briefing.narratives(_once(s, d)).select("case_id", F.length("narrative").alias("n_chars"), F.md5("narrative").alias("hash"))
+    return briefing.narratives(_once(s, d))
 
 
 def names_section(s, d):
@@ -461,7 +461,7 @@ def people_merged(s, d):
 
 
 def briefing_sheets(s, d):
-    return briefing.sheets(_once(s, d)).select("case_id", F.length("sheet").alias("n_chars"), F.md5("sheet").alias("hash"))
+    return briefing.sheets(_once(s, d))
 
 
 QUERIES = {

@@ -178,7 +178,10 @@ def test_narratives(spark):
     rows = [(1, "c", {"plaintiffs": ["Ann Bly"], "defendants": ["Cox LLC", "Dee"]}, ["A pipe burst."], [], ["Fact one.", "Fact two."], ["May 4, 2020"], ["slip and fall"], True)]
     df = spark.createDataFrame(rows, f"chunk_id int, case_id string, parties {part}, allegations array<string>, defenses array<string>, key_facts array<string>, dates_mentioned array<string>, case_type_hints array<string>, extraction_success boolean")
     want = "This is a premises liability case brought by Ann Bly against Cox LLC and Dee.\n\nThe plaintiff alleges that a pipe burst.\n\nKey facts include:\n- Fact one.\n- Fact two.\n\nRelevant dates: May 4, 2020"
-    assert briefing.narratives(df).first().narrative == want
+    told = {}
+    for r in briefing.narratives(df).orderBy("paragraph", "position").collect():
+        told[r.paragraph] = told.get(r.paragraph, "") + r.part
+    assert "\n\n".join(told[k] for k in sorted(told)) == want
 
 
 def test_dictionary_confidence(spark):
@@ -224,10 +227,13 @@ def test_sheets(spark):
     schema = "case_id string, chunk_id bigint, parties struct<plaintiffs array<string>, defendants array<string>>, allegations array<string>, defenses array<string>, key_facts array<string>, dates_mentioned array<string>, case_type_hints array<string>, vocabulary array<string>, names_mentioned array<struct<name string, role string, category string>>"
     full = ("a", 1, (["Ann Low"], []), [f"claim {i:02}" for i in range(12)], ["x" * 201], [], [], ["medical malpractice"], [f"term{i:02}" for i in range(31)], [("Ann Low", "buyer", "PARTY")])
     bare = ("b", 2, None, None, None, None, None, None, None, None)
-    got = {r.case_id: r.sheet for r in briefing.sheets(spark.createDataFrame([full, bare], schema)).collect()}
+    got = {}
+    for r in briefing.sheets(spark.createDataFrame([full, bare], schema)).orderBy("section", "position").collect():
+        got.setdefault(r.case_id, []).append(r.line)
+    got = {k: "\n".join(v) for k, v in got.items()}
     a = got["a"]
-    assert "Plaintiff(s): Ann Low\nDefendant(s): Not identified" in a and "  10. claim 09\n  ... and 2 more" in a and "claim 10" not in a
-    assert "  1. " + "x" * 197 + "...\n" in a and "term29\n  ... and 1 more terms" in a and "  Parties:\n    - Ann Low (buyer)" in a
+    assert "PARTIES\n-------\nPlaintiff(s): Ann Low\nDefendant(s): Not identified" in a and "  10. claim 09\n  ... and 2 more" in a and "claim 10" not in a
+    assert "  1. " + "x" * 197 + "...\n" in a and "term29\n  ... and 1 more terms" in a and "term30" not in a and "  Parties:\n    - Ann Low (buyer)" in a
     assert "CASE TYPE: Not determined" in got["b"] and got["b"].count("None identified in documents.") == 2 and "No key individuals identified." in got["b"]
 
 
@@ -249,8 +255,8 @@ def test_chunk_ids_count_over_all_documents(spark):
     rows = [(d, n) for d in ("b1", "a", "b", "b22", "c") for n in (3, 1, 70000, 2)] + [(None, 1), ("a", None)]
     df = spark.createDataFrame(rows, "d string, n int").repartition(5)
     want = {r: f"{r[0]}_{i}" for i, r in enumerate(sorted(r for r in rows if None not in r))}
-    for prefix in (1, 2, 5):
-        assert {(r.d, r.n): r.chunk_id for r in chunk.chunk_ids(df, "d", "n", prefix, 2).collect()} == want
+    for coarse, fine in ((1, 1), (1, 2), (2, 5)):
+        assert {(r.d, r.n): r.chunk_id for r in chunk.chunk_ids(df, "d", "n", coarse, fine, 2).collect()} == want
     assert chunk.chunk_ids(df.limit(0), "d", "n").collect() == []
 
 
