@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import constants as C
+from ..functions import unicode as U
 
 WORK = "summarization_20251116_215704"
 
@@ -72,6 +73,25 @@ def title_score(x: str) -> str:
     return f"({points})"
 
 
+def pages(x: str) -> str:
+    gaps = rf"string_split_regex({x}, '\n{{4,}}|\n\s*-{{10,}}\s*\n')"
+    full = lambda a: f"list_filter({a}, lambda p: {strip('p')} <> '')"
+    return f"CASE WHEN contains({x}, chr(12)) THEN {full(f'string_split({x}, chr(12))')} WHEN len({gaps}) > 1 THEN {full(gaps)} WHEN len({x}) > 3000 THEN [substr({x}, 1, 2000), substr({x}, 2001)] ELSE [{x}] END"
+
+
+def _many(x: str) -> str:
+    for a, b in U.MULTIPLE.items():
+        x = f"replace({x}, {_q(a)}, {_q(b)})"
+    return x
+
+
+def untitled(table: str, key: str, text: str) -> str:
+    """key, n_pages, t: the text without its title pages."""
+    score = f"{title_score('p')} + CASE WHEN len({strip('p')}) < 500 AND {title_score('p')} > 0 THEN 1 ELSE 0 END"
+    return f"""SELECT {key}, len(ps) AS n_pages, CASE WHEN len(ps) > 1 THEN array_to_string(list_transform(list_filter(list_zip(ps, range(1, len(ps) + 1), ss), lambda z: z[2] > {C.TITLE_PAGES_LOOKED_AT} OR z[3] < {C.TITLE_PAGE_SCORE}), lambda z: z[1]), chr(10) || chr(10)) ELSE x END AS t
+ FROM (SELECT {key}, x, ps, list_transform(ps, lambda p: {score}) AS ss FROM (SELECT {key}, {text} AS x, {pages(text)} AS ps FROM {table} WHERE {text} IS NOT NULL))"""
+
+
 def first_label(x: str, rules: list[tuple[str, str]], wrap: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({x}, {_q(wrap.format(p))}) THEN '{label}'" for p, label in rules) + " END"
 
@@ -203,6 +223,13 @@ ORACLE_SQL = {
  l AS (SELECT chunk_row_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM w), m AS (SELECT *, {_NORM_LINE} AS norm FROM l),
  g AS (SELECT *, norm <> '' AND count(*) OVER p >= {C.MIN_HEADER_OCCURRENCES} AND bool_or(len({strip('line')}) <= {C.MAX_HEADER_LENGTH} AND {strip('line')} <> '' AND regexp_matches(line, {_q(_HEADER)})) OVER p AS gone FROM m WINDOW p AS (PARTITION BY chunk_row_id, norm))
  SELECT chunk_row_id, count(*) FILTER (gone)::INT AS n_removed, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS hash FROM g GROUP BY chunk_row_id""",
+    "title_pages_removed": f"SELECT doc_id, n_pages, len(t) AS n_chars FROM ({untitled('documents', 'doc_id', 'text')})",
+    "preprocessed_text": f"""WITH w AS (SELECT DISTINCT chunk_row_id, t FROM ({untitled(WORK, 'chunk_row_id', 'chunk_text')})), v AS (SELECT chunk_row_id, string_split(t, chr(10)) AS ls FROM w),
+ l AS (SELECT chunk_row_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM v), m AS (SELECT *, {_NORM_LINE} AS norm FROM l),
+ g AS (SELECT *, norm <> '' AND count(*) OVER p >= {C.MIN_HEADER_OCCURRENCES} AND bool_or(len({strip('line')}) <= {C.MAX_HEADER_LENGTH} AND {strip('line')} <> '' AND regexp_matches(line, {_q(_HEADER)})) OVER p AS gone FROM m WINDOW p AS (PARTITION BY chunk_row_id, norm)),
+ h AS (SELECT chunk_row_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t FROM g GROUP BY chunk_row_id), n AS (SELECT chunk_row_id, {without_numbers('t')} AS t FROM h), c AS (SELECT chunk_row_id, {converted('t')} AS t FROM n)
+ SELECT chunk_row_id, len(t) AS n_chars, md5(t) AS hash FROM c""",
+    "transliterated_text": f"""SELECT doc_id, len(t) AS n_chars, md5(t) AS hash, t <> text AS changed FROM (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN regexp_replace(translate({_many('text')}, {_q(''.join(U.SINGLE))}, {_q(''.join(U.SINGLE.values()))}), '\\p{{M}}', '', 'g') ELSE text END AS t FROM documents WHERE text IS NOT NULL)""",
     "title_scores": f"SELECT DISTINCT chunk_row_id, s + CASE WHEN s > 0 AND len({strip('chunk_text')}) < 500 THEN 1 ELSE 0 END AS score FROM (SELECT chunk_row_id, chunk_text, {title_score('chunk_text')} AS s FROM {WORK} WHERE chunk_text IS NOT NULL)",
     "document_types": f"""SELECT DISTINCT chunk_row_id, CASE WHEN contains(f, 'complaint') THEN 'complaint' WHEN contains(f, 'answer') THEN 'answer' WHEN contains(f, 'transcript') OR contains(f, 'depo') THEN 'transcript' WHEN contains(f, 'bill') AND contains(f, 'particulars') THEN 'bill_of_particulars'
  ELSE coalesce({first_label('substr(chunk_text, 1, 5000)', C.DOC_TYPE_PATTERNS, '(?i)(?:{})')}, 'unknown') END AS document_type, {first_label('substr(chunk_text, 1, 200)', C.SECTION_PATTERNS, '(?im)^\\s*(?:{})')} AS section
@@ -301,6 +328,8 @@ ORACLE_SQL |= {
  k AS (SELECT doc_id, ss, greatest(1, ceil(coalesce(list_sum(list_transform(ss, lambda s: len(string_split(s, ' ')))), 0) / 200))::INT AS k FROM a)
  SELECT doc_id, array_to_string(list_filter(ss, lambda x, i: (i - 1) % k = 0), ' ') AS summary FROM k""",
     "event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
+    "event_sessions": """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM
+ (SELECT *, coalesce((ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE)::INT, 1) AS fresh FROM events)) GROUP BY user_id, g""",
     "summary_modes": f"""WITH t AS (SELECT source_document, max(chunk_num) AS n FROM {WORK} GROUP BY source_document)
  SELECT source_document, 'deep' AS mode, array_to_string(range(1, n + 1), ',') AS boundaries FROM t UNION ALL SELECT source_document, 'fixed', array_to_string(list_sort(list_distinct(list_concat(range(5, n + 1, 5), [n]))), ',') FROM t
  UNION ALL SELECT source_document, 'adaptive', array_to_string(list_sort(list_distinct(list_concat(list_filter([5, 10, 15, 20, 30, 40, 50, 60, 70, 80], lambda b: b <= n), list_filter(range(85, 100000, 5), lambda b: b <= n), [n]))), ',') FROM t""",
