@@ -75,7 +75,10 @@ _PARTICLE = frozenset("de la las los del van von der den di da du le el ter bin
 
 def plain(text: str) -> str:
     """Lower case without accents; ligated letters spelled out."""
-    t = text.lower().replace("ł", "l").replace("ø", "o").replace("ß", "ss").replace("æ", "ae").replace("đ", "d").replace("’", "'").replace("`", "'")
+    t = text.lower()
+    if t.isascii():
+        return t.replace("`", "'")
+    t = t.replace("ł", "l").replace("ø", "o").replace("ß", "ss").replace("æ", "ae").replace("đ", "d").replace("’", "'").replace("`", "'")
     return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
 
 
@@ -166,6 +169,19 @@ def _letters(text: str) -> str:
     return re.sub(r"[^a-z]", "", text)
 
 
+_BY_LENGTH: dict[int, list[str]] = {}
+for _w in BUSINESS:
+    for _n in range(len(_w) - 2, len(_w) + 3):  # no closer forms are longer or shorter
+        _BY_LENGTH.setdefault(_n, []).append(_w)
+
+
+@lru_cache(200_000)
+def _business(word: str) -> str | None:
+    """The word of business that a word is a typed form of."""
+    # close forms keep one of their ends
+    return next((b for b in _BY_LENGTH.get(len(word), ()) if (b[0] == word[0] or b[-1] == word[-1]) and alike(word, b)), None)
+
+
 @lru_cache(100_000)
 def parse(raw: str) -> Name:
     text = re.sub(r"\s+", " ", raw).strip()
@@ -180,7 +196,7 @@ def parse(raw: str) -> Name:
     joined = [w.replace("'", "") for w in nothe]
     is_org = "and" in joined or any(w in LEGAL and w != "co" or _LONG.get(w, w) in BUSINESS and w not in ("med", "ind", "home") for w in joined[1:])
     if not is_org and len(joined) >= 2:
-        is_org = sum(any(alike(w, b) for b in BUSINESS) for w in joined[1:] if len(w) > 4) >= 1 and joined[0] not in GIVEN
+        is_org = joined[0] not in GIVEN and any(_business(w) for w in joined[1:] if len(w) > 4)
     tokens = text.replace(",", " ").split()
     acronym = _letters(joined[0]) if joined else ""
     if not is_org and len(tokens) == 1 and text.isupper() and 2 <= len(acronym) <= 4 and len(joined) == 1:
@@ -207,10 +223,7 @@ def _fix_business(w: str) -> str:
         return {"incorporated": "inc", "corporation": "corp", "limited": "ltd"}.get(w, w)
     if w in _LONG:
         return _LONG[w]
-    for b in BUSINESS:
-        if len(w) > 4 and alike(w, b):
-            return b
-    return w
+    return len(w) > 4 and _business(w) or w
 
 
 def _person(text: str, low: str) -> Name:
@@ -490,7 +503,7 @@ def links(names: DataFrame) -> DataFrame:
     def judge(rows):
         for scope, k, a, b in rows:
             x, y = _keys(a), _keys(b)
-            if k == min(h for h in x.keys() & y.keys() if x[h] or y[h]) and (link := same(parse(a), parse(b))):
+            if all(h >= k or not (x[h] or y[h]) for h in x.keys() & y.keys()) and (link := same(parse(a), parse(b))):
                 yield scope, a, b, link
 
     tasks = max(1, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
