@@ -25,6 +25,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -479,7 +481,7 @@ def _labelled(edges: DataFrame) -> DataFrame:
             return label.select("node", F.col("label").alias("component"))
 
 
-#: Members of a block that are compared in one place; larger blocks are spread.
+#: Members of a block, or of a part of a larger one, that are compared in one place.
 HEAVY = 256
 
 
@@ -487,11 +489,11 @@ def links(names: DataFrame) -> DataFrame:
     """scope, name_a, name_b, link ("firm" or "weak") of the compared pairs.
 
     Candidates share a blocking key within a scope, and one of them asks there.  A
-    block is joined by its key, never collected; a block with more than ``HEAVY``
-    members is spread by salts on one side, so that none is one task.  A pair that
+    block with more than ``HEAVY`` members is cut into salts, and each salt meets each
+    other, so that no task holds more than two of them and no pair is lost.  A pair that
     shares several keys is compared under the smallest of them only, so that
     candidates need no shuffle to be made unique; one whose given names can't begin
-    alike never reaches Python.
+    alike is not compared.
     """
 
     def keyed(rows):
@@ -500,20 +502,24 @@ def links(names: DataFrame) -> DataFrame:
             for k, asks in _keys(name).items():
                 yield scope, k, name, first, asks
 
-    def judge(rows):
-        for scope, k, a, b in rows:
-            x, y = _keys(a), _keys(b)
-            if all(h >= k or not (x[h] or y[h]) for h in x.keys() & y.keys()) and (link := same(parse(a), parse(b))):
-                yield scope, a, b, link
+    def compare(rows):
+        for (scope, k, low, high), group in groupby(rows, itemgetter(0, 1, 2, 3)):
+            members = sorted(r[4:] for r in group)
+            for at, (a, first_a, asks_a, salt_a) in enumerate(members):
+                for b, first_b, asks_b, salt_b in members[at + 1 :]:
+                    if not (asks_a or asks_b) or a == b or low != high and salt_a == salt_b or first_a and first_b and not any(c in first_b for c in first_a):
+                        continue
+                    x, y = _keys(a), _keys(b)
+                    if all(h >= k or not (x[h] or y[h]) for h in x.keys() & y.keys()) and (link := same(parse(a), parse(b))):
+                        yield scope, a, b, link
 
     tasks = max(1, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     k = materialize(map_rows(names.select("scope", "name").repartition(tasks), keyed, "scope string, k string, name string, first string, asks boolean"), "keys")
-    size = k.groupBy("scope", "k").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).where("n > 1 AND q > 0").select("scope", "k", F.ceil(F.col("n") / HEAVY).cast("int").alias("salts"))
-    held = k.join(size, ["scope", "k"])
-    left = held.select("scope", "k", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt"), F.col("name").alias("name_a"), F.col("first").alias("first_a"), F.col("asks").alias("asks_a"))
-    right = held.select("scope", "k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("name").alias("name_b"), F.col("first").alias("first_b"), F.col("asks").alias("asks_b"))
-    pairs = left.join(right, ["scope", "k", "salt"]).where("name_a < name_b AND (asks_a OR asks_b) AND (first_a = '' OR first_b = '' OR translate(first_a, first_b, '') <> first_a)").select("scope", "k", "name_a", "name_b").repartition(tasks)
-    return map_rows(pairs, judge, "scope string, name_a string, name_b string, link string")
+    size = k.groupBy("scope", "k").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("q")).where("n > 1 AND q").select("scope", "k", F.ceil(F.col("n") / HEAVY).cast("int").alias("salts"))
+    held = k.join(size, ["scope", "k"]).withColumn("salt", F.pmod(F.xxhash64("name"), "salts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    place = ["scope", "k", "low", "high"]
+    met = held.select("scope", "k", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "name", "first", "asks", "salt").repartition(tasks, *place).sortWithinPartitions(*place)
+    return map_rows(met, compare, "scope string, name_a string, name_b string, link string")
 
 
 def clusters(names: DataFrame) -> DataFrame:
