@@ -14,8 +14,9 @@ from ..session import materialize
 def term_frequency(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf, first position and the number of tokens of the text; counts
     are combined where the rows arise, before the shuffle on (key, term)."""
-    toks = df.select(key, T.vocabulary_tokens(text).alias("tokens")).where(F.size("tokens") > 0)
-    rows = toks.select(key, F.size("tokens").alias("doc_tokens"), F.posexplode("tokens").alias("pos", "term"))
+    # the size goes along inside, as a filter on it would cut the text into tokens again
+    sized = T.let(T.vocabulary_tokens(text), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("term"), i.alias("pos"), F.size(t).alias("n"))))
+    rows = df.select(key, F.explode(sized).alias("x")).select(key, F.col("x.n").alias("doc_tokens"), "x.pos", "x.term")
     return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"), F.first("doc_tokens").alias("doc_tokens"))
 
 
@@ -29,8 +30,8 @@ def idf(df: DataFrame, text: str) -> DataFrame:
 
     Texts are cut into tokens once: every text with a token gives an empty term as
     well, whose count is N."""
-    toks = df.select(T.corpus_tokens(text).alias("t")).where(F.size("t") > 0)
-    counts = materialize(toks.select(F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    marked = T.let(F.array_distinct(T.corpus_tokens(text)), lambda t: F.when(F.size(t) > 0, F.array_append(t, F.lit(""))))
+    counts = materialize(df.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     one = counts.where("term = ''").select(F.col("df").alias("n_docs"))  # a single row
     return counts.where("term <> ''").crossJoin(F.broadcast(one)).select("term", "df", F.round(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 4).alias("idf"))
 
