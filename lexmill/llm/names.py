@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import map_rows
 
 # -- fixed values --------------------------------------------------------
@@ -428,7 +428,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     salts, each of which gives one edge for each of its nodes, and these are labelled
     in rounds until nothing changes: every round sends each node's smallest label to
     its neighbours and follows the label one step, so that long chains halve.  Each
-    round is written to the shared folder, which cuts the lineage.
+    round is written to the shared folder, which cuts the lineage, and deleted after the next.
     """
     e = edges.select(F.col("scope") if "scope" in edges.columns else F.lit("").alias("scope"), F.col(a).alias("x"), F.col(b).alias("y"))
     sizes = e.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / EDGES).cast("int").alias("salts"))
@@ -476,7 +476,8 @@ def _labelled(edges: DataFrame) -> DataFrame:
         near = both.join(label, both["y"] == label["node"]).groupBy("x").agg(F.min("label").alias("low"))
         step = label.join(near, label["node"] == near["x"], "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("low", "label")).alias("label"))
         up = step.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        label = materialize(step.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("above", "label")).alias("label")), "labels")
+        old, label = label, materialize(step.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("above", "label")).alias("label")), "labels")
+        discard(old)
         if label.where("label <> was").isEmpty():
             return label.select("node", F.col("label").alias("component"))
 
