@@ -36,6 +36,34 @@ def test_bm25_plus_against_brute_force(spark):
     assert all(abs(r.score - score[r.id]) < 1e-5 for r in got)
 
 
+def test_bm25_plus_in_blocks(spark, monkeypatch):
+    """Blocks of any size give the ranking of all pairs; what ranks has rows for blocks
+    and for the best of each, never for postings or pairs."""
+    import math
+    import random
+
+    monkeypatch.setattr(retrieval, "TEXTS", 7)
+    monkeypatch.setattr(retrieval, "TOKENS", 60)
+    monkeypatch.setattr(retrieval, "QUESTIONS", 5)
+    r = random.Random(3)
+    draw = lambda n: " ".join(f"w{min(int(r.expovariate(0.3)), 30)}" for _ in range(n))
+    docs = [(f"k{i:03}", draw(r.randint(0, 30))) for i in range(80)]
+    docs += [(f"c{i:03}", docs[5][1]) for i in range(20)]  # copies tie
+    asked = [(i, draw(4)) for i in range(90)] + [(90, "nowhere"), (91, None)]
+    df = retrieval.bm25_plus(spark.createDataFrame(docs, "id string, t string"), "id", "t", spark.createDataFrame(asked, "q bigint, s string"), "q", "s", 6)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" in df._jdf.queryExecution().executedPlan().toString()
+    texts = {i: t.split() for i, t in docs}
+    avg = sum(map(len, texts.values())) / len(texts)
+    idf = {w: math.log((len(texts) + 1) / sum(w in t for t in texts.values())) for w in {w for t in texts.values() for w in t}}
+    want = []
+    for q, s in asked:
+        ws = [w for w in (s or "").split() if w in idf]
+        score = {i: round(sum(idf[w] * (1 + t.count(w) * 2.5 / (1.5 * (0.25 + 0.75 * len(t) / avg) + t.count(w))) for w in ws), 9) for i, t in texts.items()}
+        want += [(q, i, n) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:6], 1) if ws]
+    assert sorted((x.q, x.id, x["rank"]) for x in df.collect()) == sorted(want)
+
+
 def test_vocabulary_bm25(spark):
     df = spark.createDataFrame([(1, "hematoma " + " ".join(f"w{i}x" for i in range(11)))], "id int, t string")
     w = spark.createDataFrame([("w1x", 0.087)], "term string, idf double")
