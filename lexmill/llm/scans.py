@@ -21,8 +21,9 @@ edit is not in the ending and the word is at home between both neighbours.
 
 Words, candidates and decisions are tables.  What is broadcast is a list of words with
 a share of ``COMMON`` of all words, hence at most ``1 / COMMON`` words: it spares
-lookups of common sound words, and pairs are counted among them.  It changes nothing
-else.
+lookups of common sound words; and a table of ``MARKS`` bits, in which all candidates
+that need ranking are marked: it spares pairs of most other words.  Neither changes
+a result.
 
 Defined results: null, empty and blank texts have no noise and are returned as
 they are; texts are read whole; redelivered rows count once.
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ from . import tries
 from .common import map_rows, shingle_free
 
 COMMON = 1e-5
+#: Bits of the table of candidates, each under its CRC-32.
+MARKS = 1 << 20
 #: A vocabulary word must be so many times as frequent as the token it corrects.
 RATIO = 25
 EDIT_RATIO = 1000
@@ -502,23 +506,36 @@ def chosen(hits: DataFrame) -> DataFrame:
 
 def occurrences(texts: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFrame:
     """Rows by kind: ``plain`` (a: a token in small letters that may be misread,
-    b and c: the words beside it) and ``pair`` (a, b: neighbouring words, n)."""
+    b and c: the words beside it) and ``pair`` (a, b: neighbouring words, n), of which
+    all are there that have a candidate that needs ranking."""
     total = words.agg(F.sum("n")).first()[0] or 0
     common = words.where(F.col("n") >= max(total * COMMON, 1)).select("word")  # at most 1 / COMMON words
     asking = fixes.where("edit OR size(cands) > 1").select(F.explode("cands").alias("word")).distinct()
     sound = {r.word for r in common.join(fixes.select(F.col("token").alias("word")), "word", "left_anti").collect()}
-    wanted = {r.word for r in common.join(asking, "word", "left_semi").collect()}
-    sent = texts.sparkSession.sparkContext.broadcast((sound, wanted))
+    marks = asking.withColumn("at", F.crc32("word") % MARKS).groupBy(F.expr("at div 32").alias("place")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 32 AS INT)))").alias("bits"))
+    sent = texts.sparkSession.sparkContext.broadcast((sound, {r.place: r.bits for r in marks.collect()}))  # at most MARKS / 32 rows
 
     def run(rows):
-        sound, wanted = sent.value
+        sound, marks = sent.value
         memo: dict[str, tuple | None] = {}  # a chunk between blanks -> its odd tokens, its words; None if there is nothing to do
         pairs: Counter = Counter()
+        asked: dict[str, int] = {"": 0}
+
+        def wanted(w: str) -> int:
+            """Not 0 for every candidate, and for few other words."""
+            got = asked.get(w)
+            if got is None:
+                if len(asked) > HELD:
+                    asked.clear()
+                    asked[""] = 0
+                at = crc32(w.encode()) % MARKS
+                got = asked[w] = marks.get(at // 32, 0) >> at % 32 & 1
+            return got
 
         def look(chunk: str):
             odd = tuple(x for x in _PLAIN.findall(chunk) if x not in sound)
             own = _LETTERS.findall(chunk.lower())
-            return (odd, own) if odd or not wanted.isdisjoint(own) else None
+            return (odd, own) if odd or any(map(wanted, own)) else None
 
         def edge(chunk: str, at: int) -> str:
             own = _LETTERS.findall(chunk.lower())
@@ -540,9 +557,9 @@ def occurrences(texts: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFra
                 after = edge(cut[i + 1], 0) if i + 1 < len(cut) else ""
                 run_ = [before, *own, after]
                 for j, w in enumerate(own, 1):
-                    if w in wanted:
+                    if wanted(w):
                         pairs[run_[j - 1], w] += 1
-                        if run_[j + 1] not in wanted:  # else counted from there
+                        if not wanted(run_[j + 1]):  # else counted from there
                             pairs[w, run_[j + 1]] += 1
                     if w in odd:
                         yield "plain", k, h, w, run_[j - 1], run_[j + 1], 1

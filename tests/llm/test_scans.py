@@ -62,6 +62,16 @@ def test_neighbours_rank_equal_candidates(spark):
     assert got[1] == "a big hen rang" and got[0] == "the red ben saw"
 
 
+@pytest.mark.parametrize("common, marks", [(1e-5, 32), (0.5, 1 << 20)])
+def test_rare_candidates_are_ranked(spark, monkeypatch, common, marks):
+    """Neighbours rank a candidate whatever its share of all words."""
+    monkeypatch.setattr(S, "COMMON", common)
+    monkeypatch.setattr(S, "MARKS", marks, raising=False)
+    fill = "we print each page " * 3000 + "they punt the ball " * 1000
+    got = {r.chunk_row_id: r.chunk_text for r in S.repair(frame(spark, ["they pnnt the ball", "we pnnt each page"], fill)).collect()}
+    assert (got[0], got[1]) == ("they punt the ball", "we print each page")
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
