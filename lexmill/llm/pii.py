@@ -69,16 +69,24 @@ def phone_shape(raw: str) -> bool:
 
 # -- candidate expressions ----------------------------------------------
 
+# ``re`` skips quickly to where an expression can begin only if that is one character
+# out of a set. Hence what stands before a match is looked at behind its first
+# character, or ``_at`` tries an expression at the few places where it can begin.
+
 _EMAIL = re.compile(
     r"[A-Za-z0-9][\w.+%-]*(?:@|[ \t]@[ \t]|\s?[\[(]\s?at\s?[\])]\s?|\s+at\s+(?=[\w-]+(?:\s+dot\s+\w+)+))"
     r"[A-Za-z0-9][A-Za-z0-9-]*(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\s+dot\s+)[A-Za-z][A-Za-z0-9-]*)+",
     re.UNICODE,
 )
+#: What is in all that stands between the name and the host of an address.
+_EMAIL_AT = re.compile(r"[@(\[a](?:(?<=@)|(?<=[(\[])(?=\s?at\s?[\])])|(?<=\sa)(?=t\s+[\w-]+\s+dot\s))")
+_NAME_CHAR, _NAME_FIRST = re.compile(r"[\w.+%-]"), re.compile(r"[A-Za-z0-9]")
+_PHONE_AT = re.compile(r"[+(\d](?<![\w.$£€#/-].)(?=\d[\d .-]|[ .-][(\d])")
 _PHONE = re.compile(
     r"(?<![\w.$£€#/-])(?:\+\d{1,3}[ .-]\(?\d{1,4}\)?(?:(?:[ .-]\d{3,4}){1,3}(?!\d)|(?:[ .-]\d{2}){4})|\+\d{8,14}"
     r"|(?:1[ .-])?(?:\(\d{3}\)|\d{3})[ ./-]?\d{3}[ .-]\d{4}|\(0\d{2,4}\)[ -]?\d{3,4}[ -]?\d{3,4}|1?\d{10}|0\d{3,4}[ -]\d{3}[ -]?\d{3,4}|0\d{2}[ -]\d{4}[ -]\d{4})(?![\w-]|[.,/]\d)"
 )
-_SSN = re.compile(r"(?<![\w-])\d{3}([-. ]?)\d{2}\1\d{4}(?![\w-]|[.,]\d)")
+_SSN = re.compile(r"\d(?<![\w-].)\d\d([-. ]?)\d{2}\1\d{4}(?![\w-]|[.,]\d)")
 _LABELLED_ID = re.compile(
     r"\b(?:(?P<ssn>SSN|S\.S\.N\.?|[Ss]ocial\s+[Ss]ecurity(?:\s+(?:number|no\.?|#))?)"
     r"|(?P<dl>[Dd]river['’]?s?['’]?\s+[Ll]icen[sc]e(?:\s+(?:number|no\.?|#))?|DL\s*#?|[Ll]icen[sc]e\s+(?:number|no\.))"
@@ -87,8 +95,8 @@ _LABELLED_ID = re.compile(
     r"(?:\s+(?:of|is|was|reads|listed\s+as))?\s*[:#]?\s*"
     r"(?P<num>[A-Z]{0,2}-?\d[\dA-Z]*(?:[-. ]\d[\dA-Z]*)*)(?![\w])"
 )
-_CARD = re.compile(r"(?<![\w-])(?:\d[ -]?){12,18}\d(?![\w-])")
-_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
+_CARD = re.compile(r"\d(?<![\w-].)[ -]?(?:\d[ -]?){11,17}\d(?![\w-])")
+_IBAN = re.compile(r"[A-Z](?<!\w.)[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
 
 _TYPES = r"(?:Street|Avenue|Road|Lane|Drive|Court|Place|Boulevard|Way|Terrace|Square|Highway|Parkway|Circle|Crescent|Alley|Row|Walk|Trail|St|Ave|Rd|Ln|Dr|Ct|Pl|Blvd|Ter|Sq|Hwy|Pkwy|Cir)"
 _SUFFIX_TOWN = r"(?:Harbor|Harbour|Point|Springs|Falls|Hills|City|Beach|Park|Junction|Heights|Grove|Valley|Ridge|Mills|Bay|Island|Lake|Creek|Bridge|Landing|Haven|Cove|Village|Township|Corner|Crossing)"
@@ -96,11 +104,11 @@ _UNIT = r"(?:(?:,?\s+(?:[Aa]pt|APT|[Uu]nit|UNIT|[Ss]uite|SUITE|[Ss]te|[Rr]oom|[R
 _TOWN = rf"[A-ZÀ-Þ][A-Za-zà-þ'’-]+(?:\s+{_SUFFIX_TOWN}\b)?"
 _STATE_ZIP = r"[A-Z]{2},?\s+\d{5}(?:-\d{4})?(?!\d)"
 _ADDRESS = re.compile(
-    rf"(?<![\w#.,/$-])\d{{1,6}}[A-Z]?\s+(?:(?:[NSEW]{{1,2}}\.?|North|South|East|West)\s+)?(?:(?:[A-Z][\w'’-]*|\d{{1,3}}(?:st|nd|rd|th))\s+){{1,3}}?{_TYPES}\b"
+    rf"\d(?<![\w#.,/$-].)\d{{0,5}}[A-Z]?\s+(?:(?:[NSEW]{{1,2}}\.?|North|South|East|West)\s+)?(?:(?:[A-Z][\w'’-]*|\d{{1,3}}(?:st|nd|rd|th))\s+){{1,3}}?{_TYPES}\b"
     rf"(?:\.(?=,|\s+(?:#|[Aa]pt|[Uu]nit|[Ss]uite|[Ss]te)))?(?:{_UNIT})?(?:,\s+{_TOWN}(?:,?\s+{_STATE_ZIP})?)?"
 )
 _ADDRESS_UPPER = re.compile(
-    rf"(?<![\w#.,/$-])\d{{1,6}}\s+(?:[A-Z0-9][A-Z0-9'’.]*\s+){{1,4}}?(?:STREET|AVENUE|ROAD|LANE|DRIVE|COURT|PLACE|BOULEVARD|WAY|TERRACE|BLVD|AVE|RD)\b\.?(?:{_UNIT})?(?:,\s+[A-Z][A-Z'’-]+(?:\s+[A-Z]+)?(?:,?\s+{_STATE_ZIP})?)?"
+    rf"\d(?<![\w#.,/$-].)\d{{0,5}}\s+(?:[A-Z0-9][A-Z0-9'’.]*\s+){{1,4}}?(?:STREET|AVENUE|ROAD|LANE|DRIVE|COURT|PLACE|BOULEVARD|WAY|TERRACE|BLVD|AVE|RD)\b\.?(?:{_UNIT})?(?:,\s+[A-Z][A-Z'’-]+(?:\s+[A-Z]+)?(?:,?\s+{_STATE_ZIP})?)?"
 )
 _FOREIGN_TOWN = r"[A-ZÀ-Þ][\wà-þ'’-]+(?:(?:\s+(?:de|del|la|los|las|do|da|sur|le|am|an|der))*\s+[A-ZÀ-Þ][\wà-þ'’-]+)*"
 _ADDRESS_ABROAD = re.compile(
@@ -142,13 +150,14 @@ _SAID = re.compile(r"\s+(?:testified|stated|told|objected|inspected|charted|wrot
 _BY = re.compile(r"(?:\b(?:by|of|told|from|and|to|Attn|To|Dr|Mr|Mrs|Ms)[.:]?\s+)$")
 _MORE_NAME = re.compile(r"\s+[A-ZÀ-Þ][a-zà-þ]+\b(?!\s*[;:|])")
 _LAST_WORD = re.compile(r"([^\s,;:|]+)\s+$")
-#: What people do and are, behind a name; it tells a run of capitals for a person.
+#: The last word of a run of capitals before what people do and are, which tells the
+#: run for a person.
 _DOES = re.compile(
-    r"(?<=[\wà-þ.])(?:\s+(?:testified|stated|told|objected|inspected|charted|wrote|signed|said|declared|recalled|replied|explained|lives|lived|resides|resided|swore|denies|denied|admits|admitted|phoned|emailed|was\s+(?:born|deposed|sworn|hired|admitted))\b"
+    r"[A-ZÀ-ÞŁŻ](?<!\S.)\S*[\wà-þ.](?=\s+(?:testified|stated|told|objected|inspected|charted|wrote|signed|said|declared|recalled|replied|explained|lives|lived|resides|resided|swore|denies|denied|admits|admitted|phoned|emailed|was\s+(?:born|deposed|sworn|hired|admitted))\b"
     r"|,\s+(?:M\.D\.|MD\b|R\.N\.|RN\b|D\.O\.|L\.P\.N\.|Ph\.D\.|Esq\b|D\.D\.S\.|P\.E\.|C\.P\.A\.))"
 )
-_RUN_END = re.compile(rf"(?<![\w@.’'-])(?:[A-ZÀ-ÞŁ][a-zà-þøłżŁ]+(?:-[A-Z][a-zà-þ]+)?)(?:\s+[A-ZÀ-Þ]\.)*(?:\s+{_SUR})+$")
-_ENTRY = re.compile(rf"(?<=[:;] )(?P<name>(?P<sur>{_SUR}),\s+[A-ZÀ-ÞŁ][a-zà-þøłż]+(?:\s+[A-ZÀ-Þ]\.)+)(?=;|\s*$)")
+_RUN_END = re.compile(rf"[A-ZÀ-ÞŁ](?<![\w@.’'-].)(?:[a-zà-þøłżŁ]+(?:-[A-Z][a-zà-þ]+)?)(?:\s+[A-ZÀ-Þ]\.)*(?:\s+{_SUR})+$")
+_ENTRY = re.compile(rf"[:;] (?P<name>(?P<sur>{_SUR}),\s+[A-ZÀ-ÞŁ][a-zà-þøłż]+(?:\s+[A-ZÀ-Þ]\.)+)(?=;|\s*$)")
 #: A run behind one of these isn't the one who acts ("the manager of ... wrote").
 _NO_SUBJECT = frozenset("the a an of for at in from with by to on de del".split())
 #: Capitalised words that are no part of a name.
@@ -177,22 +186,58 @@ def _context(kind: str, text: str, start: int, end: int) -> float:
     return score - (0.7 if bad.search(before) else 0.0)
 
 
-_DIGITS_HINT = re.compile(r"\+\d|\d{3}[ ./)-]{1,2}\d|\d{9}")
+_DIGITS_HINT = re.compile(r"[+\d](?:(?<=\+)\d|(?<!\+)\d\d(?:[ ./)-]{1,2}\d|\d{6}))")
 _EMAIL_SIGNS = ("@", "(at)", "[at]", " dot ", "( at", "[ at", "(AT)", "[AT]")
 _ID_SIGNS = ("SSN", "S.S.N", "ocial", "icense", "icence", "assport", "asaporte", "DNI", "NIE", "eguro", "MRN", "ecord n", "ecord N", "ecord #", "DL ", "DL#")
 _ABROAD_SIGNS = ("Calle", "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Rua ", "Via ", "Corso", "rue ", "avenue ", "boulevard ", "place ", "allée", "chemin", "quai", "impasse", "straße", "strasse", "str. ", "gasse", "weg ", "platz", "allee", "ufer")
 _UPPER_ADDRESS_SIGNS = ("STREET", "AVENUE", "ROAD", "LANE", "DRIVE", "COURT", "PLACE", "BOULEVARD", " WAY", "TERRACE", "BLVD", " AVE", " RD")
-_CAPITAL = re.compile(r"(?<![\w@.])[A-ZÀ-ÞŁ][\wà-þ]*\.?")
+_CAPITAL = re.compile(r"[A-ZÀ-ÞŁ](?<![\w@.].)[\wà-þ]*\.?")
 _GIVEN_AFTER_COMMA = re.compile(r",\s+([A-ZÀ-ÞŁ][a-zà-þøłż]+)")
 _TITLES = frozenset("Mr Mrs Ms Miss Mx Dr Prof Hon Rev Sr Sra Srta Herr Frau Mme Nurse Justice Judge Attorney Officer Detective Sergeant Captain Magistrate Professor Doctor Counselor Don Doña Señor Señora".split())
 
 
+def _begins() -> dict[str, str]:
+    """What a capitalised word, with or without a full stop, may begin, by the first rule that it meets."""
+    sets = {"titled": _TITLES, "upper": _GIVEN_UPPER, "given": _GIVEN}
+    capitals = [c for c in map(chr, range(0x250)) if _CAPITAL.fullmatch(c)]
+    return {f"{c}.": "initials" for c in capitals} | {f"{w}{dot}": kind for kind, words in sets.items() for w in words for dot in ("", ".")}
+
+
+_BEGINS = _begins()
+
+
+def _at(places: re.Pattern, expression: re.Pattern, text: str):
+    """``expression.finditer(text)``, where it can begin at ``places`` only."""
+    end = 0
+    for c in places.finditer(text):
+        if c.start() >= end and (m := expression.match(text, c.start())):
+            end = m.end()
+            yield m
+
+
+def _emails(text: str):
+    """``_EMAIL.finditer(text)``: the name is what stands before one of ``_EMAIL_AT``, and
+    wherever it begins the same host follows, so its first letter decides."""
+    end = 0
+    for c in _EMAIL_AT.finditer(text):
+        at = c.start()
+        while at > end and text[at - 1].isspace():
+            at -= 1
+        stop = at
+        while at > end and _NAME_CHAR.match(text, at - 1):
+            at -= 1
+        first = _NAME_FIRST.search(text, at, stop)
+        if first and (m := _EMAIL.match(text, first.start())):
+            end = m.end()
+            yield m
+
+
 def spans(text: str) -> list[Span]:
     """The confirmed spans of a text, in order, without overlaps."""
     got: list[Span] = []
     add = got.append
     if any(x in text for x in _EMAIL_SIGNS):
-        for m in _EMAIL.finditer(text):
+        for m in _emails(text):
             add(Span(m.start(), m.end(), "email", 0.95))
     if any(x in text for x in _ID_SIGNS):
         for m in _LABELLED_ID.finditer(text):
@@ -229,7 +274,7 @@ def _numbers(text: str, add) -> None:
         base = 0.45 if m.group(1) else 0.2
         if (s := base + _context("id", text, m.start(), m.end())) >= THRESHOLD:
             add(Span(m.start(), m.end(), "id_number", s))
-    for m in _PHONE.finditer(text):
+    for m in _at(_PHONE_AT, _PHONE, text):
         raw = m.group()
         if not phone_shape(raw):
             continue
@@ -257,20 +302,21 @@ def _names(text: str, add) -> None:
         add(Span(start, end, "name", score))
 
     for c in _CAPITAL.finditer(text):
-        word, at = c.group(), c.start()
-        bare = word.rstrip(".")
-        if bare in _GIVEN:
+        if not (begins := _BEGINS.get(c.group())):
+            continue
+        at = c.start()
+        if begins == "given":
             if m := _FULL.match(text, at):
                 person(at, m.end("sur"), m.group("sur"), 0.8)
-        elif bare in _GIVEN_UPPER:
+        elif begins == "upper":
             if m := _FULL_UPPER.match(text, at):
                 person(at, m.end("sur"), m.group("sur"), 0.75)
-        elif bare in _TITLES:
+        elif begins == "titled":
             if m := _TITLED.match(text, at):
                 name = m.group("name")
                 if " " not in name.strip() or name.split()[0] not in _GIVEN:
                     person(m.start("name"), m.end("name"), name, 0.72)
-        elif len(bare) == 1 and word != bare:
+        else:
             # one initial is an abbreviation or a transcript mark as often as a name
             m = _INITIALS.match(text, at)
             if m and (m.group("ini").count(".") > 1 or _SAID.match(text, m.end()) or _BY.search(text[max(0, at - 16) : at])):
@@ -282,15 +328,16 @@ def _names(text: str, add) -> None:
                 person(m.start("name"), m.end("name"), m.group("sur"), 0.82)
     # names without a known given name: a run of capitals is a person by what stands around it
     for c in _DOES.finditer(text):
-        if run := _RUN_END.search(text, max(0, c.start() - 90), c.start()):
-            start, words = _trimmed(text, run.start(), c.start())
+        end = c.end()
+        if run := _RUN_END.search(text, max(0, end - 90), end):
+            start, words = _trimmed(text, run.start(), end)
             if len(words) > 1 and not any(w in _NO_NAME or w in _TITLES for w in words) and not any(w in _NOT_SURNAME for w in run.group().split()):
                 article = _LAST_WORD.search(text[max(0, start - 8) : start])
-                behind = article and article.group(1).lower() in _NO_SUBJECT and not c.group().startswith(",")
-                person(start, c.start(), words[-1], 0.26 if behind else 0.66)
+                behind = article and article.group(1).lower() in _NO_SUBJECT and text[end] != ","
+                person(start, end, words[-1], 0.26 if behind else 0.66)
     for c in _ENTRY.finditer(text):
         if not any(w in _NO_NAME for w in c.group("name").replace(",", "").split()):
-            person(c.start(), c.end(), c.group("sur"), 0.6)
+            person(c.start("name"), c.end(), c.group("sur"), 0.6)
 
 
 def _trimmed(text: str, start: int, end: int) -> tuple[int, list[str]]:
